@@ -28,6 +28,11 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(or_, tests)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
     return any_of([c.contains(w) for w in words])
 
@@ -148,9 +153,9 @@ def line_of(text: Column, needle: Column) -> Column:
 
 
 def matches_glob(path: Column, glob: str) -> Column:
-    """A glob (* and ?) against the whole path or its last part."""
-    rx = "^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() else c for c in glob) + "$"
-    return path.rlike(rx) | basename(path).rlike(rx)
+    """A glob (* and ?) against a path or an end of it that begins at a folder."""
+    rx = "(^|/)" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() else c for c in glob) + "$"
+    return path.rlike(rx)
 
 
 def normal_url(url: Column, base: Column | None = None) -> Column:

@@ -66,7 +66,7 @@ def overall(factors: dict[str, Column], weights: dict[str, float] | None = None)
     top, bottom = F.lit(0.0), F.lit(0.0)
     for name, c in factors.items():
         top, bottom = top + F.coalesce(c * w[name], F.lit(0.0)), bottom + F.when(c.isNotNull(), w[name]).otherwise(0.0)
-    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.round(F.round(top, 9) / F.round(bottom, 9), 3)))
+    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.round(F.round(F.round(top, 9) / F.round(bottom, 9), 9), 3)))
 
 
 def level(confidence: Column) -> Column:
@@ -83,13 +83,16 @@ def scored(findings: DataFrame, weights: dict[str, float] | None = None, use_ent
         "environment": environment_factor(F.col("path"), F.col("variable")),
         "validation": validation_factor(F.col("value")),
     }
-    names = {n: f"__{n}" for n in factors}
-    x = findings.withColumns({names[n]: c for n, c in factors.items()})
-    x = x.withColumn("overall_confidence", overall({n: F.col(c) for n, c in names.items()}, weights))
     w = WEIGHTS | (weights or {})
-    rows = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.round(-F.col(c) * w[n], 9).alias("order"), F.lit(n).alias("factor"), F.lit(w[n]).alias("weight"), F.col(c).alias("score"))) for n, c in names.items()])
-    parts = F.transform(F.sort_array(F.array_compact(rows)), lambda r: F.struct(r["factor"], r["weight"], r["score"], F.round(-r["order"], 6).alias("share")))
-    return x.withColumns({"confidence_level": level(F.col("overall_confidence")), "confidence_factors": parts}).drop(*names.values())
+
+    def judged(f: Column) -> Column:
+        rows = F.array(*[F.when(f[n].isNotNull(), F.struct(F.round(-f[n] * w[n], 9).alias("order"), F.lit(n).alias("factor"), F.lit(w[n]).alias("weight"), f[n].alias("score"))) for n in factors])
+        parts = F.transform(F.sort_array(F.array_compact(rows)), lambda r: F.struct(r["factor"], r["weight"], r["score"], F.round(-r["order"], 6).alias("share")))
+        return F.struct(overall({n: f[n] for n in factors}, weights).alias("overall_confidence"), parts.alias("confidence_factors"))
+
+    # Factors are long expressions and are named often; computed once, the generated code stays small.
+    x = findings.withColumn("__judged", X.let(F.struct(*[c.cast("double").alias(n) for n, c in factors.items()]), judged))
+    return x.select("*", "__judged.*").drop("__judged").withColumn("confidence_level", level(F.col("overall_confidence")))
 
 
 def top_factors(factors: Column, n: int = 3) -> Column:
