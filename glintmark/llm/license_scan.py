@@ -156,11 +156,16 @@ def matches(index: Index, text: bytes | None, coverage: float = COVERAGE) -> lis
                 spans.append([d, d])
         own = []
         for a, b in spans:
-            start = max(0, a - BAND)
-            part = words[start : b + BAND + len(template)]
-            n, first, end = align(template, part, a - BAND - start, b + BAND - start)
-            if n >= coverage * len(template):
-                own.append((name, n, n / len(template), start + first, start + end))
+            # A span that is found splits its part of the text; copies before and behind it are looked for in the rest.
+            parts = [(max(0, a - BAND), min(len(words), b + BAND + len(template)))]
+            while parts:
+                start, stop = parts.pop()
+                if stop - start < coverage * len(template):
+                    continue
+                n, first, end = align(template, words[start:stop], a - BAND - start, b + BAND - start)
+                if n >= coverage * len(template):
+                    own.append((name, n, n / len(template), start + first, start + end))
+                    parts += [(start, start + first), (start + end, stop)]
         taken: list[tuple[int, int]] = []
         for x in sorted(own, key=lambda x: (-x[1], x[3])):
             if all(x[4] <= a or x[3] >= b for a, b in taken):
