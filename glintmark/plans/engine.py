@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None
     config = config or ScanConfig()
     files = files.where(S.admitted(F.col("path"), config.include, config.exclude))
     lines = S.lines(files)
-    x = detections(spark, files, lines, config)
+    # Findings are few against the lines, and the context joins need them three times: kept, the detectors read the files once.
+    x = detections(spark, files, lines, config).persist(StorageLevel.MEMORY_AND_DISK) if config.use_context else detections(spark, files, lines, config)
     if exclusions:
         x = baseline.reported(x, **exclusions)
     if config.use_context:

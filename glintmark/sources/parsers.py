@@ -258,7 +258,7 @@ def members(name: str, data: bytes, most_bytes: int, most_files: int) -> Iterato
                 left, n = left - m.size, n + 1
                 yield m.name, t.extractfile(m).read()
     elif low.endswith((".gz", ".bz2")):
-        opened = (gzip.GzipFile if low.endswith(".gz") else bz2.BZ2File)(io.BytesIO(data))
+        opened = gzip.GzipFile(fileobj=io.BytesIO(data)) if low.endswith(".gz") else bz2.BZ2File(io.BytesIO(data))
         body = opened.read(most_bytes + 1)
         if len(body) <= most_bytes:
             yield posixpath.basename(name).rsplit(".", 1)[0], body
