@@ -90,9 +90,12 @@ def entropy_candidates(lines: DataFrame) -> DataFrame:
 
 def entropy_findings(candidates: DataFrame, threshold: float | None = None) -> DataFrame:
     """Values whose entropy, length and confidence suffice for their encoding. threshold takes the place of all thresholds."""
-    kept = candidates.where(~X.looks_harmless(F.col("value")))
-    x = kept.withColumns({"encoding_type": X.encoding_type(F.col("value")), "context_type": X.name_context(F.col("variable"), F.col("path")), "bits": X.entropy(F.col("value")), "variety": X.diversity(F.col("value"))})
-    x = x.withColumn("confidence", X.entropy_confidence(F.col("value"), F.col("encoding_type"), F.col("context_type"), F.col("bits"), F.col("variety")))
+    v = F.col("value")
+    kept = candidates.where((F.length(v) >= min(X.LENGTH_AT.values())) & ~X.looks_harmless(v))
+    measures = F.struct(X.encoding_type(v).alias("encoding_type"), X.name_context(F.col("variable"), F.col("path")).alias("context_type"), X.entropy(v).alias("bits"), X.diversity(v).alias("variety"))
+    # A generated row: filters on the measures aren't pushed below it, where they would be computed once a mention.
+    x = kept.select("*", F.explode(F.array(measures)).alias("m")).select("*", "m.*").drop("m")
+    x = x.withColumn("confidence", X.entropy_confidence(v, F.col("encoding_type"), F.col("context_type"), F.col("bits"), F.col("variety")))
     enough = F.lit(threshold) if threshold is not None else X.by_encoding(F.col("encoding_type"), X.ENTROPY_AT)
     x = x.where((F.col("bits") >= enough) & (F.length("value") >= X.by_encoding(F.col("encoding_type"), X.LENGTH_AT)) & (F.col("confidence") >= 0.5))
     severity = F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.6, "medium").otherwise("low")
