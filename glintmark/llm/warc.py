@@ -1,6 +1,6 @@
 """WARC archives with a Zstandard dictionary: skippable dictionary frame first, then one frame a record.
 
-A dictionary is trained on a bounded sample of the records (SAMPLES rows with the smallest hash of url and payload, at
+A dictionary is trained on a bounded sample of the records (SAMPLES of the smallest hashes of page_id and url, at
 most SAMPLE_BYTES of each; only the dictionary depends on it, every record is archived whole). Each file begins with
 the skippable frame 0x184D2A5D that holds the dictionary, so it can be read alone.
 
@@ -89,10 +89,15 @@ def train(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
-def dictionary_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> bytes:
-    body = F.substring(F.coalesce(F.col(html_col), F.lit("")).cast("binary"), 1, SAMPLE_BYTES)
-    rows = pages.select(F.col(url_col).alias("url"), body.alias("body"), F.xxhash64(url_col, html_col).alias("h")).orderBy("h", "url", "body").limit(SAMPLES).collect()
-    return train([record(None, x.url, bytes(x.body), base32_sha1(hashlib.sha1(x.body).hexdigest()), None) for x in rows])
+def dictionary_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> bytes:
+    """The smallest hashes are found without reading any html; then only their rows' html is, one row a hash."""
+    hashed = pages.select(F.xxhash64(F.col(id_col).cast("string"), url_col).alias("h"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    last = hashed.select("h").distinct().orderBy("h").limit(SAMPLES).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    body = F.substring(F.coalesce("html", F.lit("")).cast("binary"), 1, SAMPLE_BYTES)
+    rows = hashed.where(F.col("h") <= last).groupBy("h").agg(F.min(F.struct("url", body.alias("body"))).alias("x")).collect()
+    return train([record(None, r.x.url, bytes(r.x.body), base32_sha1(hashlib.sha1(r.x.body).hexdigest()), None) for r in sorted(rows, key=lambda r: r.h)])
 
 
 class Archive:
@@ -143,7 +148,7 @@ def with_references(pages: DataFrame, id_col: str, url_col: str, html_col: str,
 
 def write(pages: DataFrame, at: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, level: int = LEVEL, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes pages as .warc.zst files below the folder `at`; returns file and n_records."""
-    dictionary = dictionary_of(pages, url_col, html_col)
+    dictionary = dictionary_of(pages, id_col, url_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, files = TaskContext.get().partitionId(), []
