@@ -68,6 +68,17 @@ def structural_findings(lines: DataFrame, patterns: list[tuple] = dims.STRUCTURA
     return as_findings(once.withColumns({"rule_id": F.lit("structural_pattern"), "rule_name": F.col("pattern"), "type": F.lit("regex_match"), "category": F.col("pattern_category"), "description": F.concat("pattern", F.lit(" by its form"))}))
 
 
+def extended_findings(lines: DataFrame, patterns: list[tuple] = dims.EXTENDED, categories: list[str] | None = None) -> DataFrame:
+    """The second library: the bare value where a pattern has a group for it, else the whole match; each value once a file and category."""
+    chosen = [p for p in patterns if not categories or p[0] in categories]
+    value = lambda rx, g: F.coalesce(F.nullif(F.regexp_extract("text", rx, g), F.lit("")), F.regexp_extract("text", rx, 0)) if g else F.regexp_extract("text", rx, 0)
+    rows = F.array(*[F.struct(F.lit(i).alias("ix"), F.lit(c).alias("pattern_category"), F.lit(n).alias("pattern"), value(rx, g).alias("value"), F.lit(s).alias("severity"), F.lit(x).alias("confidence")) for i, (c, n, rx, s, x, g) in enumerate(chosen)])
+    likely = lines.where(F.col("text").rlike("[=:'\"@$.-]"))
+    hits = likely.select("path", "line", F.explode(rows).alias("x")).select("path", "line", "x.*").where("value <> ''")
+    once = first_in_file(hits, ["line", "ix"])
+    return as_findings(once.withColumns({"rule_id": F.lit("extended_pattern"), "rule_name": F.col("pattern"), "type": F.lit("regex_match"), "category": F.col("pattern_category"), "description": F.concat("pattern", F.lit(" in text"))}))
+
+
 ASSIGNMENTS = [
     "(?i)(\\w+)\\s*[:=]\\s*[\"']([^\"']+)[\"']",
     "(?i)(\\w+)\\s*[:=]\\s*([^\\s,;]+)",

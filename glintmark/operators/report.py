@@ -44,6 +44,22 @@ def masked(findings: DataFrame) -> DataFrame:
     return findings.select("severity", "rule_name", "path", "line", F.coalesce("variable", F.lit("")).alias("variable"), X.mask(F.col("value")).alias("value"), F.coalesce("description", F.lit("")).alias("description"), C.verification_status(verdict).alias("verification"))
 
 
+def public(spark: SparkSession, findings: DataFrame) -> DataFrame:
+    """What may leave the cluster about a finding: no value, but its mask and what to do."""
+    has = lambda *names: F.coalesce(*[F.col(n) for n in names if n in findings.columns], F.lit(""))
+    sure = F.coalesce(*[F.col(n) for n in ("overall_confidence", "confidence") if n in findings.columns], F.lit(0.0))
+    return with_remediation(spark, findings).select(
+        F.coalesce("severity", F.lit("medium")).alias("severity"), F.coalesce("rule_name", F.lit("Credential")).alias("type"), has("pattern_category", "category").alias("category"), F.col("path").alias("file"), "line",
+        X.mask(F.col("value")).alias("masked"), F.round(sure, 3).alias("confidence"), F.col("rule_id").alias("detector"), F.coalesce(F.nullif(has("verification", "aws_validation"), F.lit("")), F.lit("not run")).alias("validation"),
+        has("breach_exposure").alias("breach_exposure"), F.col("action").alias("remediation"), F.col("root_cause").alias("remediation_fix"),
+    )
+
+
+def by_file(findings: DataFrame) -> DataFrame:
+    """Counts by severity and file, with the first and last line."""
+    return findings.groupBy("severity", "path").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy(F.coalesce("severity", F.lit("medium")).alias("severity")).agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
 

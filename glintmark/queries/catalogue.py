@@ -203,14 +203,30 @@ STRUCTURAL_SQL = " UNION ALL ".join(
 @query(f"SELECT pattern, n FROM ({STRUCTURAL_SQL})")
 def structural_counts(spark, sf_dir):
     lines = value_lines(spark, sf_dir).union(S.lines(doc_files(spark, sf_dir)))
-    # One value may carry two forms, and counts as one for each.
-    found = detect.structural_findings(lines, dims.STRUCTURAL[:1])
-    for p in dims.STRUCTURAL[1:]:
-        found = found.unionByName(detect.structural_findings(lines, [p]))
+    found = detect.extended_findings(lines, [(n, n, rx, sev, sure, 0) for n, rx, sev, sure in dims.STRUCTURAL])
     names = spark.createDataFrame([(p[0],) for p in dims.STRUCTURAL], "pattern string")
     return names.join(found.groupBy("pattern").count(), "pattern", "left").select("pattern", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
 
+FORMS_SQL = " UNION ALL ".join(f"SELECT {i} AS ix, {quote(n)} AS pattern, path, line, regexp_extract(text, {quote(rx)}, 0) AS value FROM {VALUE_LINES}" for i, (n, rx, _, _) in enumerate(dims.STRUCTURAL))
+
+
+@query(f"SELECT path, line::INT AS line, pattern, value FROM ({FORMS_SQL}) WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY path, value ORDER BY line, ix) = 1")
+def structural_findings(spark, sf_dir):
+    return detect.structural_findings(value_lines(spark, sf_dir)).select("path", "line", "pattern", "value")
+
+
+EXTENDED_SQL = " UNION ALL ".join(
+    f"SELECT {i} AS ix, '{c}' AS pattern_category, path, line, CASE WHEN {g} = 1 AND regexp_extract(text, {quote(rx)}, {g}) <> '' THEN regexp_extract(text, {quote(rx)}, {g}) ELSE regexp_extract(text, {quote(rx)}, 0) END AS value FROM {VALUE_LINES}" for i, (c, _, rx, _, _, g) in enumerate(dims.EXTENDED)
+)
+
+
+@query(f"SELECT pattern_category, count(*) AS n, count(DISTINCT value) AS n_values FROM (SELECT DISTINCT pattern_category, path, value FROM ({EXTENDED_SQL}) WHERE value <> '') GROUP BY 1")
+def extended_counts(spark, sf_dir):
+    found = detect.extended_findings(value_lines(spark, sf_dir))
+    return found.groupBy("pattern_category").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+
+
 R1, R2, R3 = dims.RULES
 RULE2 = "CASE " + " ".join(f"WHEN regexp_matches(value, {quote(rx)}) THEN {quote(n)}" for n, rx in R2["values"]) + " END"
 RULE3 = "CASE " + " ".join(f"WHEN regexp_matches(value, {quote(rx)}) THEN {quote(n)}" for n, rx in R3["values"]) + " END"
@@ -529,6 +545,11 @@ def compliance_rows(spark, sf_dir):
     return report.compliance(spark, findings(spark, sf_dir)).select("path", "line", "rule_id", "severity", "control", "framework", "requirement")
 
 
+@query(f"SELECT severity, path, count(*) AS n, min(line) AS first_line, max(line) AS last_line FROM {FIND} GROUP BY ALL")
+def findings_by_file(spark, sf_dir):
+    return report.by_file(findings(spark, sf_dir))
+
+
 REMEDIES = ", ".join(f"({quote(k)}, {quote(a)}, {quote(r)}, {quote(c)})" for k, (a, r, c) in dims.REMEDIATION.items())
 
 
@@ -537,6 +558,12 @@ def remediation_join(spark, sf_dir):
     return report.with_remediation(spark, findings(spark, sf_dir)).select("ord", "remediation_key", report.remediation_text().alias("remediation"))
 
 
+@query(f"""WITH r(k, action, revoke, cure) AS (VALUES {REMEDIES}) SELECT severity, rule_name AS type, pattern_category AS category, path AS file, line, CASE WHEN length(value) <= 8 THEN '****' ELSE substr(value, 1, 4) || '...' || right(value, 4) END AS masked,
+round(confidence, 3) AS confidence, rule_id AS detector, 'not run' AS validation, '' AS breach_exposure, action AS remediation, cure AS remediation_fix FROM {KINDS} JOIN r USING (k)""")
+def public_findings(spark, sf_dir):
+    return report.public(spark, findings(spark, sf_dir))
+
+
 @query(f"SELECT ord, cwe, CASE WHEN regexp_matches(h, 'private key|private_key|rsa|pem|crypto|certificate') THEN 'CWE-321' WHEN regexp_matches(h, 'passwd|password') THEN 'CWE-259' ELSE 'CWE-798' END AS report_cwe FROM (SELECT *, lower(rule_name || ' ' || pattern_category || ' ' || type || ' ' || description) AS h FROM {KINDS})")
 def cwe_mapping(spark, sf_dir):
     c = F.col
