@@ -13,6 +13,7 @@ from ..operators import baseline, context, detect, enrich, history, merge, repor
 from ..plans import dims, engine
 from ..sources import files as S
 from ..sources import parsers
+from ..sources.workers import reach
 from ..streaming import incremental
 from .derived import CODE, FINDINGS, TECH, duck, frame
 
@@ -32,7 +33,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -469,7 +470,7 @@ def test_credentials(spark, sf_dir):
     return merge.with_test_flag(findings(spark, sf_dir)).select("ord", "test_confidence", "is_test_credential", "severity")
 
 
-@query(f"SELECT count(*) AS total, count(DISTINCT substr(value, 1, 50)) AS distinct_values, count_if(p > 0.3) AS tests, count_if(p <= 0.3) AS real, " + ", ".join(f"count_if(CASE WHEN p > 0.3 THEN CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE 'info' END ELSE severity END = '{s}') AS {s}" for s in dims.SEVERITIES) + f" FROM (SELECT ord, p, severity FROM {POINTS}) JOIN (SELECT ord, value FROM {FIND}) USING (ord)")
+@query(f"SELECT count(*) AS total, count(DISTINCT substr(value, 1, 50)) AS distinct_values, count_if(p > 0.3)::BIGINT AS tests, count_if(p <= 0.3)::BIGINT AS real, " + ", ".join(f"count_if(CASE WHEN p > 0.3 THEN CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE 'info' END ELSE severity END = '{s}')::BIGINT AS {s}" for s in dims.SEVERITIES) + f" FROM (SELECT ord, p, severity FROM {POINTS}) JOIN (SELECT ord, value FROM {FIND}) USING (ord)")
 def finding_summary(spark, sf_dir):
     return merge.summary(merge.with_test_flag(findings(spark, sf_dir)))
 
@@ -641,7 +642,7 @@ def breach_correlation(spark, sf_dir):
     return enrich.with_breaches(x, _breaches(x)).select("ord", "breach_exposure", "severity")
 
 
-@query(f"SELECT count_if(verification LIKE 'ACTIVE%' OR verification LIKE 'INVALID%') AS verifiable, count_if(verification LIKE 'ACTIVE%') AS live, coalesce(round(count_if(verification LIKE 'ACTIVE%') / nullif(count_if(verification LIKE 'ACTIVE%' OR verification LIKE 'INVALID%'), 0), 6), 0)::DOUBLE AS live_rate, count_if(breach_exposure LIKE 'EXPOSED%') AS breached FROM {BREACH}")
+@query(f"SELECT count_if(verification LIKE 'ACTIVE%' OR verification LIKE 'INVALID%')::BIGINT AS verifiable, count_if(verification LIKE 'ACTIVE%')::BIGINT AS live, coalesce(round(count_if(verification LIKE 'ACTIVE%') / nullif(count_if(verification LIKE 'ACTIVE%' OR verification LIKE 'INVALID%'), 0), 6), 0)::DOUBLE AS live_rate, count_if(breach_exposure LIKE 'EXPOSED%')::BIGINT AS breached FROM {BREACH}")
 def verification_stats(spark, sf_dir):
     x = findings(spark, sf_dir)
     return enrich.verification_stats(enrich.with_breaches(enrich.with_verdicts(x, _verdicts(x)), _breaches(x)))

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.workers import reach
+
 # Findings out of orders: paths, lines and values repeat, so groups, merges and joins have work.
 FINDINGS = """
 SELECT o_orderkey AS ord,
@@ -58,7 +60,7 @@ TABLE = re.compile(r"\{(orders|lineitem|part)\}")
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
+    return reach(spark).sql(TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
 
 
 def duck(sql: str) -> str:
