@@ -20,6 +20,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shared.reach(spark)
     return simhash.keep_first(docs)
 
 
@@ -28,6 +29,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shared.reach(spark)
     return bpe.encode(docs.select("doc_id", "text"), digests=True)
 
 
