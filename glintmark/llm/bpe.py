@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Remembered pieces of text in one task's process; all are forgotten when there are more.
-REMEMBER = 600_000
+REMEMBER = 400_000
 #: Bytes that a stream reads before it looks for stable tokens, beyond the lookahead.
 STEP = 4096
 #: Bytes of a word that is flushed together with others.
@@ -309,7 +309,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, dig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in shared.cut(batches, 8 << 20):
+        for b in shared.cut(batches, 4 << 20):
             ids = encode_texts(v, [x or "" for x in b.column(text_at).to_pylist()])
             if digests:
                 decoded = []
