@@ -41,7 +41,7 @@ SHORT = 64
 NONE = 1 << 60
 NEVER = 2**31 - 1
 #: White space as the vocabulary's pattern sees it (Unicode's White_Space).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_letters() -> dict[str, int]:

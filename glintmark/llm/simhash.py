@@ -75,8 +75,10 @@ def _signed(x: int) -> int:
 def links(distinct: DataFrame, radius: int = 2, small: int = SMALL) -> DataFrame:
     """(a, b) with a > b, enough links between fingerprints to join every pair within radius; none farther apart.
 
-    distinct: one column fp. Above radius 2 large buckets are compared in salted blocks instead of by flips.
+    distinct: one column fp. Radius 1 or 2: beyond, one flip doesn't reach half the distance.
     """
+    if radius not in (1, 2):
+        raise ValueError("radius 1 or 2")
     masks = covering_masks(radius)
     bucketed = distinct.select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("v", "key")
@@ -91,22 +93,18 @@ def links(distinct: DataFrame, radius: int = 2, small: int = SMALL) -> DataFrame
     )
     pairs = few.select(F.explode(near).alias("s")).select(F.explode("s.near").alias("a"), F.col("s.b").alias("b"))
     many = shared_buckets.where(F.col("n") > small)
-    if radius <= 2:
-        flips = F.element_at(
-            F.array(*[F.array(F.lit(0), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]).cast("array<bigint>") for m in masks]),
-            F.col("v") + 1,
-        )
-        hubs = many.select("v", "fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("hub"))
-        # A hub value contains its bucket's key, as flips are on the cleared bits. A flip's two ends are within 2.
-        if radius == 2:
-            low = hubs.groupBy("v", "hub").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-            rest = hubs.join(low, ["v", "hub"]).where("fp > b").select(F.col("fp").alias("a"), "b")
-        else:
-            both = many.select("v", F.col("fp").alias("hub")).distinct()
-            rest = hubs.join(both, ["v", "hub"]).where("fp > hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    flips = F.element_at(
+        F.array(*[F.array(F.lit(0), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]).cast("array<bigint>") for m in masks]),
+        F.col("v") + 1,
+    )
+    hubs = many.select("v", "fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("hub"))
+    # A hub value contains its bucket's key, as flips are on the cleared bits. A flip's two ends are within 2.
+    if radius == 2:
+        low = hubs.groupBy("v", "hub").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        rest = hubs.join(low, ["v", "hub"]).where("fp > b").select(F.col("fp").alias("a"), "b")
     else:
-        other = many.select("v", "key", F.col("fp").alias("b"))
-        rest = many.join(other, ["v", "key"]).where((F.col("fp") > F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius)).select(F.col("fp").alias("a"), "b")
+        both = many.select("v", F.col("fp").alias("hub")).distinct()
+        rest = hubs.join(both, ["v", "hub"]).where("fp > hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     return pairs.union(rest).distinct()
 
 
