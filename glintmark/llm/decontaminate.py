@@ -162,7 +162,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in shared.cut(batches):
+        for b in shared.cut(batches, 4 << 20):  # a batch's words are held while the files of windows pass by
             rows = [
                 {"n_words": n, "n_hit": sum(e - a for a, e in runs), "items": ids, "spans": [{"first": a, "end": e} for a, e in runs]}
                 for n, runs, ids in examine(shared.as_bytes(b.column(text_at)), files)
