@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Remembered pieces of text in one task's process; all are forgotten when there are more.
-REMEMBER = 400_000
+REMEMBER = 250_000
+#: Bytes of the texts that are encoded together.
+BATCH = 2 << 20
 #: Bytes that a stream reads before it looks for stable tokens, beyond the lookahead.
 STEP = 4096
-#: Bytes of a word that is flushed together with others.
-SHORT = 64
+#: Bytes of a word that is flushed together with others, and most words that are.
+SHORT, TOGETHER = 64, 1 << 14
 NONE = 1 << 60
 NEVER = 2**31 - 1
 #: White space as the vocabulary's pattern sees it (Unicode's White_Space).
@@ -236,7 +238,8 @@ def _learn(v: Vocabulary, pieces: set[str]) -> dict[str, bytes]:
         else:
             encoder = Encoder(v)
             out[w] = np.array([*encoder.push(raw), *encoder.flush()], "<u4").tobytes()
-    out.update(zip(short, flush_all(v, short)))
+    for at in range(0, len(short), TOGETHER):
+        out.update(zip(short[at : at + TOGETHER], flush_all(v, short[at : at + TOGETHER])))
     get = out.get
     out.update([(p, b"".join([get(w) or known[w] for w in words])) for p, words in cut_up.items()])
     return out
@@ -309,7 +312,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, dig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in shared.cut(batches, 4 << 20):
+        for b in shared.cut(batches, BATCH):
             ids = encode_texts(v, [x or "" for x in b.column(text_at).to_pylist()])
             if digests:
                 decoded = []
