@@ -10,8 +10,9 @@ distinct first (with partial sums in each task), so a first turn that most logs
 only per conversation, to render it.
 
 Turns go by `turn` (null first), then role, then text; rows that repeat are turns of their own. Null differs from empty in
-the comparison and is rendered as empty. Rows with a null conv_id are one conversation. Two conversations without turns can't
-exist; an empty table gives no rows. Further columns are ignored.
+the comparison and is rendered as empty. Each row with a null conv_id is a conversation of one turn, so such rows are never
+brought together, however many there are. Two conversations without turns can't exist; an empty table gives no rows.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,23 +26,31 @@ from . import shared
 BEGIN, BETWEEN, END = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
-def prefixes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def _item(salt: str) -> Column:
+    """40 bits for a turn's place, role and text."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), "k", F.col("role").isNull(), "role", F.col("text").isNull(), "text"), 24)
+
+
+def single(rows: DataFrame) -> DataFrame:
+    """ha, hb, role, text of the rows without a conversation's id."""
+    return rows.where("conv_id is null").withColumn("k", F.lit(1)).select(_item("a").alias("ha"), _item("b").alias("hb"), "role", "text")
+
+
+def prefixes(rows: DataFrame) -> DataFrame:
     """conv_id, k (turns so far), ha and hb (their hashes), more (whether turns follow)."""
-    order = Window.partitionBy(conv_col).orderBy(turn_col, role_col, text_col)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     soon = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    item = lambda salt: F.shiftrightunsigned(F.xxhash64(F.lit(salt), "k", F.col(role_col).isNull(), role_col, F.col(text_col).isNull(), text_col), 24)
-    placed = turns.withColumn("k", F.row_number().over(order))
-    return placed.select(
-        F.col(conv_col).alias("conv_id"), "k", F.sum(item("a")).over(soon).alias("ha"), F.sum(item("b")).over(soon).alias("hb"), F.lead(F.lit(1)).over(order).isNotNull().alias("more")
-    )
+    placed = rows.where("conv_id is not null").withColumn("k", F.row_number().over(order))
+    named = placed.select("conv_id", "k", F.sum(_item("a")).over(soon).alias("ha"), F.sum(_item("b")).over(soon).alias("hb"), F.lead(F.lit(1)).over(order).isNotNull().alias("more"))
+    return named.union(single(rows).select(F.lit(None).cast(rows.schema["conv_id"].dataType), F.lit(1), "ha", "hb", F.lit(False)))
 
 
 def maximal(marked: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies of the conversations that no longer one begins with."""
+    """conv_id, n_turns, n_copies, ha, hb of the conversations that no longer one begins with."""
     key = ["k", "ha", "hb"]
     whole = marked.where("not more").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     begun = marked.where("more").select(*key).distinct()
-    return whole.join(begun, key, "left_anti").select("conv_id", F.col("k").cast("long").alias("n_turns"), "n_copies")
+    return whole.join(begun, key, "left_anti").select("conv_id", F.col("k").cast("long").alias("n_turns"), "n_copies", "ha", "hb")
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -51,12 +60,13 @@ def rendered(role: Column, text: Column) -> Column:
 
 def chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, n_turns, n_copies, chat: one row for each maximal conversation."""
-    marked = shared.stored(prefixes(turns, conv_col, turn_col, role_col, text_col), "chat-prefixes")
-    kept = shared.stored(maximal(marked), "chat-maximal")
-    rows = turns.select(F.col(conv_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("conv_id"))).groupBy("conv_id", "n_turns", "n_copies")
-    together = rows.agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return together.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("turns", lambda x: rendered(x["role"], x["text"])), "").alias("chat"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    kept = shared.stored(maximal(shared.stored(prefixes(rows), "chat-prefixes")), "chat-maximal")
+    together = rows.join(kept, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    named = together.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("turns", lambda x: rendered(x["role"], x["text"])), "").alias("chat"))
+    # Rows of one hash are equal; they meet inside tasks before the join.
+    alone = single(rows).groupBy("ha", "hb").agg(F.min(F.struct("role", "text")).alias("x")).join(kept.where("conv_id is null"), ["ha", "hb"])
+    return named.union(alone.select("conv_id", "n_turns", "n_copies", rendered(F.col("x.role"), F.col("x.text"))))
 
 
 def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +74,9 @@ def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM conversations),
-p AS (SELECT conv_id, k, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY k) AS l, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+WITH r AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations),
+t AS (SELECT conv_id, alone, role, text, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM r),
+p AS (SELECT conv_id, k, list({'r': role, 't': text}) OVER (PARTITION BY conv_id, alone ORDER BY k) AS l, count(*) OVER (PARTITION BY conv_id, alone) AS n FROM t),
 whole AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies, max(n) AS n_turns FROM p WHERE k = n GROUP BY l),
 begun AS (SELECT DISTINCT l FROM p WHERE k < n)
 SELECT conv_id, n_turns, n_copies,

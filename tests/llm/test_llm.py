@@ -55,6 +55,18 @@ def test_chat_awkward(spark):
     assert chat.chats(spark.createDataFrame([], t)).count() == 0
 
 
+def test_chat_without_ids(spark, duck):
+    rows = [(None, 0, "user", "hi"), (None, 3, "user", "lone"), (None, None, "user", "lone"), (None, 0, "bot", None), (1, 0, "user", "hi"), (1, 1, "bot", "yes"), (2, 5, "bot", None)]
+    rows = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id or 0, r.n_turns, r.n_copies, r.chat) for r in chat.chats(rows).collect()))
+    assert [x[:3] for x in got] == [(0, 1, 2), (1, 2, 1), (2, 1, 2)]  # "hi" begins a longer one; a copy with an id names both
+    assert got[0][3] == "<|im_start|>user\nlone<|im_end|>\n"
+    with duck.cursor() as c:
+        c.register("given", rows.toArrow())
+        sql = chat.OP1_SQL.replace("FROM conversations", "FROM given")
+        assert sorted((r[0] or 0, *r[1:]) for r in c.execute(f"SELECT conv_id, n_turns, n_copies, chat FROM ({sql})").fetchall()) == got
+
+
 # 2 warc
 
 
