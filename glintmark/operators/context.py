@@ -10,6 +10,8 @@ from ..plans import dims
 
 #: Lines before and after a finding that count for a group of contexts.
 FRAMES = {"code": (-5, 5), "config": (-9, 5), "api": (-10, 10)}
+#: Lines of a file that one window task takes; longer files are split.
+BLOCK = 8192
 CONFIG_FILE = "(?i)\\.(ya?ml|json|toml|ini|conf|cfg|env)$|config"
 
 
@@ -18,6 +20,23 @@ def _hits(group: str, text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(f"(?im){rx}"), n) for g, n, _, rx in dims.CONTEXTS if g == group]))
 
 
+def _block(line: Column) -> Column:
+    return F.floor(line / BLOCK)
+
+
+def _blocks(lines: DataFrame, before: int, after: int) -> DataFrame:
+    """lines with a block of their file, and once more in the neighbour that their frames reach into.
+
+    Windows by (path, block) then see all they need, so a huge file is many small groups. `_own` drops the extra rows.
+    """
+    reached = F.array_distinct(F.array(_block(F.col("line") - after), _block(F.col("line")), _block(F.col("line") + before)))
+    return lines.select("*", F.explode(reached).alias("block"))
+
+
+def _own(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("block").eqNullSafe(_block(F.col("line")))).drop("block")
+
+
 def line_contexts(lines: DataFrame, findings: DataFrame, frame: int = 5) -> DataFrame:
     """path, line, code, config, api: contexts in the window around each line with a finding.
 
@@ -25,11 +44,12 @@ def line_contexts(lines: DataFrame, findings: DataFrame, frame: int = 5) -> Data
     findings take part.
     """
     own = lines.join(findings.select("path").distinct(), "path", "left_semi").select("path", "line", *[_hits(g, F.col("text")).alias(g) for g in FRAMES])
-    order = Window.partitionBy("path").orderBy("line")
+    order = Window.partitionBy("path", "block").orderBy("line")
     spans = FRAMES | {"code": (-frame, frame)}
-    near = {g: F.array_distinct(F.flatten(F.collect_list(g).over(order.rowsBetween(*spans[g])))) for g in FRAMES}
+    near = {g: F.array_distinct(F.flatten(F.collect_list(g).over(order.rangeBetween(*spans[g])))) for g in FRAMES}
     near["config"] = F.when(F.col("path").rlike(CONFIG_FILE), near["config"]).otherwise(F.array().cast("array<string>"))
-    return own.select("path", "line", *[near[g].alias(g) for g in FRAMES])
+    cut = _blocks(own, max(-a for a, _ in spans.values()), max(b for _, b in spans.values()))
+    return _own(cut.select("path", "line", "block", *[near[g].alias(g) for g in FRAMES]))
 
 
 def file_contexts(path: Column) -> Column:
@@ -96,5 +116,6 @@ def with_context(findings: DataFrame, files: DataFrame, lines: DataFrame, frame:
 def config_section(lines: DataFrame, reach: int = 15) -> DataFrame:
     """path, line, section: the nearest preceding key:, [section] or "key": within reach lines; root if none."""
     own = F.coalesce(*[F.nullif(F.regexp_extract("text", rx, 1), F.lit("")) for rx in ("^\\s*([a-zA-Z_][a-zA-Z0-9_]*):", "^\\s*\\[([^\\]]+)\\]", '^\\s*"([^"]+)"\\s*:')])
-    frame = Window.partitionBy("path").orderBy("line").rowsBetween(-reach, 0)
-    return lines.select("path", "line", F.coalesce(F.last(own, ignorenulls=True).over(frame), F.lit("root")).alias("section"))
+    frame = Window.partitionBy("path", "block").orderBy("line").rangeBetween(-reach, 0)
+    cut = _blocks(lines.select("path", "line", own.alias("own")), reach, 0)
+    return _own(cut.select("path", "line", "block", F.coalesce(F.last("own", ignorenulls=True).over(frame), F.lit("root")).alias("section")))

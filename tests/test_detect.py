@@ -79,6 +79,15 @@ def test_windows_are_clipped(spark):
     assert [k for k, v in near.items() if "error_handling" in v] == list(range(2, 13))
 
 
+def test_windows_over_blocks(spark, monkeypatch):
+    text = ["x", "try {", "name:", "token: 1", "x", "[part]", "const AB = 1", *["x"] * 14, "password: 2", *["x"] * 25]
+    given = lines(spark, *text).withColumn("path", F.lit("a/config.yml"))
+    found = lambda: [sorted(context.line_contexts(given, given).collect()), sorted(context.config_section(given).collect())]
+    whole = found()
+    monkeypatch.setattr(context, "BLOCK", 16)
+    assert found() == whole and len(whole[0]) == len(whole[1]) == len(text)
+
+
 def test_exposure_words(spark):
     day = 86400
     got = [value(spark, history.window_text(F.lit(a).cast("long"), F.lit(b).cast("long"), F.lit(n))) for a, b, n in [(day, 71 * day, 3), (day, 2 * day, 2), (day, day, 1), (0, 5, 2)]]
