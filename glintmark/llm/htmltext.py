@@ -4,7 +4,12 @@ A page becomes blocks of text in page order, each with its root-to-leaf path of
 punctuation marks are summed and divided by the path's blocks. Both ratios are smoothed along the page with a Gaussian
 window, fused (geometric mean of length and of one plus punctuation), weighted by what tags, classes and link share
 say about the path, and averaged again per path. Paths at or above a share of the page's spread are content: all their blocks
-are kept, so a short paragraph of an article stays.
+are kept, so a short paragraph of an article stays. Blocks in an article, main or labelled element take the best score of
+its paths, less the path's link share, so short lists, tables and code of a kept article stay too.
+
+Labels and forms can be wrappers of the whole page. One that holds most of its text doesn't count against an
+article or main element inside, nor, if the label is only a part of a longer name, against a page that would have no text
+otherwise. A form with much text for each of its controls counts only where its controls are.
 
 Null or empty html gives an empty text. Broken markup is read as browsers do: unclosed paragraphs and items end where
 the next begins, an unclosed comment, script or tag runs to the end. Pages without any path above the threshold give their best
@@ -36,6 +41,9 @@ ENDS = {
 }
 BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu address fieldset".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: What makes a form a form, and how much text for each of them makes it a wrapper.
+CONTROLS, FORM_TEXT = frozenset("input select textarea button".split()), 200
+FORMS = frozenset(("form", "fieldset"))
 #: Words of class, id and role attributes.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer "
@@ -55,35 +63,81 @@ TAG = re.compile(
     re.S,
 )
 LABELS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+HIDDEN = re.compile(r"\btype\s*=\s*[\"']?hidden\b", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Element:
+    """An open element: weight 1 unknown, above 1 main; zeros are the boilerplate elements around it, itself included."""
+
+    __slots__ = ("name", "label", "controls", "weight", "zeros", "inside", "main", "article", "contents")
+
+    def __init__(self, name: str, label: str, up: Element | None) -> None:
+        self.name, self.label, self.controls = name, label, int(name == "label")
+        self.weight, self.zeros, self.contents = (up.weight, up.zeros, up.contents) if up else (1.0, (), ())
+        # So many of the zeros are around the innermost main or article that no article is around; whether that is a main.
+        self.inside, self.main, self.article = (up.inside, up.main, up.article) if up else (0, False, False)
+
+    def zero(self, form: bool, tag: bool, whole: bool) -> None:
+        self.zeros = (*self.zeros, Zero(form, tag, whole))
+
+
+class Zero:
+    """A boilerplate element: whole says that it is so by its tag or a whole name, not by a part of a name."""
+
+    __slots__ = ("form", "tag", "whole", "chars", "controls")
+
+    def __init__(self, form: bool, tag: bool, whole: bool) -> None:
+        self.form, self.tag, self.whole, self.chars, self.controls = form, tag, whole, 0, 0
+
+
 class Block:
-    __slots__ = ("path", "parts", "weight", "linked")
+    __slots__ = ("path", "parts", "weight", "linked", "parent")
 
-    def __init__(self, path: tuple[str, ...], weight: float) -> None:
-        self.path, self.weight, self.parts, self.linked = path, weight, [], 0
+    def __init__(self, path: tuple[str, ...], parent: Element) -> None:
+        self.path, self.parts, self.weight, self.linked, self.parent = path, [], parent.weight, 0, parent
 
 
-def _open(name: str, attributes: str) -> tuple[str, frozenset[str]]:
+def _open(name: str, attributes: str) -> tuple[str, frozenset[str], frozenset[str]]:
     found = [(m[1].lower(), next(x for x in m.groups()[1:] + ("",) if x is not None)) for m in LABELS.finditer(attributes)] if attributes else []
     words = frozenset(w.lower() for _, x in found for w in WORD.findall(x))
-    return name + "".join(sorted({f".{w}" for w in words})), words
+    return name + "".join(sorted({f".{w}" for w in words})), words, frozenset(w for _, x in found for w in x.lower().split())
+
+
+def _weigh(found: list[Block]) -> None:
+    """Set the weight of blocks inside boilerplate to 0, except where that boilerplate is a wrapper of the page."""
+    total = 0
+    for b in found:
+        n = len(" ".join("".join(b.parts).split()))
+        total += n
+        for z in b.parent.zeros:
+            z.chars += n
+    most = lambda z: not z.tag and 2 * z.chars > total
+    spared = lambda z, e: z.form and z.chars > FORM_TEXT * z.controls and not e.controls
+    around = lambda z, k, e: k < e.inside and most(z) and (e.main or not z.whole)
+    for b in found:
+        if not all(spared(z, b.parent) or around(z, k, b.parent) for k, z in enumerate(b.parent.zeros)):
+            b.weight = 0.0
+    if not any(b.weight for b in found):
+        for b in found:
+            if all(spared(z, b.parent) or (most(z) and not z.whole) for z in b.parent.zeros):
+                b.weight = b.parent.weight
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order; those inside skipped elements are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str, float]] = []  # name, label, weight: 0 boilerplate, 1 unknown, above 1 main
+    stack: list[Element] = []
+    top = Element("", "", None)
     skipped = links = 0
     block: Block | None = None
     at, n = 0, len(page)
 
     def pop(k: int) -> None:
         nonlocal skipped, links
-        for name, _, _ in stack[k:]:
-            skipped -= name in SKIPPED
-            links -= name == "a"
+        for x in stack[k:]:
+            skipped -= x.name in SKIPPED
+            links -= x.name == "a"
         del stack[k:]
 
     def add(text: str) -> None:
@@ -93,7 +147,7 @@ def blocks(page: str) -> list[Block]:
         if block is None:
             if not text.strip():
                 return
-            block = Block(tuple(x[1] for x in stack if x[0] not in INLINE), stack[-1][2] if stack else 1.0)
+            block = Block(tuple(x.label for x in stack if x.name not in INLINE), next((x for x in reversed(stack) if x.name not in INLINE), top))
             out.append(block)
         text = entities.unescape(text)
         block.parts.append(text)
@@ -112,8 +166,8 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:
             if name == "br":
                 add(" ")
-            elif (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)) >= 0:
-                if name not in INLINE or any(x[0] not in INLINE for x in stack[k:]):
+            elif (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), -1)) >= 0:
+                if name not in INLINE or any(x.name not in INLINE for x in stack[k:]):
                     if name in INLINE:  # an inline end tag doesn't close blocks
                         links -= name == "a"
                         del stack[k]
@@ -127,34 +181,47 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             add(" ")
             continue
+        if name in CONTROLS and not HIDDEN.search(attributes):
+            next((x for x in reversed(stack) if x.name not in INLINE), top).controls += 1
+            for z in stack[-1].zeros if stack else ():
+                z.controls += z.form
         if name not in INLINE:
             block = None
-            if name not in SKIPPED and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), -1)) >= 0:
+            if name not in SKIPPED and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == "p"), -1)) >= 0:
                 pop(k)
             closes, bounds = ENDS.get(name, ((), ()))
             for k in range(len(stack) - 1, -1, -1) if closes else ():
-                if stack[k][0] in bounds:
+                if stack[k].name in bounds:
                     break
-                if stack[k][0] in closes:
+                if stack[k].name in closes:
                     pop(k)
                     break
         if name in VOID or attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
-        label, words = _open(name, attributes) if name not in INLINE else (name, frozenset())
-        weight = stack[-1][2] if stack else 1.0
-        if name in BOILERPLATE_TAGS or (words & BOILERPLATE and name not in ("html", "body", "article", "main")) or (name == "header" and weight < INSIDE):
-            weight = 0.0
-        elif weight and name in MAIN_TAGS:
-            weight = INSIDE
-        elif weight and words & MAIN and name not in ("html", "body"):
-            weight = max(weight, LABELLED)
-        stack.append((name, label, weight))
+        label, words, names = _open(name, attributes) if name not in INLINE else (name, frozenset(), frozenset())
+        x = Element(name, label, stack[-1] if stack else top)
+        labelled = bool(words & BOILERPLATE) and name not in ("html", "body", "article", "main")
+        if name in BOILERPLATE_TAGS or labelled or (name == "header" and x.weight < INSIDE):
+            form = name in FORMS and not words & BOILERPLATE - {"form"}
+            x.zero(form, name in BOILERPLATE_TAGS and name not in FORMS or name == "header", bool(names & BOILERPLATE))
+        if name in MAIN_TAGS:
+            if not x.article and not words & BOILERPLATE:
+                x.inside, x.main = len(x.zeros), name == "main"
+            if x.weight < INSIDE:
+                x.contents = (x,)
+            x.weight, x.article = INSIDE, x.article or name == "article"
+        elif words & MAIN and name not in ("html", "body"):
+            x.weight = max(x.weight, LABELLED)
+            if x.weight < INSIDE:
+                x.contents = (*x.contents, x)
+        stack.append(x)
         skipped += name in SKIPPED
         links += name == "a"
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             pop(len(stack) - 1)
             at = end.end() if end else n
+    _weigh(out)
     return out
 
 
@@ -187,8 +254,16 @@ def main_text(page: str | None) -> str:
     score = {path: sum(x) / len(x) for path, x in fused.items()}
     mean = sum(score.values()) / len(score)
     spread = mean + math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
-    keep = {path for path, x in score.items() if x > 0 and x >= SHARE * spread}
-    return "\n".join(t for b, t in zip(found, texts) if b.path in keep and b.weight > 0)
+    best: dict[Element, float] = {}
+    for b in found:
+        for x in b.parent.contents if b.weight else ():
+            best[x] = max(best.get(x, 0), score[b.path])
+
+    def reaches(b: Block) -> bool:
+        given = best[b.parent.contents[-1]] * (1 - sums[b.path][3] / max(1, sums[b.path][1])) if b.parent.contents else 0
+        return max(score[b.path], given) >= SHARE * spread and max(score[b.path], given) > 0
+
+    return "\n".join(t for b, t in zip(found, texts) if b.weight > 0 and reaches(b))
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:

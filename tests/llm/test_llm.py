@@ -129,6 +129,28 @@ def test_html_text(page, want):
     assert htmltext.main_text(page) == want
 
 
+ITEMS = "".join(f"<li>item {k}</li>" for k in range(12))
+LINES = "\n".join(f"item {k}" for k in range(12))
+STORY = "The first sentence of the story, as long as sentences are. A second one follows, with a comma; and a third!"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class='content has-sidebar'><article><p>{STORY}</p></article><div class=sidebar>Links</div></div>", STORY),
+        (f"<div class='page-header-fixed'><div class='has-sidebar'><main><div class='with-sidebar'><article><p>{STORY}</p></article></div></main></div></div>", STORY),
+        (f"<div class='layout-with-sidebar'><p>{STORY}</p></div>", STORY), (f"<div class='overlay'><main><p>{STORY}</p></main></div>", STORY),
+        (f"<form id=form1><input type=hidden><div><label>Search</label><input><button>Go</button></div><div class=page><p>{STORY * 5}</p></div></form>", STORY * 5),
+        (f"<form><input><article><p>{STORY}</p></article></form>", STORY), (f"<article><p>{STORY * 5}</p></article><div class=comments-list><article class=comment><p>{STORY * 9}</p></article></div>", STORY * 5),
+        (f"<article><p>{STORY * 9}</p><ul>{ITEMS}</ul></article>", f"{STORY * 9}\n{LINES}"), (f"<div class=post><p>{STORY * 9}</p><ul>{ITEMS}</ul></div><ul>{ITEMS}</ul>", f"{STORY * 9}\n{LINES}"),
+        (f"<main><article><p>{STORY * 9}</p><table><tr><td>a<td>1</table><pre>x = 1</pre><ul><li><a href=x>Next</a></ul></article></main>", f"{STORY * 9}\na\n1\nx = 1"),
+        (f"<div class=comments><article><p>{STORY}</p></article></div><nav><p>{STORY * 2}</p></nav>", ""),
+    ],
+)
+def test_html_wrappers_and_short_blocks(page, want):
+    assert htmltext.main_text(page) == want
+
+
 def test_html_pages(spark, sf_dir):
     import html
 
