@@ -9,8 +9,9 @@ The windows are a stated set that runs against all rows. They are written to the
 CHUNK windows, and tasks load one file at a time, so neither the driver nor a task ever holds an unbounded set.
 
 Null texts have no words. Empty benchmarks hit nothing. Repeated items (equal ids) count once, repeated windows of one
-item once; items with a null id are ignored as no result could name them; ids are compared as strings. Rows
-that repeat are kept as rows. Further columns are kept by `scan` and by `clean`.
+item once; ids are compared as strings. Windows of items with a null id hit like any other, but add no id to `items`, as
+nothing could name them: in the query and in `clean` always, in `scan` where `unnamed` is set. Rows that repeat are kept
+as rows. Further columns are kept by `scan` and by `clean`.
 """
 
 from __future__ import annotations
@@ -87,8 +88,8 @@ def windows_of(words: list[bytes], window: int = WINDOW) -> set[tuple[bytes, ...
     return {tuple(words[k : k + window]) for k in range(max(1, len(words) - window + 1))}
 
 
-def write_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, at: str, chunk: int) -> DataFrame:
-    """Tables of patterns as files below at; returns their places."""
+def write_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, at: str, chunk: int, unnamed: bool = False) -> DataFrame:
+    """Tables of patterns as files below at; returns their places. unnamed: items with a null id have windows, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[bytes, ...], set[str]] = {}
@@ -108,13 +109,13 @@ def write_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int,
         for b in shared.cut(batches):
             for item, text in zip(b.column(0).to_pylist(), shared.as_bytes(b.column(1))):
                 for w in windows_of(words_of(text), window):
-                    held.setdefault(w, set()).add(item)
+                    held.setdefault(w, set()).update(() if item is None else (item,))
                     if len(held) >= chunk:
                         flush()
         flush()
         yield pa.record_batch([pa.array(files, pa.string())], names=["file"])
 
-    items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    items = (benchmark if unnamed else benchmark.where(F.col(id_col).isNotNull())).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     return items.mapInArrow(run, "file string")
 
 
@@ -151,10 +152,10 @@ def examine(texts: list[bytes | None], files: list[str]) -> list[tuple[int, list
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<first:int,end:int>>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text: str = "text", window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text: str = "text", window: int = WINDOW, chunk: int = CHUNK, unnamed: bool = False) -> DataFrame:
     """docs with one more column `found`: n_words, n_hit, items (sorted as strings), spans of covered words."""
     spark = docs.sparkSession
-    files = [x.file for x in write_windows(benchmark, id_col, item_text, window, shared.scratch(spark, "decontaminate"), chunk).collect()]
+    files = [x.file for x in write_windows(benchmark, id_col, item_text, window, shared.scratch(spark, "decontaminate"), chunk, unnamed).collect()]
     files = sorted(set(files))  # names only: one for each CHUNK windows of the stated set
     columns = [f"c{k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*columns)
@@ -175,12 +176,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Pipeline form: docs without the rows in which a benchmark window occurs."""
-    return scan(docs, benchmark, **options).where(F.col("found.n_hit") == 0).drop("found")
+    return scan(docs, benchmark, **{"unnamed": True, **options}).where(F.col("found.n_hit") == 0).drop("found")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(docs, shared.table(spark, sf_dir, "benchmark")).select(
+    return scan(docs, shared.table(spark, sf_dir, "benchmark"), unnamed=True).select(
         "doc_id",
         F.col("found.n_words").alias("n_words"),
         F.col("found.n_hit").alias("n_hit"),

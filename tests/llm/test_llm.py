@@ -426,6 +426,18 @@ def test_decontamination_small(spark, awkward, chunk):
     assert decontaminate.clean(odd, bench.limit(0)).columns == odd.columns and decontaminate.scan(odd.limit(0), bench).count() == 0
 
 
+def test_decontamination_without_ids(spark, tmp_path):
+    words = " ".join(f"w{k}" for k in range(12))
+    docs = docs_of(spark, [(1, f"a {words} b"), (2, "nothing of it"), (3, "named one")])
+    bench = spark.createDataFrame([(None, words), (7, "named one")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.op10_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    name = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == {1: (12, 0, name(""), True), 2: (0, 0, name(""), False), 3: (2, 1, name("7"), True)}
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
+
+
 # Pipeline
 
 
