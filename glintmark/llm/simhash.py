@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -45,16 +45,18 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) for every row; fp is the unsigned fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, mark: Column | None = None) -> DataFrame:
+    """(doc_id, fp long) for every row, and its mark if given; fp is the unsigned fingerprint's bits as a signed long."""
+    more = [] if mark is None else ["mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.cut(batches):
             fps = [fingerprint(x, shingle, seed) for x in shared.as_bytes(b.column(1))]
-            yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *more])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([] if mark is None else [mark.alias("mark")]))
+    return own.mapInArrow(run, ", ".join([f"doc_id {kind}, fp long", *(f"{c} string" for c in more)]))
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -163,26 +165,38 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root): every fingerprint of prints with its smallest doc_id and its class."""
+    classes = shared.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    root = components(links(classes.select("fp"), radius))
+    return classes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
     prints = shared.stored(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-prints")
-    classes = shared.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    root = components(links(classes.select("fp"), radius))
-    # One row a fingerprint that has links; the class's smallest doc_id by an aggregate over distinct fingerprints.
-    linked = classes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # The class's smallest doc_id by an aggregate over distinct fingerprints.
+    linked = _classes(prints, radius)
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = linked.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """Pipeline form: of each class the row with the smallest doc_id stays, and of rows that repeat that id one.
+    """Pipeline form: of each class one row stays, the first by doc_id (null last), fingerprint, then hashes of text and row.
 
-    Rows without a doc_id can't be named as copies and stay. The join and the removal of repeats share one shuffle.
+    Ids needn't be unique or given, as rows are told apart by id and hashes. The choice is made on these small keys, which
+    tasks sum up first. Rows that agree in them are equal; the join and their removal share one shuffle.
     """
-    found = near_duplicates(docs, id_col, text_col, radius).where(F.col("doc_id") == F.col("component_id"))
-    stay = found.select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    others = [c for c in docs.columns if c not in (id_col, text_col) and docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    mark = F.concat(F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")), F.lit(" "), F.hex(F.xxhash64(*others)) if others else F.lit(""))
+    prints = shared.stored(fingerprints(docs, id_col, text_col, mark=mark), "simhash-prints")
+    first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "fp", "mark")).alias("x")
+    found = prints.join(_classes(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(first)
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    keys = ["__id", "__mark"]
+    stay = found.select(name("x.doc_id").alias("__id"), F.col("x.mark").alias("__mark"))
+    return docs.withColumns({"__id": name(id_col), "__mark": mark}).join(stay, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

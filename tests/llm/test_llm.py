@@ -237,6 +237,14 @@ def test_simhash_awkward(spark, awkward):
     assert simhash.near_duplicates(awkward.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_row_a_class(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    kept = lambda rows: sorted((r.doc_id or 0, r.text) for r in simhash.keep_first(docs_of(spark, rows)).collect())
+    assert kept([(5, a), (5, b)]) == [(5, a), (5, b)]
+    assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(None, c)] * 20 + [(None, a), (2, a), (2, a), (1, None), (None, "")]) == [(0, c), (1, None), (2, a)]
+
+
 # 6 token files
 
 
