@@ -26,7 +26,7 @@ def files(spark: SparkSession, at: str | list[str], include: list[str] | None =
 
     The filter on the path is applied before any content is read.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false")
     df = read.load(at).where(admitted(F.col("path"), include, exclude))
     return df.select("path", F.col("length"), F.col("modificationTime").alias("modified"), "content")
 

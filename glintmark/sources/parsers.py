@@ -10,6 +10,7 @@ import bz2
 import gzip
 import io
 import json
+import math
 import posixpath
 import re
 import sqlite3
@@ -239,54 +240,62 @@ def safe_member(name: str) -> bool:
     return not (norm.startswith(("/", "..")) or re.match(r"^[A-Za-z]:", norm))
 
 
-def members(name: str, data: bytes, most_bytes: int, most_files: int) -> Iterator[tuple[str, bytes]]:
-    """(name, bytes) of an archive's files that stay inside it and within the limits."""
+def members(name: str, data: bytes, most_bytes: int | None = None, most_files: int | None = None) -> Iterator[tuple[str, bytes | None]]:
+    """(name, bytes) of an archive's files that stay inside it; no bytes for those beyond a limit, if one is set."""
     low = name.lower()
-    left, n = most_bytes, 0
+    left, n = math.inf if most_bytes is None else most_bytes, 0
+    most_files = math.inf if most_files is None else most_files
     if low.endswith((".zip", ".jar", ".war", ".ear", ".apk", ".ipa")):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
-                if info.is_dir() or not safe_member(info.filename) or info.file_size > left or n >= most_files:
+                if info.is_dir() or not safe_member(info.filename):
+                    continue
+                if info.file_size > left or n >= most_files:
+                    yield info.filename, None
                     continue
                 left, n = left - info.file_size, n + 1
                 yield info.filename, z.read(info)
     elif low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz")):
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for m in t:
-                if not m.isfile() or not safe_member(m.name) or m.size > left or n >= most_files:
+                if not m.isfile() or not safe_member(m.name):
+                    continue
+                if m.size > left or n >= most_files:
+                    yield m.name, None
                     continue
                 left, n = left - m.size, n + 1
                 yield m.name, t.extractfile(m).read()
     elif low.endswith((".gz", ".bz2")):
         opened = gzip.GzipFile(fileobj=io.BytesIO(data)) if low.endswith(".gz") else bz2.BZ2File(io.BytesIO(data))
-        body = opened.read(most_bytes + 1)
-        if len(body) <= most_bytes:
-            yield posixpath.basename(name).rsplit(".", 1)[0], body
+        body = opened.read() if most_bytes is None else opened.read(most_bytes + 1)
+        yield posixpath.basename(name).rsplit(".", 1)[0], body if len(body) <= left else None
 
 
-def archive_files(binary: DataFrame, most_bytes: int = 100 << 20, most_files: int = 1000) -> DataFrame:
-    """path (archive!member), archive_path, content of text files inside archives; damaged archives give none."""
+def archive_files(binary: DataFrame, most_bytes: int | None = None, most_files: int | None = None) -> DataFrame:
+    """path (archive!member), archive_path, content of text files inside archives, skipped; damaged archives give none.
+
+    Without limits nothing is skipped. With limits (against archive bombs) a member beyond them is a row without content.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"]):
-                rows = []
                 try:
                     for name, body in members(path, bytes(data), most_bytes, most_files):
-                        if b"\0" not in body[:8192]:
-                            rows.append((f"{path}!{name}", path, body.decode("utf-8", "replace")))
+                        if body is None or b"\0" not in body[:8192]:
+                            row = (f"{path}!{name}", path, None if body is None else body.decode("utf-8", "replace"), body is None)
+                            yield pd.DataFrame([row], columns=["path", "archive_path", "content", "skipped"])
                 except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError, NotImplementedError):
                     pass
-                yield pd.DataFrame(rows, columns=["path", "archive_path", "content"])
 
-    return binary.select("path", "content").mapInPandas(run, "path string, archive_path string, content string")
+    return binary.select("path", "content").mapInPandas(run, "path string, archive_path string, content string, skipped boolean")
 
 
 NAMES = re.compile(r"(?i)secret|token|passw|pwd|key|auth|cred|user|account|login|config|setting")
 
 
-def sqlite_items(binary: DataFrame, rows_per_table: int = 100) -> DataFrame:
-    """Strings of over 8 characters in telling columns of telling tables of SQLite files, rows_per_table of each table."""
+def sqlite_items(binary: DataFrame, rows_per_table: int | None = 100) -> DataFrame:
+    """Strings of over 8 characters in telling columns of telling tables of SQLite files, rows_per_table of each table (None: all)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -301,10 +310,13 @@ def sqlite_items(binary: DataFrame, rows_per_table: int = 100) -> DataFrame:
                         for (table,) in db.execute("select name from sqlite_master where type = 'table' order by name").fetchall():
                             if not NAMES.search(table):
                                 continue
-                            cursor = db.execute(f"select * from {quoted(table)} order by rowid limit ?", (rows_per_table,))
+                            cursor = db.execute(f"select * from {quoted(table)} order by rowid limit ?", (-1 if rows_per_table is None else rows_per_table,))
                             columns = [c[0] for c in cursor.description]
                             for n, row in enumerate(cursor):
                                 rows += [(path, f"{table}.{c}", v, n + 1, "sqlite") for c, v in zip(columns, row) if isinstance(v, str) and len(v) > 8 and NAMES.search(c)]
+                                if len(rows) >= 10_000:
+                                    yield pd.DataFrame(rows, columns=["path", "key", "value", "line", "type"]).astype({"line": "Int32"})
+                                    rows = []
                         db.close()
                     except sqlite3.Error:
                         pass
@@ -314,7 +326,7 @@ def sqlite_items(binary: DataFrame, rows_per_table: int = 100) -> DataFrame:
 
 
 def image_entries(binary: DataFrame) -> DataFrame:
-    """Credentials baked into image archives: environment of the configuration, key-value lines of layers' small text files."""
+    """Credentials baked into image archives: environment of the configuration, key-value lines of layers' text files."""
     pair = re.compile(r"(?im)^\s*([A-Z0-9_.-]*(?:SECRET|TOKEN|PASSW(?:OR)?D|API_?KEY|ACCESS_?KEY|PRIVATE_?KEY|CREDENTIAL)[A-Z0-9_.-]*)\s*[:=]\s*[\"']?([^\s\"'#]{4,})")
     stand_in = re.compile(STAND_IN)
 
@@ -331,7 +343,7 @@ def image_entries(binary: DataFrame) -> DataFrame:
                         for layer in part.get("Layers", []):
                             with tarfile.open(fileobj=io.BytesIO(inner.get(layer, b""))) as files:
                                 for m in files:
-                                    if m.isfile() and m.size <= 512 << 10 and re.search(r"(?i)\.(env|ini|conf|cfg|ya?ml|json|properties|txt)$|credential|secret|\.netrc|\.npmrc", m.name):
+                                    if m.isfile() and re.search(r"(?i)\.(env|ini|conf|cfg|ya?ml|json|properties|txt)$|credential|secret|\.netrc|\.npmrc", m.name):
                                         text = files.extractfile(m).read().decode("utf-8", "replace")
                                         rows += [(f"{path}!{m.name}", x[1], x[2], text[: x.start(1)].count("\n") + 1, "image_layer") for x in pair.finditer(text) if not stand_in.match(x[2])]
                 except (tarfile.TarError, ValueError, KeyError, OSError, EOFError):
