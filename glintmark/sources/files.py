@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .workers import reach
 
 
 def admitted(path: Column, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
@@ -90,10 +93,23 @@ def git_commits(spark: SparkSession, repo: str, since: str | None = None, until:
     return spark.createDataFrame([(i, h, int(t), a, m) for i, (h, t, a, m) in enumerate(rows)], "log_ix int, commit_hash string, commit_timestamp long, commit_author string, commit_message string")
 
 
-def git_diffs(spark: SparkSession, repo: str, commits: list[str], root: bool = True) -> DataFrame:
-    """commit_hash, diff (unified, no context) of each commit; the first commit counts unless root is off."""
-    rows = [(c, _git(repo, "diff-tree", "-p", "--unified=0", "--no-color", "--diff-filter=ACMR", *(["--root"] if root else []), c)) for c in commits]
-    return spark.createDataFrame(rows, "commit_hash string, diff string")
+def git_diffs(spark: SparkSession, repo: str, commits: list[str] | DataFrame, root: bool = True) -> DataFrame:
+    """commit_hash, diff (unified, no context) of each commit; the first commit counts unless root is off.
+
+    commits: hashes, or a table with commit_hash. Tasks run git, so repo is a clone in a folder that all of them see.
+    """
+    reach(spark)
+    if not isinstance(commits, DataFrame):
+        commits = spark.createDataFrame([(c,) for c in commits], "commit_hash string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for c in pdf["commit_hash"]:
+                diff = _git(repo, "diff-tree", "-p", "--unified=0", "--no-color", "--diff-filter=ACMR", *(["--root"] if root else []), c)
+                yield pd.DataFrame([(c, diff)], columns=["commit_hash", "diff"])
+
+    dealt = commits.select("commit_hash").repartition(spark.sparkContext.defaultParallelism * 4, "commit_hash")
+    return dealt.mapInPandas(run, "commit_hash string, diff string")
 
 
 def added_lines(diffs: DataFrame) -> DataFrame:

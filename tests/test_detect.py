@@ -249,6 +249,21 @@ def test_git(spark, tmp_path):
     assert {(r.commit_hash, r.file, r.line, r.text) for r in added} == {(commits[0].commit_hash, "a.py", 2, "y = 2"), (commits[1].commit_hash, "a.py", 1, "x = 1")}
 
 
+def test_git_diffs_run_in_tasks(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for k in range(3):
+        (tmp_path / "a.py").write_text(f"x = {k}\n")
+        git("add", "-A")
+        git("commit", "-qm", str(k))
+    commits = S.git_commits(spark, str(tmp_path))
+    found = S.git_diffs(spark, str(tmp_path), commits.select("commit_hash"))
+    assert "MapInPandas" in found._jdf.queryExecution().toString()
+    assert sorted(r.text for r in S.added_lines(found).collect()) == ["x = 0", "x = 1", "x = 2"]
+
+
 def test_streams(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
