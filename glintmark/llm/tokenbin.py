@@ -6,17 +6,18 @@ File layout (zstandard's seekable format, so any zstandard reader can stream it)
   skippable frame     magic 0x184D2A5E: per frame compressed size, decompressed size, low 32 bits of XXH64; footer
 A reader takes the footer, the seek table and the index, then seeks to and decompresses only the frames it wants.
 
-Writing: documents are dealt by ranges of doc_id and sorted inside a task, so shards in order hold ascending ids; a task
-writes files of about SHARD bytes and returns one manifest row a file. The manifest gives each file's first token place.
+Writing: documents are dealt by ranges of doc_id and a hash of the text, so rows that share an id (or have none) are
+split up, and sorted inside a task, so shards in order hold ascending ids; a task writes files of about SHARD bytes or
+SHARD_DOCS documents and returns one manifest row a file. The manifest gives each file's first token place.
 
 Null texts count as empty and get the end id alone. Rows with a null doc_id come first, rows with equal doc_ids in
-order of their texts; all are kept. An empty table makes no file. Further columns are ignored.
+order of their texts' hashes, then texts; all are kept. An empty table makes no file. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import io
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -35,17 +37,36 @@ from . import shared
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5C, 0x184D2A5E, 0x8F92EAB1
 LEVEL = 3
-#: Uncompressed bytes after which a task begins another file.
-SHARD = 256 << 20
+#: Uncompressed bytes, and documents, after which a task begins another file.
+SHARD, SHARD_DOCS = 256 << 20, 1 << 18
 #: Remembered words in one task's process; all are forgotten when there are more.
-REMEMBER = 900_000
+REMEMBER = 500_000
+#: Bytes of texts whose distinct words are found together.
+BATCH = 12 << 20
+
+
+# The steps of a tokenizers file that `Words` takes apart. Files with other steps are encoded text by text.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Lower-case letters, then symbols: two pre-tokens in every case, as no apostrophe, special token or combining mark is among them.
+TWO = "^(?P<a>[a-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]*)(?P<b>[!-&(-/:;=-@\\[-`{-~]*)$"
 
 
 class Words:
-    """Ids of texts by a tokenizers file that drops white space, by way of remembered words.
+    """Ids of texts by a tokenizers file that drops white space, by way of distinct words.
 
-    Such a file's steps (NFC, lower case, split into letters, digits and symbols) never look across white space, so a
-    text's ids are its words' ids in turn. Words that aren't known are encoded together by the library.
+    With STEPS nothing looks across white space, so a text's ids are its words' ids in turn. A batch is cut at white
+    space and its distinct words are found in Arrow; only those that aren't remembered meet the library, many in a line.
+    Their ids are dealt out to all places in Arrow again. A file whose steps aren't STEPS gets whole texts encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,58 +76,80 @@ class Words:
         self.library.no_truncation()
         self.library.no_padding()
         vocab = self.library.get_vocab(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_word = all(spec[k] == v for k, v in STEPS.items()) and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>" and all("<" in t["content"] for t in spec["added_tokens"])
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.width = 2 if len(self.ends) <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
-        # Letters with symbols behind them: two pre-tokens in every case, if no apostrophe or special token is there.
-        self.two = re.compile(rb"([a-z]+)([^a-z0-9'<\x80-\xff]+)")
-
-    def _library(self, words: list[bytes]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, kind).tobytes() for x in found]
-
-    def _whole(self, words: list[bytes]) -> list[bytes]:
-        """Of words that are one pre-token each: encoded in lines of many, cut where a token ends a word."""
-        kind, out = f"<u{self.width}", []
+        self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        self.width = self.kind.itemsize
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.values, self.bounds = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids and lengths of words that are one pre-token each: many in a line, cut where a token ends a word."""
         lines = [words[k : k + 256] for k in range(0, len(words), 256)]
-        for line, x in zip(lines, self.library.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)):
-            ids = np.array(x.ids, np.int64)
+        values, lengths = [], []
+        for line, ids in zip(lines, self._encode([" ".join(x) for x in lines])):
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(line):
-                data, cuts = ids.astype(kind).tobytes(), (cuts * self.width).tolist()
-                out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
+            if len(cuts) != len(line):  # a letter that isn't one after normalising
+                own = self._encode(line)
+                ids, cuts = np.concatenate(own), np.cumsum([len(x) for x in own])
+            values.append(ids)
+            lengths.append(np.diff(cuts, prepend=0))
+        return np.concatenate(values), np.concatenate(lengths)
+
+    def _slots(self, words: list[str], lines: bool) -> np.ndarray:
+        """Where the ids of words are remembered; those that aren't are encoded first."""
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if fresh:
+            if lines:
+                values, lengths = self._lines(fresh)
             else:
-                out += self._library(line)
-        return out
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
+                own = self._encode(fresh)
+                values, lengths = np.concatenate(own), np.array([len(x) for x in own], np.int64)
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+            self.values.append(values)
+            self.bounds.append(np.cumsum(lengths) + self.bounds[-1][-1])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and where each text's begin, the end included. Null texts have none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_word:
+            own = self._encode(texts.to_pylist())
+            return np.concatenate([np.zeros(0, self.kind), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
         if len(self.known) > REMEMBER:
-            self.known.clear()
-        known = self.known
-        parts = [x.split() for x in texts]
-        fresh = set().union(*parts).difference(known)
-        same, single, other = {}, set(), set()
-        for w in fresh:
-            if not w.isascii() or b"<|" in w:
-                other.add(w)
-                continue
-            low = w.lower()
-            same[w] = pieces = m.groups() if (m := self.two.fullmatch(low)) else (low,)
-            for p in pieces:
-                if p not in known:
-                    (single if p.isalpha() else other).add(p)
-        for group, encode in ((list(single), self._whole), (list(other), self._library)):
-            if group:
-                known.update(zip(group, encode(group)))
-        get = known.__getitem__
-        known.update([(w, get(p[0]) if len(p) == 1 else get(p[0]) + get(p[1])) for w, p in same.items()])
-        out = [b"".join(map(get, x)) for x in parts]
-        for w in [w for w in fresh | single | other if len(w) > 64]:
-            del known[w]
-        return out
+            self._forget()
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        two = pc.extract_regex(pc.ascii_lower(distinct), TWO)
+        other = distinct.filter(two.is_null())
+        # The empty word has no ids; slot 0 is its.
+        slots = self._slots([""], False)[0]
+        first, second = np.full(len(distinct), slots), np.full(len(distinct), slots)
+        taken = np.asarray(two.is_valid())
+        for part, into in (("a", first), ("b", second)):
+            x = two.field(part).filter(two.is_valid()).dictionary_encode()
+            into[taken] = self._slots(x.dictionary.to_pylist(), part == "a")[np.asarray(x.indices)]
+        first[~taken] = self._slots(other.to_pylist(), False)
+        values = np.concatenate(self.values)
+        bounds = np.concatenate(self.bounds)
+        self.values, self.bounds = [values], [bounds]
+        pieces = pa.LargeListArray.from_arrays(bounds, values)
+        both = pieces.take(pa.array(np.stack([first, second], 1).ravel()))
+        words = pa.LargeListArray.from_arrays(pa.array(np.asarray(both.offsets)[::2]), both.values)
+        every = words.take(coded.indices)
+        ends = np.asarray(every.offsets)
+        return np.asarray(every.values)[ends[0] : ends[-1]], ends[np.asarray(lists.offsets)] - ends[0]
 
 
 @lru_cache(maxsize=2)
@@ -117,7 +160,7 @@ def words(path: str) -> Words:
 class Writer:
     def __init__(self, width: int, level: int = LEVEL) -> None:
         self.width, self.press = width, zstandard.ZstdCompressor(level=level, write_checksum=False)
-        self.body, self.table, self.docs, self.counts, self.nulls = io.BytesIO(), [], [], [], []
+        self.body, self.table, self.docs, self.counts, self.nulls, self.size = io.BytesIO(), [], [], [], [], 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         frame = self.press.compress(ids)
@@ -126,6 +169,7 @@ class Writer:
         self.docs.append(doc_id or 0)
         self.nulls.append(doc_id is None)
         self.counts.append(len(ids) // self.width)
+        self.size += len(ids)
 
     def finish(self, out) -> None:
         index = self.press.compress(
@@ -196,17 +240,20 @@ def write(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "tex
             shared.publish(uri, writer.finish)
             rows.append({"part": part, "piece": len(rows), "file": uri, "n_docs": len(writer.docs), "n_tokens": sum(writer.counts)})
 
-        for b in shared.cut(batches, 8 << 20):
-            for doc, ids in zip(b.column(0).to_pylist(), coder.ids([x or b"" for x in shared.as_bytes(b.column(1))])):
-                writer.add(doc, ids + end)
-                if writer.body.tell() >= shard:
+        for b in shared.cut(batches, BATCH):
+            ids, places = coder.ids(b.column(1))
+            data, places = memoryview(np.ascontiguousarray(ids)).cast("B"), (places * coder.width).tolist()
+            for doc, start, stop in zip(b.column(0).to_pylist(), places, places[1:]):
+                writer.add(doc, bytes(data[start:stop]) + end)
+                if writer.size >= shard or len(writer.docs) >= SHARD_DOCS:
                     flush()
                     writer = Writer(coder.width, level)
         if writer.docs:
             flush()
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     files = shared.stored(ordered.mapInArrow(run, "part int, piece int, file string, n_docs long, n_tokens long"), "tokenbin-manifest")
     # One row a file here, never a document's.
     before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)

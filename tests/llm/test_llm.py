@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import same_rows
@@ -284,8 +285,15 @@ def some_texts(n, seed=3):
 def test_words_are_the_librarys():
     path = public_tokenizers.path("word_bpe_49k.json")
     t, many = Tokenizer.from_file(path), some_texts(4000)
-    for text, ids in zip(many, tokenbin.Words(path).ids([x.encode() for x in many])):
-        assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+    coder = tokenbin.Words(path)
+    assert coder.by_word
+    for by_word in (True, True, False):  # the second time from memory, then as a file with other steps would be read
+        coder.by_word = by_word
+        ids, at = coder.ids(pa.array([None, *many]))
+        assert at[1] == 0 and len(at) == len(many) + 2 and at[-1] == len(ids)
+        for text, a, b in zip(many, at[1:], at[2:]):
+            assert ids[a:b].tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert coder.ids(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 # 7 classifier
