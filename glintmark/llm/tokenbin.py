@@ -39,8 +39,8 @@ INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5C, 0x184D2A5E, 0x8F92EAB1
 LEVEL = 3
 #: Uncompressed bytes, and documents, after which a task begins another file.
 SHARD, SHARD_DOCS = 256 << 20, 1 << 18
-#: Remembered words in one task's process; all are forgotten when there are more.
-REMEMBER = 500_000
+#: Remembered words, and their characters, in one task's process; all are forgotten when there are more.
+REMEMBER, REMEMBER_CHARS = 500_000, 16_000_000
 #: Bytes of texts whose distinct words are found together.
 BATCH = 12 << 20
 
@@ -57,8 +57,9 @@ STEPS = {
         ],
     },
 }
-#: Lower-case letters, then symbols: two pre-tokens in every case, as no apostrophe, special token or combining mark is among them.
-TWO = "^(?P<a>[a-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]*)(?P<b>[!-&(-/:;=-@\\[-`{-~]*)$"
+#: Letters, then symbols: two pre-tokens in every case, as no apostrophe, special token or combining mark is among them or
+#: comes out of lower case (as it does for U+0130).
+TWO = "^(?P<a>[a-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{12F}\\x{131}-\\x{24F}]*)(?P<b>[!-&(-/:;=-@\\[-`{-~]*)$"
 
 
 class Words:
@@ -87,6 +88,7 @@ class Words:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.values, self.bounds = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -115,6 +117,7 @@ class Words:
             else:
                 own = self._encode(fresh)
                 values, lengths = np.concatenate(own), np.array([len(x) for x in own], np.int64)
+            self.chars += sum(map(len, fresh))
             known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
             self.values.append(values)
             self.bounds.append(np.cumsum(lengths) + self.bounds[-1][-1])
@@ -126,7 +129,7 @@ class Words:
         if not self.by_word:
             own = self._encode(texts.to_pylist())
             return np.concatenate([np.zeros(0, self.kind), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
-        if len(self.known) > REMEMBER:
+        if len(self.known) > REMEMBER or self.chars > REMEMBER_CHARS:
             self._forget()
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
