@@ -4,13 +4,18 @@ Encoding. A pre-token's bytes are merged in a buffer. A merge at some place can
 rule of lower rank whose text overlaps its end, that one only by a rule of still lower rank, and so on; `lookahead`
 adds up the longest such chain in the merge list. A token that ends at least that many bytes before the end of
 what was read can no longer change, so it is emitted and its bytes leave the buffer: memory depends on the merge list,
-not on the text. A pre-token shorter than the lookahead is flushed in one go, and its ids are remembered.
+not on the text. Every pre-token goes this way; one shorter than the lookahead has its tokens emitted at its end. What
+came out for short ones is remembered, up to a fixed number.
+
+A text is read in parts of CHUNK bytes. What could still change (the last piece, or the last part of a pre-token that goes
+on) is held back, so neither a text nor its ids are ever whole in Python, however long a text or a word is.
 
 Decoding. Ids become bytes, and an incremental UTF-8 state machine turns bytes into text, so a character whose
-bytes are dealt over several tokens, or over several calls, is put together.
+bytes are dealt over several tokens, or over several calls, is put together. The round trip decodes each part as it is encoded.
 
 The tokenizer file's path is a parameter; the file is read on the executors and never copied. Null texts count as
-empty: no tokens, an empty text. Rows that repeat are kept as rows. Further columns are kept by `encode`.
+empty: no tokens, an empty text. Rows that repeat are kept as rows. Further columns are kept by `encode`; its own
+columns take the place of columns with their names.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,16 +38,20 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Remembered pieces of text in one task's process; all are forgotten when there are more.
-REMEMBER = 250_000
-#: Bytes of the texts that are encoded together.
-BATCH = 2 << 20
+#: Remembered pre-tokens and pieces of text in one task's process; all of a kind are forgotten when there are more.
+REMEMBER = {"pretokens": 300_000, "pieces": 300_000}
+#: Longest pre-token, or piece, that is remembered (characters).
+SHORT = 64
+#: Bytes of a text that are read at once.
+CHUNK = 1 << 16
 #: Bytes that a stream reads before it looks for stable tokens, beyond the lookahead.
 STEP = 4096
-#: Bytes of a word that is flushed together with others, and most words that are.
-SHORT, TOGETHER = 64, 1 << 14
+#: Bytes of texts in one batch.
+BATCH = 8 << 20
+#: A piece of more characters is taken apart before its end is known; so many of its last characters wait, as the next ones decide
+#: about them (an apostrophe's ending, a special token's beginning).
+LONG, WAIT = 4096, 32
 NONE = 1 << 60
-NEVER = 2**31 - 1
 #: White space as the vocabulary's pattern sees it (Unicode's White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -88,16 +98,18 @@ class Vocabulary:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.rank = {ids[a] << 32 | ids[b]: r for r, (a, b) in enumerate(merges)}
         self.made = [ids[a + b] for a, b in merges]
-        self.made_ids = np.array(self.made, np.int32)
-        self.ranks = Ranks(self.rank)
         self.lookahead = lookahead([(raw(a), raw(b)) for a, b in merges])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        if any(len(t) > WAIT for t in self.special):
+            raise ValueError(f"special tokens of over {WAIT} characters")
         # A piece is a run without white space with one space before it, or white space; pre-tokens never cross pieces.
         self.pieces = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.pretokens = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-        self.known: dict[str, bytes] = {}
+        # How a pre-token goes on, by its first character that isn't a space.
+        self.kinds = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", rf"[^{SPACE}\p{{L}}\p{{N}}]*", rf"[{SPACE}]*")]
+        self.known = Pieces(self)
 
 
 @lru_cache(maxsize=2)
@@ -105,73 +117,22 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Ranks:
-    """Ranks of pairs of ids for whole arrays: slots by a multiplied key, later tables for keys whose slot was taken."""
-
-    BITS = 20
-
-    def __init__(self, rank: dict[int, int]) -> None:
-        keys, ranks = np.array([*rank], np.uint64), np.array([*rank.values()], np.int32)
-        self.tables, odd = [], 0x9E3779B97F4A7C15
-        while len(keys):
-            slots = self._slots(keys, odd)
-            _, first = np.unique(slots, return_index=True)
-            at, value = np.full(1 << self.BITS, NONE, np.uint64), np.full(1 << self.BITS, NEVER, np.int32)
-            at[slots[first]], value[slots[first]] = keys[first], ranks[first]
-            self.tables.append((odd, at, value))
-            rest = np.ones(len(keys), bool)
-            rest[first] = False
-            keys, ranks, odd = keys[rest], ranks[rest], (odd * 0x2545F4914F6CDD1D | 1) & (1 << 64) - 1
-
-    def _slots(self, keys: np.ndarray, odd: int) -> np.ndarray:
-        return (keys * np.uint64(odd) >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-        out = np.full(keys.shape, NEVER, np.int32)
-        for odd, at, value in self.tables:
-            slots = self._slots(keys, odd)
-            out = np.where(at[slots] == keys, value[slots], out)
-        return out
-
-
-def flush_all(v: Vocabulary, words: list[str]) -> list[bytes]:
-    """What flushing each of many short words gives: one merge a word in every round, all words together."""
-    raw = [w.encode() for w in words]
-    sizes = np.fromiter(map(len, raw), np.int32, len(raw))
-    order = np.argsort(sizes, kind="stable")
-    byte_ids, out = np.array(v.of_byte, np.int32), np.empty(len(raw), object)
-    for n in np.unique(sizes).tolist():
-        where = order[slice(*np.searchsorted(sizes[order], [n, n + 1]))]
-        ids = byte_ids[np.frombuffer(b"".join([raw[k] for k in where.tolist()]), np.uint8).reshape(-1, n)]
-        ranks = v.ranks(ids[:, :-1], ids[:, 1:])
-        while True:
-            if n > 1:
-                at = ranks.argmin(1)
-                rows = np.arange(len(ids))
-                least = ranks[rows, at]
-                done = least == NEVER
-            else:
-                done = np.ones(len(ids), bool)
-            if done.any():
-                data = np.ascontiguousarray(ids[done], "<u4").tobytes()
-                out[where[done]] = [data[k : k + 4 * n] for k in range(0, len(data), 4 * n)]
-                go = ~done
-                ids, where = ids[go], where[go]
-                if not len(ids):
-                    break
-                ranks, at, least, rows = ranks[go], at[go], least[go], np.arange(len(ids))
-            ids[rows, at] = v.made_ids[least]
-            n -= 1
-            across = np.arange(n)[None, :]
-            ids = np.take_along_axis(ids, across + (across > at[:, None]), 1)
-            # The pair that merged goes; the pairs on both sides of the new token get new ranks.
-            across = across[:, : n - 1]
-            ranks = np.take_along_axis(ranks, across + (across >= at[:, None]), 1)
-            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < n - 1)
-            ranks[left, at[left] - 1] = v.ranks(ids[left, at[left] - 1], ids[left, at[left]])
-            ranks[right, at[right]] = v.ranks(ids[right, at[right]], ids[right, at[right] + 1])
-    return out.tolist()
+def _merge_few(v: Vocabulary, ids: list[int]) -> list[int]:
+    """All merges of a short list of ids, the lowest rank first, the leftmost of equal ranks."""
+    rank, made = v.rank.get, v.made
+    ranks = [rank(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
+    while ranks:
+        least = min(ranks)
+        if least == NONE:
+            break
+        k = ranks.index(least)
+        ids[k] = made[least]
+        del ids[k + 1], ranks[k]
+        if k:
+            ranks[k - 1] = rank(ids[k - 1] << 32 | ids[k], NONE)
+        if k < len(ranks):
+            ranks[k] = rank(ids[k] << 32 | ids[k + 1], NONE)
+    return ids
 
 
 def _merge_many(v: Vocabulary, ids: list[int]) -> list[int]:
@@ -200,8 +161,8 @@ class Encoder:
         self.v, self.buffer = v, bytearray()
 
     def _merge(self) -> list[int]:
-        ids = [self.v.of_byte[b] for b in self.buffer]
-        return _merge_many(self.v, ids)
+        ids = list(map(self.v.of_byte.__getitem__, self.buffer))
+        return _merge_few(self.v, ids) if len(ids) <= SHORT else _merge_many(self.v, ids)
 
     def push(self, more: bytes) -> Iterator[int]:
         step = self.v.lookahead + STEP
@@ -223,58 +184,108 @@ class Encoder:
         return out
 
 
-def _learn(v: Vocabulary, pieces: set[str]) -> dict[str, bytes]:
-    """Ids of pieces, and of the words in them. Words of SHORT bytes at most are flushed together, longer ones stream."""
-    alpha = {p for p in pieces if (p[1:] if p[0] == " " else p).isalpha()}
-    cut_up = {p: v.pretokens.findall(p) for p in pieces - alpha}
-    known, fresh = v.known, alpha
-    for words in cut_up.values():
-        fresh.update([w for w in words if w not in known])
-    out, short = {}, []
-    for w in fresh:
-        raw = w.encode()
-        if len(raw) <= SHORT:
-            short.append(w)
-        else:
-            encoder = Encoder(v)
-            out[w] = np.array([*encoder.push(raw), *encoder.flush()], "<u4").tobytes()
-    for at in range(0, len(short), TOGETHER):
-        out.update(zip(short[at : at + TOGETHER], flush_all(v, short[at : at + TOGETHER])))
-    get = out.get
-    out.update([(p, b"".join([get(w) or known[w] for w in words])) for p, words in cut_up.items()])
-    return out
-
-
-def encode_texts(v: Vocabulary, texts: list[str]) -> list[bytes]:
-    """All ids of each text as little-endian unsigned 32-bit integers."""
-    parts: list[list[str | int]] = []
-    if len(v.known) > REMEMBER:
-        v.known.clear()
-    known = v.known
-    for text in texts:
-        if any([s in text for s in v.special]):
-            pieces: list[str | int] = []
-            for k, plain in enumerate(v.special_pattern.split(text)):
-                pieces += [v.special[plain]] if k % 2 else v.pieces.findall(plain)
-        else:
-            pieces = v.pieces.findall(text)
-        parts.append(pieces)
-    learned = _learn(v, set().union(*parts).difference(known).difference(v.special.values()))
-    known.update(learned)
-    rest = {i: i.to_bytes(4, "little") for i in v.special.values()}
-    out = []
-    for pieces in parts:
-        try:
-            out.append(b"".join(map(known.__getitem__, pieces)))
-        except KeyError:
-            out.append(b"".join([known[x] if type(x) is str else rest[x] for x in pieces]))
-    for p in [p for p in learned if len(p) > SHORT]:
-        del known[p]
-    return out
-
-
-def encode_text(v: Vocabulary, text: str) -> bytes:
-    return encode_texts(v, [text])[0]
+class PreTokens(dict):
+    """Ids of pre-tokens as bytes; one that isn't there goes through the transducer."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.encoder = Encoder(v)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = _as_bytes([*self.encoder.push(word.encode()), *self.encoder.flush()])
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBER["pretokens"]:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class Pieces(dict):
+    """Ids of pieces as bytes, put together from their pre-tokens."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.cut, self.words = v.pretokens.findall, PreTokens(v)
+
+    def __missing__(self, piece: str) -> bytes:
+        one = (piece[1:] if piece[0] == " " else piece).isalpha()
+        ids = self.words[piece] if one else b"".join(map(self.words.__getitem__, self.cut(piece)))
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBER["pieces"]:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class TextEncoder:
+    """Transducer from a text to ids (little-endian, 32 bits): push its parts, the last one with last=True."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v, self.held, self.open, self.kind = v, "", None, None
+
+    def push(self, part: str, last: bool = False) -> bytes:
+        text = self.held + part if self.held else part
+        if not any([s in text for s in self.v.special]):
+            return self._plain(text, last)
+        parts = self.v.special_pattern.split(text)
+        out = []
+        for k, x in enumerate(parts):
+            out.append(self.v.special[x].to_bytes(4, "little") if k % 2 else self._plain(x, last or k < len(parts) - 1))
+        return b"".join(out)
+
+    def _plain(self, text: str, last: bool) -> bytes:
+        """text without special tokens; unless it is the last before one, or of all, its end is held back."""
+        out = []
+        if self.open:
+            text = self._go_on(text, last, out)
+            if self.open:
+                return b"".join(out)
+        pieces = self.v.pieces.findall(text)
+        self.held = pieces.pop() if pieces and not last else ""
+        out += map(self.v.known.__getitem__, pieces)
+        if len(self.held) > LONG:
+            self._take_apart(out)
+        return b"".join(out)
+
+    def _take_apart(self, out: list[bytes]) -> None:
+        """The pre-tokens of a long piece that are sure; the beginning of the last one, if that is long, too."""
+        text, done = self.held, 0
+        for m in self.v.pretokens.finditer(text):
+            if m.end() > len(text) - WAIT:
+                break
+            out.append(self.v.known.words[m[0]])
+            done = m.end()
+        rest = text[done:]
+        if len(rest) > LONG:
+            first = rest.lstrip(" ")[:1]
+            self.kind = next(x for x in self.v.kinds if first and x.fullmatch(first) or x is self.v.kinds[-1])
+            self.open = Encoder(self.v)
+            out.append(_as_bytes(self.open.push(rest[:-WAIT].encode())))
+            rest = rest[-WAIT:]
+        self.held = rest
+
+    def _go_on(self, text: str, last: bool, out: list[bytes]) -> str:
+        """Gives the open pre-token what belongs to it and returns the rest. It stays open if it may go on."""
+        stop = self.kind.match(text).end()
+        if stop == len(text) and not last:
+            out.append(_as_bytes(self.open.push(text[:-WAIT].encode())))
+            self.held = text[-WAIT:]
+            return ""
+        if self.kind is self.v.kinds[-1] and stop < len(text):
+            stop -= 1  # the last white space goes with what follows
+        out += [_as_bytes(self.open.push(text[:stop].encode())), _as_bytes(self.open.flush())]
+        self.open = None
+        return text[stop:]
+
+
+def _as_bytes(ids) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def encode_parts(v: Vocabulary, text: bytes | memoryview) -> Iterator[bytes]:
+    """ids of a text in UTF-8, part by part."""
+    encoder, state = TextEncoder(v), codecs.getincrementaldecoder("utf-8")("replace")
+    for at in range(0, len(text), CHUNK):
+        last = at + CHUNK >= len(text)
+        yield encoder.push(state.decode(text[at : at + CHUNK], last), last)
 
 
 class Decoder:
@@ -290,44 +301,33 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-def decode_ids(v: Vocabulary, ids: bytes, step: int = 1 << 14) -> Iterator[str]:
-    """The text of little-endian 32-bit ids, part by part."""
-    numbers, decoder = np.frombuffer(ids, "<u4"), Decoder(v)
-    for at in range(0, len(numbers), step):
-        yield decoder.push(numbers[at : at + step].tolist())
-    yield decoder.flush()
+def round_trip(v: Vocabulary, text: bytes | memoryview) -> tuple[int, str, str]:
+    """Number of ids, SHA-256 of the ids and of the text that they decode to; each part is decoded as it comes."""
+    n, ids, decoded, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(v)
+    for part in encode_parts(v, text):
+        n += len(part) // 4
+        ids.update(part)
+        decoded.update(decoder.push(np.frombuffer(part, "<u4").tolist()).encode())
+    decoded.update(decoder.flush().encode())
+    return n, ids.hexdigest(), decoded.hexdigest()
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, digests: bool = False) -> DataFrame:
     """docs with its ids in one more column `ids` (binary, little-endian 32 bit), or with their digests instead.
 
-    digests: n_tokens, ids_sha256 and decoded_sha256 (of the ids decoded again) take the place of ids and all but
-    the other columns of docs.
+    digests: n_tokens, ids_sha256 and decoded_sha256 (of the ids decoded again) take the place of ids and the text;
+    the other columns of docs stay.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    columns = [f"c{k}" for k in range(len(docs.columns))]
-    plain, text_at = docs.toDF(*columns), docs.columns.index(text_col)
     more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary"
-    kept = [k for k in range(len(columns)) if not (digests and k == text_at)]
+    kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(texts: pa.Array) -> list[pa.Array]:
         v = vocabulary(path)
-        for b in shared.cut(batches, BATCH):
-            ids = encode_texts(v, [x or "" for x in b.column(text_at).to_pylist()])
-            if digests:
-                decoded = []
-                for x in ids:
-                    sha = hashlib.sha256()
-                    for part in decode_ids(v, x):
-                        sha.update(part.encode())
-                    decoded.append(sha.hexdigest())
-                out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(decoded, pa.string())]
-            else:
-                out = [pa.array(ids, pa.binary())]
-            yield pa.record_batch([*(b.column(k) for k in kept), *out], names=[*(columns[k] for k in kept), *(x.split()[0] for x in more.split(", "))])
-
-    schema = ", ".join([*(f"{columns[k]} {plain.schema[columns[k]].dataType.simpleString()}" for k in kept), more])
-    return plain.mapInArrow(run, schema).toDF(*(docs.columns[k] for k in kept), *(x.split()[0] for x in more.split(", ")))
+        rows = [round_trip(v, x) if digests else (b"".join(encode_parts(v, x)),) for x in shared.views(texts)]
+        return [pa.array(list(x), t) for x, t in zip(zip(*rows), kinds)]
+
+    return shared.with_columns(docs, text_col, more, found, BATCH, drop=[text_col] if digests else [])
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

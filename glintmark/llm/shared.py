@@ -71,6 +71,32 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def views(column: pa.Array) -> Iterator[memoryview]:
+    """UTF-8 of each text where it lies in memory, without a copy; null texts are empty."""
+    for x in column:
+        yield memoryview(x.as_buffer()) if x.is_valid else memoryview(b"")
+
+
+def with_columns(df: DataFrame, text_col: str, more: str, found, size: int, drop: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """df without drop and with the columns of the schema more, which found gives as arrays for a batch's texts.
+
+    The new columns take the place of columns of the same names, whatever the letters' case, as withColumns does.
+    """
+    names = [x.split()[0] for x in more.split(", ")]
+    gone = {x.lower() for x in (*names, *drop)}
+    kept = [c for c in df.columns if c.lower() not in gone]
+    columns = [f"c{k}" for k in range(len(kept))]
+    plain = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, columns)], F.col(f"`{text_col}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches, size):
+            if b.num_rows:
+                yield pa.record_batch([*b.columns[:-1], *found(b.column(len(kept)))], names=[*columns, *names])
+
+    schema = ", ".join([*(f"{c} {plain.schema[c].dataType.simpleString()}" for c in columns), more])
+    return plain.mapInArrow(run, schema).toDF(*kept, *names)
+
+
 def cut(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about size bytes at most (one row at least), so that a task's lists stay small."""
     for batch in batches:

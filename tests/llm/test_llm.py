@@ -335,23 +335,64 @@ def test_classifier_awkward(spark, awkward):
 # 8 bpe
 
 
-def test_bpe_is_the_librarys_and_streams():
+def bpe_texts():
+    rng = random.Random(5)
+    runs = ["a" * 50_001, "-" * 30_001, "ab" * 20_000, "7" * 9_000, " " * 20_000 + "x", "\n" * 9_001, " " * 9_000 + "<|endoftext|>" * 700, "".join(rng.choice("etaoin") for _ in range(40_000)), "".join(rng.choice("-=_*#") for _ in range(40_000))]
+    return [*some_texts(1500), *runs, " ".join(runs), "'re".join(runs), "é日" * 30_000, "a'" * 9_000, "x" * 4095 + "'s " + "y" * 4096 + "<|end" + "of" * 3000]
+
+
+@pytest.mark.parametrize("chunk", [1 << 16, 701])
+def test_bpe_is_the_librarys(monkeypatch, chunk):
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, v = Tokenizer.from_file(path), bpe.vocabulary(path)
-    rng = random.Random(5)
-    long = ["a" * 50_001, "-" * 30_001, "ab" * 20_000, "".join(rng.choice("etaoin") for _ in range(40_000)), "".join(rng.choice("-=_*#") for _ in range(40_000))]
-    for text, ids in zip(some_texts(4000) + long, bpe.encode_texts(v, some_texts(4000) + long)):
+    for text in bpe_texts():
         want = t.encode(text, add_special_tokens=False).ids
+        ids = b"".join(bpe.encode_parts(v, text.encode()))
         assert np.frombuffer(ids, "<u4").tolist() == want, text[:80]
-        assert "".join(bpe.decode_ids(v, ids, 3)) == t.decode(want, skip_special_tokens=False)
-    encoder = bpe.Encoder(v)
-    most = 0
+        assert bpe.round_trip(v, text.encode()) == (len(want), hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.decode(want, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_bpe_every_pretoken_streams(monkeypatch):
+    v = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    seen, push = [], bpe.Encoder.push
+    monkeypatch.setattr(bpe.Encoder, "push", lambda self, more: seen.append(bytes(more)) or push(self, more))
+    b"".join(bpe.encode_parts(v, b"some words, some more words's 12"))
+    assert seen == [b"some", b" words", b",", b" some", b" more", b"'s", b" 12"]  # the rest is remembered
+
+
+def test_bpe_memory_is_constant():
+    import tracemalloc
+
+    v = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def peak(unit, size):
+        text = memoryview(unit * (size // len(unit)))
+        tracemalloc.start()
+        n = bpe.round_trip(v, text)[0]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, most
+
+    for unit in (b"word another third, ", b"a", b"=-"):
+        small, large = peak(unit, 30_000), peak(unit, 90_000)
+        assert large[0] > 2 * small[0] and large[1] < 1.1 * small[1] + 100_000, unit
+    encoder, most = bpe.Encoder(v), 0
     for _ in range(40):
         list(encoder.push(b"abcde" * 300))
         most = max(most, len(encoder.buffer))
     assert most <= 2 * (v.lookahead + bpe.STEP)
 
 
+def test_bpe_forgets(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", {"pretokens": 5, "pieces": 5})
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, v = Tokenizer.from_file(path), bpe.Vocabulary(path)
+    for text in some_texts(300, 8):
+        assert np.frombuffer(b"".join(bpe.encode_parts(v, text.encode())), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert len(v.known) <= 5 and len(v.known.words) <= 5
+
+
 def test_bpe_query(spark, sf_dir):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     all_texts = texts(spark, sf_dir)
@@ -362,8 +403,16 @@ def test_bpe_query(spark, sf_dir):
 
 
 def test_bpe_awkward(spark, awkward):
-    got = bpe.encode(awkward.drop("ids"))
-    assert got.columns == [*awkward.drop("ids").columns, "ids"] and got.count() == 8
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = bpe.encode(awkward)
+    assert sorted(got.columns) == sorted(awkward.columns)  # ids takes the place of a column of its name
+    plain = lambda i: t.encode(i or "", add_special_tokens=False).ids
+    key = lambda x: (x[0] or 0, x[1])
+    want = [(r.doc_id, plain(r.text)) for r in awkward.collect()]
+    assert sorted([(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got.collect()], key=key) == sorted(want, key=key)
+    rows = bpe.encode(awkward.withColumn("N_TOKENS", F.lit("x")), digests=True)
+    assert "N_TOKENS" not in rows.columns and "text" not in rows.columns and "c0" in rows.columns
+    assert sorted([(r.doc_id, r.n_tokens) for r in rows.collect()], key=key) == sorted([(i, len(x)) for i, x in want], key=key)
     assert bpe.encode(awkward.limit(0), digests=True).count() == 0
 
 
