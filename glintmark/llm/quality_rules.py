@@ -1,18 +1,19 @@
 """Quality rules: base statistics, then a length-normalised log-likelihood ratio of hashed n-grams.
 
 Features are words and pairs of neighbouring words, hashed to BUCKETS places each. Two multinomials over the
-places are estimated: the trusted target's from the labelled good rows (TARGET_ROWS of them at most, those with the smallest
-hash of their id: a documented bound) and the raw corpus' from every row. Each place's log ratio is rounded to thousandths
+places are estimated: the trusted target's from every row whose id is labelled good, and the raw corpus' from every row. Each place's log ratio is rounded to thousandths
 and summed over a document's n-grams as whole numbers, so the verdict is the same on every run and engine:
 kept if the mean reaches THRESHOLD thousandths and no base rule fails.
 
 All of it is DataFrame expressions: no Python runs on the executors. Word windows found twice are found by sorting
 (hash, place) pairs inside the row, so a long document costs n log n and nothing is exploded or shuffled for it. The
-place counts are summed in each task before the shuffle, one row a place.
+place counts are summed in each task before the shuffle, one row a place. Labels grow with the corpus, so they join the rows by a
+shuffle; rows without an id take no part in it under one key, and a hot id is split by the adaptive skew join.
 
 Null texts have no words. Documents under 50 words fail the base rule, so empty ones are never kept. Without labelled
 good rows every ratio is zero and only the base rules decide. Rows that repeat, or have a null id, are judged like others
-(a repeated labelled id counts each of its rows). Further columns are kept by `judge` and by `keep_good`.
+(a repeated labelled id counts each of its rows). Further columns are kept by `judge` and by `keep_good`; those of `judge` take
+the place of columns with their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from . import shared
 
 BUCKETS = 8192
-TARGET_ROWS = 8192
 #: Pseudo-counts of every place in both multinomials.
 SMOOTH = 5
 #: Thousandths of the natural logarithm, a mean over a document's n-grams.
@@ -40,10 +40,11 @@ def words(text: Column) -> Column:
 
 def places(w: Column) -> Column:
     """Places of all words, then of all pairs, of an array of words."""
-    hashes = F.transform(w, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 7), 16, 10).cast("long"))
-    one = lambda h: F.transform(h, lambda x: (x % BUCKETS).cast("int"))
-    two = lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: ((x * 31 + F.get(h, i + 1)) % BUCKETS + BUCKETS).cast("int"))
-    return shared.let(hashes, lambda h: F.concat(one(h), two(h)))
+    low = F.lit(BUCKETS - 1).cast("long")  # BUCKETS is a power of two
+    one = lambda h: F.transform(h, lambda x: x.bitwiseAND(low).cast("int"))
+    n = lambda h: F.greatest(F.size(h) - 1, F.lit(0))
+    two = lambda h: F.zip_with(F.slice(h, 1, n(h)), F.slice(h, 2, n(h)), lambda x, y: ((x * 31 + y).bitwiseAND(low) + BUCKETS).cast("int"))
+    return shared.let(F.transform(w, lambda x: F.hash(x).cast("long")), lambda h: F.concat(one(h), two(h)))
 
 
 def repeated_words(w: Column, window: int = WINDOW) -> Column:
@@ -70,16 +71,14 @@ def statistics(text: Column, w: Column) -> list[Column]:
     ]
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", target_rows: int = TARGET_ROWS) -> list[int]:
+def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[int]:
     """Thousandths of the log ratio of every place; 2 * BUCKETS numbers."""
-    good = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).where("y = 1")
-    # At most target_rows ids: a bound that doesn't grow with the tables.
-    chosen = good.orderBy(F.md5(F.col(id_col).cast("string").cast("binary"))).limit(target_rows).select(F.col(id_col).alias("__id"), F.lit(1).alias("__target"))
-    flagged = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"), "left")
-    counts = (
-        flagged.select(F.coalesce("__target", F.lit(0)).cast("long").alias("target"), F.explode(shared.let(words(F.col("__text")), places)).alias("place"))
-        .groupBy("place").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
-    )
+    named = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(label_col).alias("y"))
+    good = named.groupBy("id").agg(F.max("y").alias("y")).where("y = 1").select("id", F.lit(1).cast("long").alias("target"))
+    alone = F.concat(F.lit("none "), F.monotonically_increasing_id().cast("string"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("string"), alone).alias("id"), F.col(text_col).alias("text"))
+    flagged = rows.join(good.hint("merge"), "id", "left").select(F.coalesce("target", F.lit(0).cast("long")).alias("target"), F.explode(shared.let(words(F.col("text")), places)).alias("place"))
+    counts = flagged.groupBy("place").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
     return ratios({r.place: (r.target, r.raw) for r in counts.collect()})  # 2 * BUCKETS rows at most
 
 
@@ -96,13 +95,17 @@ def ratios(counts: dict[int, tuple[int, int]]) -> list[int]:
     return out
 
 
+JUDGED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
+
+
 def judge(docs: DataFrame, weights: list[int], text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr (sum, thousandths), base_failed, kept."""
+    """docs with JUDGED: base statistics, llr (sum, thousandths), base_failed, kept."""
     # A constant: Catalyst folds it into one literal.
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
     llr = lambda w: F.aggregate(places(w), F.lit(0).cast("long"), lambda a, p: a + F.get(table, p))
-    found = shared.let(words(F.col(text_col)), lambda w: F.struct(*statistics(F.col(text_col), w), llr(w).alias("llr")))
-    x = docs.select("*", found.alias("__found")).select("*", "__found.*").drop("__found")
+    text = F.col(f"`{text_col}`")
+    found = shared.let(words(text), lambda w: F.struct(*statistics(text, w), llr(w).alias("llr")))
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in JUDGED]).alias("row"), found.alias("x")).select("row.*", "x.*") if any(c.lower() not in JUDGED for c in docs.columns) else docs.select(found.alias("x")).select("x.*")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_SHARE * F.col("n_words"))
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     return x.select("*", base.alias("base_failed"), (~base & (F.col("llr") >= threshold * grams)).alias("kept"))
@@ -110,7 +113,7 @@ def judge(docs: DataFrame, weights: list[int], text_col: str = "text", threshold
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pipeline form: the rows of docs that are kept."""
-    plain = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     return judge(plain, log_ratios(docs, labels, id_col, text_col)).where("kept").select("row.*")
 
 
@@ -120,14 +123,34 @@ def op9_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _mixed(h: str, k: str) -> str:
+    """One round of 32-bit Murmur3 in SQL, on unsigned 64-bit numbers."""
+    turned = lambda x, n: f"(((({x}) << {n}) | (({x}) >> {32 - n})) & 4294967295)"
+    part = f"{turned(f'({k} * 3432918353 & 4294967295)', 15)} * 461845907 & 4294967295"
+    return f"({turned(f'xor({h}, {part})', 13)} * 5 + 3864292196) & 4294967295"
+
+
+# The hash that Spark's hash() gives for a string: four bytes at a time, then single signed bytes, seed 42.
+HASH_SQL = f"""u AS (SELECT DISTINCT unnest(w) AS t FROM w),
+ub AS (SELECT t, strlen(t) AS n, list_transform(range(0, strlen(t)), lambda i: ('0x' || substr(hex(encode(t)), 2 * i + 1, 2))::BIGINT) AS b FROM u),
+uk AS (SELECT t, n, list_concat([42::UBIGINT], list_transform(range(0, n // 4), lambda i: (b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216)::UBIGINT),
+             list_transform(range(n // 4 * 4, n), lambda i: (CASE WHEN b[i + 1] > 127 THEN b[i + 1] + 4294967040 ELSE b[i + 1] END)::UBIGINT)) AS k FROM ub),
+u1 AS (SELECT t, xor(list_reduce(k, lambda h, x: {_mixed('h', 'x')}), n::UBIGINT) AS h FROM uk),
+u2 AS (SELECT t, xor(h, h >> 16) * 2246822507 & 4294967295 AS h FROM u1),
+u3 AS (SELECT t, xor(h, h >> 13) * 3266489909 & 4294967295 AS h FROM u2),
+u4 AS (SELECT t, xor(h, h >> 16)::BIGINT AS h FROM u3),
+hashed AS (SELECT t, CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS h FROM u4)"""
+
+
 OP9_SQL = f"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
              row_number() OVER () AS rid FROM documents),
-h AS (SELECT rid, doc_id, text, w, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM w),
-g AS (SELECT *, list_concat(list_transform(h, lambda x: x % {BUCKETS}),
-             list_transform(range(1, greatest(len(h), 1)), lambda i: (h[i] * 31 + h[i + 1]) % {BUCKETS} + {BUCKETS})) AS g FROM h),
-good AS (SELECT doc_id FROM (SELECT doc_id, max(quality) AS y FROM labels WHERE doc_id IS NOT NULL GROUP BY 1) WHERE y = 1
-         ORDER BY md5(doc_id::VARCHAR) LIMIT {TARGET_ROWS}),
+{HASH_SQL},
+hs AS (SELECT rid, list(h ORDER BY k) AS h FROM (SELECT rid, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS k FROM w) JOIN hashed USING (t) GROUP BY rid),
+h AS (SELECT rid, doc_id, text, w, coalesce(h, []) AS h FROM w LEFT JOIN hs USING (rid)),
+g AS (SELECT *, list_concat(list_transform(h, lambda x: x & {BUCKETS - 1}),
+             list_transform(range(1, greatest(len(h), 1)), lambda i: (h[i] * 31 + h[i + 1] & {BUCKETS - 1}) + {BUCKETS})) AS g FROM h),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY 1 HAVING max(quality) = 1),
 e AS (SELECT rid, doc_id, unnest(g) AS p FROM g),
 c AS (SELECT p, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (FROM good)) AS target FROM e GROUP BY p),
 s AS (SELECT p >= {BUCKETS} AS pair, sum(raw) AS raws, sum(target) AS targets FROM c GROUP BY 1),

@@ -420,8 +420,9 @@ def test_bpe_awkward(spark, awkward):
 
 
 def test_rules_awkward(spark, awkward):
-    plain = awkward.drop("kept", "llr")
-    judged = quality_rules.judge(plain, [0] * (2 * quality_rules.BUCKETS)).collect()
+    judged = quality_rules.judge(awkward.withColumn("N_Words", F.lit("x")), [0] * (2 * quality_rules.BUCKETS))
+    assert sorted(judged.columns) == sorted([*(c for c in awkward.columns if c not in ("kept", "llr")), *quality_rules.JUDGED])
+    judged = judged.collect()
     by = {r.doc_id: r for r in judged}
     assert len(judged) == 8 and (by[1].n_words, by[3].n_words, by[4].n_words) == (0, 0, 60_000) and by[4].n_repeat_words == 60_000 and by[1].base_failed and not by[1].kept
     labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
