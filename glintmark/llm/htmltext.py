@@ -1,19 +1,23 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page becomes blocks of text in page order, each with its root-to-leaf path of block tags. Per path the characters and
-punctuation marks are summed and divided by the path's blocks. Both ratios are smoothed along the page with a Gaussian
-window, fused (geometric mean of length and of one plus punctuation), weighted by what tags, classes and link share
-say about the path, and averaged again per path. Paths at or above a share of the page's spread are content: all their blocks
-are kept, so a short paragraph of an article stays. Blocks in an article, main or labelled element take the best score of
-its paths, less the path's link share, so short lists, tables and code of a kept article stay too.
-
-Labels and forms can be wrappers of the whole page. One that holds most of its text doesn't count against an
-article or main element inside, nor, if the label is only a part of a longer name, against a page that would have no text
-otherwise. A form with much text for each of its controls counts only where its controls are.
-
-Null or empty html gives an empty text. Broken markup is read as browsers do: unclosed paragraphs and items end where
-the next begins, an unclosed comment, script or tag runs to the end. Pages without any path above the threshold give their best
-path if it isn't boilerplate by its labels. Rows that repeat are kept as rows. Further columns are kept.
+A page becomes blocks of text in page order, each with its root-to-leaf path of block tags. Per path the characters,
+punctuation marks and linked characters are summed and divided by the path's blocks. Both ratios are smoothed along the
+page with a Gaussian window, fused (geometric mean of length and of one plus punctuation) and averaged again per path,
+less the path's share of linked text. Paths that reach a share of the page's spread are content: all their blocks are
+kept, so a short paragraph of an article stays. Blocks of an article, main or labelled element take the best score of its
+paths, less their own path's link share, so short lists, tables and code of a kept article stay too.
+
+What tags and names say is a factor on top, never a verdict: as the threshold is relative, a factor that holds for the
+whole page (a wrapper called `has-sidebar`, one form around everything) changes nothing. An article or main element counts
+INSIDE, an element labelled as main LABELLED, one labelled as boilerplate (`comments`, `ad`, ...) DOUBT; an article or main
+inside such a wrapper starts anew from the wrapper's factor. HTML's own elements for what isn't the article (nav, footer, aside,
+header outside of an article, ...) count ASIDE, and so does a form, unless it has much text for each of its controls: then only
+the places beside its controls do. A page whose best path stays below LEAST has no main text.
+
+Everything is linear in the page's size and depth. White space is what str.split takes for it, so U+00A0 and U+001C to U+001F
+become single spaces, too. Null or empty html gives an empty text. Broken markup is read as browsers do: unclosed paragraphs and
+items end where the next begins, an unclosed comment, script or tag runs to the end. Rows that repeat are kept as rows.
+Further columns are kept; html goes, and a column with the text's name is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +42,9 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu address fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside dialog menu address".split())
 MAIN_TAGS = frozenset(("article", "main"))
-#: What makes a form a form, and how much text for each of them makes it a wrapper.
+#: What makes a form a form, and how many characters for each of them make it a wrapper.
 CONTROLS, FORM_TEXT = frozenset("input select textarea button".split()), 200
 FORMS = frozenset(("form", "fieldset"))
 #: Words of class, id and role attributes.
@@ -52,10 +55,10 @@ BOILERPLATE = frozenset(
     "widget widgets alert".split()
 )
 MAIN = frozenset("article articlebody body content entry main post story text".split())
-#: Weight of a path inside a main element, and of one labelled as main by class or id.
-INSIDE, LABELLED = 6.0, 3.0
-#: Gaussian width in blocks; share of the spread (mean and deviation of the paths' scores) that content reaches.
-WIDTH, SHARE = 1.0, 0.35
+#: Factors of the module's text.
+INSIDE, LABELLED, DOUBT, ASIDE = 2.0, 1.5, 0.2, 1e-6
+#: Gaussian width in blocks; share of the spread (mean and deviation of the paths' scores) that content reaches; least best score.
+WIDTH, SHARE, LEAST = 1.0, 0.35, 1e-3
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 TAG = re.compile(
@@ -68,77 +71,93 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    """An open element: weight 1 unknown, above 1 main; zeros are the boilerplate elements around it, itself included."""
+    """An open element: its path's number, its factor, the innermost form and the main elements around it."""
 
-    __slots__ = ("name", "label", "controls", "weight", "zeros", "inside", "main", "article", "contents")
+    __slots__ = ("name", "path", "controls", "factor", "form", "contents", "doubted", "main", "article", "block")
 
-    def __init__(self, name: str, label: str, up: Element | None) -> None:
-        self.name, self.label, self.controls = name, label, int(name == "label")
-        self.weight, self.zeros, self.contents = (up.weight, up.zeros, up.contents) if up else (1.0, (), ())
-        # So many of the zeros are around the innermost main or article that no article is around; whether that is a main.
-        self.inside, self.main, self.article = (up.inside, up.main, up.article) if up else (0, False, False)
+    def __init__(self, name: str, path: int, up: Element | None) -> None:
+        self.name, self.path, self.controls, self.block = name, path, int(name == "label"), self
+        self.factor, self.form, self.contents, self.doubted, self.main, self.article = (up.factor, up.form, up.contents, up.doubted, up.main, up.article) if up else (1.0, None, None, 0, False, False)
 
-    def zero(self, form: bool, tag: bool, whole: bool) -> None:
-        self.zeros = (*self.zeros, Zero(form, tag, whole))
 
+class Form:
+    __slots__ = ("chars", "controls")
 
-class Zero:
-    """A boilerplate element: whole says that it is so by its tag or a whole name, not by a part of a name."""
+    def __init__(self) -> None:
+        self.chars = self.controls = 0
 
-    __slots__ = ("form", "tag", "whole", "chars", "controls")
 
-    def __init__(self, form: bool, tag: bool, whole: bool) -> None:
-        self.form, self.tag, self.whole, self.chars, self.controls = form, tag, whole, 0, 0
+class Content:
+    """A main element that may be inside another; best is the best score of the paths in it."""
 
+    __slots__ = ("up", "best")
 
-class Block:
-    __slots__ = ("path", "parts", "weight", "linked", "parent")
-
-    def __init__(self, path: tuple[str, ...], parent: Element) -> None:
-        self.path, self.parts, self.weight, self.linked, self.parent = path, [], parent.weight, 0, parent
-
-
-def _open(name: str, attributes: str) -> tuple[str, frozenset[str], frozenset[str]]:
-    found = [(m[1].lower(), next(x for x in m.groups()[1:] + ("",) if x is not None)) for m in LABELS.finditer(attributes)] if attributes else []
-    words = frozenset(w.lower() for _, x in found for w in WORD.findall(x))
-    return name + "".join(sorted({f".{w}" for w in words})), words, frozenset(w for _, x in found for w in x.lower().split())
+    def __init__(self, up: Content | None) -> None:
+        self.up, self.best = up, 0.0
 
 
-def _weigh(found: list[Block]) -> None:
-    """Set the weight of blocks inside boilerplate to 0, except where that boilerplate is a wrapper of the page."""
-    total = 0
-    for b in found:
-        n = len(" ".join("".join(b.parts).split()))
-        total += n
-        for z in b.parent.zeros:
-            z.chars += n
-    most = lambda z: not z.tag and 2 * z.chars > total
-    spared = lambda z, e: z.form and z.chars > FORM_TEXT * z.controls and not e.controls
-    around = lambda z, k, e: k < e.inside and most(z) and (e.main or not z.whole)
-    for b in found:
-        if not all(spared(z, b.parent) or around(z, k, b.parent) for k, z in enumerate(b.parent.zeros)):
-            b.weight = 0.0
-    if not any(b.weight for b in found):
-        for b in found:
-            if all(spared(z, b.parent) or (most(z) and not z.whole) for z in b.parent.zeros):
-                b.weight = b.parent.weight
+class Block:
+    __slots__ = ("path", "parts", "text", "linked", "parent", "factor")
+
+    def __init__(self, parent: Element) -> None:
+        self.path, self.parts, self.text, self.linked, self.parent, self.factor = parent.path, [], "", 0, parent, parent.factor
+
+
+def _open(attributes: str) -> tuple[str, frozenset[str]]:
+    """The words of class, id and role: as they go into a path, and as a set."""
+    words = frozenset(w.lower() for m in LABELS.finditer(attributes) for x in m.groups()[1:] if x for w in WORD.findall(x))
+    return "".join(sorted({f".{w}" for w in words})), words
+
+
+def _judge(x: Element, words: frozenset[str]) -> None:
+    """What the element's tag and names say."""
+    name = x.name
+    doubtful = bool(words & BOILERPLATE) and name not in ("html", "body")
+    if name in FORMS:
+        x.form, doubtful = Form(), bool(words & BOILERPLATE - {"form"})
+    if name in BOILERPLATE_TAGS or (name == "header" and not x.article):
+        x.factor, x.contents, x.doubted = ASIDE, None, 2
+    elif name in MAIN_TAGS and not doubtful:
+        anew = not (x.article or x.main and name == "main")
+        if anew:
+            x.factor *= 1.0 if x.main else INSIDE
+            x.doubted, x.form = 0, None
+        x.main, x.article = True, x.article or name == "article"
+        if anew or not x.doubted:
+            x.contents = Content(x.contents)
+    elif doubtful:
+        x.factor *= DOUBT if x.doubted < 2 else 1.0  # once for a wrapper, once for what is in it
+        x.contents, x.doubted = None, x.doubted + 1
+    elif words & MAIN and name not in ("html", "body") and not x.contents:
+        x.factor *= LABELLED
+        x.contents = Content(None)
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; those inside skipped elements are left out."""
+    """Text blocks in page order; those inside skipped elements are left out, and so are blank ones."""
     out: list[Block] = []
-    stack: list[Element] = []
-    top = Element("", "", None)
+    top = Element("", 0, None)
+    stack: list[Element] = [top]
+    open_at: dict[str, list[int]] = {}  # by name, the places in the stack of open elements
+    paths: dict[tuple[int, str], int] = {}
     skipped = links = 0
     block: Block | None = None
     at, n = 0, len(page)
 
-    def pop(k: int) -> None:
+    def close(x: Element) -> None:
         nonlocal skipped, links
-        for x in stack[k:]:
-            skipped -= x.name in SKIPPED
-            links -= x.name == "a"
-        del stack[k:]
+        open_at[x.name].pop()
+        skipped -= x.name in SKIPPED
+        links -= x.name == "a"
+
+    def pop(k: int) -> None:
+        while len(stack) > k:
+            x = stack.pop()
+            if x.name:
+                close(x)
+
+    def last(names) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
 
     def add(text: str) -> None:
         nonlocal block
@@ -147,7 +166,7 @@ def blocks(page: str) -> list[Block]:
         if block is None:
             if not text.strip():
                 return
-            block = Block(tuple(x.label for x in stack if x.name not in INLINE), next((x for x in reversed(stack) if x.name not in INLINE), top))
+            block = Block(stack[-1].block)
             out.append(block)
         text = entities.unescape(text)
         block.parts.append(text)
@@ -163,57 +182,43 @@ def blocks(page: str) -> list[Block]:
         name = (m[2] or m[5] or "").lower()
         if not name or (m[5] and not page.endswith(">", 0, at)):
             continue
+        if name == "br":
+            add(" ")
+            continue
         if m[1] or m[4]:
-            if name == "br":
-                add(" ")
-            elif (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), -1)) >= 0:
-                if name not in INLINE or any(x.name not in INLINE for x in stack[k:]):
-                    if name in INLINE:  # an inline end tag doesn't close blocks
-                        links -= name == "a"
-                        del stack[k]
-                        continue
-                    block = None
+            k = last((name,))
+            if not k:
+                block = block if name in INLINE else None
+            elif name in INLINE and stack[-1].block is not stack[k].block:  # an inline end tag doesn't close blocks
+                close(stack[k])
+                stack[k].name = ""
+            else:
+                block = block if name in INLINE else None
                 pop(k)
-            elif name not in INLINE:
-                block = None
             continue
         attributes = m[3] if m[2] else m[6]
-        if name == "br":
-            add(" ")
-            continue
         if name in CONTROLS and not HIDDEN.search(attributes):
-            next((x for x in reversed(stack) if x.name not in INLINE), top).controls += 1
-            for z in stack[-1].zeros if stack else ():
-                z.controls += z.form
+            stack[-1].block.controls += 1
+            if stack[-1].form:
+                stack[-1].form.controls += 1
         if name not in INLINE:
             block = None
-            if name not in SKIPPED and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == "p"), -1)) >= 0:
+            if name not in SKIPPED and (k := last(("p",))):
                 pop(k)
             closes, bounds = ENDS.get(name, ((), ()))
-            for k in range(len(stack) - 1, -1, -1) if closes else ():
-                if stack[k].name in bounds:
-                    break
-                if stack[k].name in closes:
-                    pop(k)
-                    break
+            if closes and (k := last(closes)) > last(bounds):
+                pop(k)
         if name in VOID or attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
-        label, words, names = _open(name, attributes) if name not in INLINE else (name, frozenset(), frozenset())
-        x = Element(name, label, stack[-1] if stack else top)
-        labelled = bool(words & BOILERPLATE) and name not in ("html", "body", "article", "main")
-        if name in BOILERPLATE_TAGS or labelled or (name == "header" and x.weight < INSIDE):
-            form = name in FORMS and not words & BOILERPLATE - {"form"}
-            x.zero(form, name in BOILERPLATE_TAGS and name not in FORMS or name == "header", bool(names & BOILERPLATE))
-        if name in MAIN_TAGS:
-            if not x.article and not words & BOILERPLATE:
-                x.inside, x.main = len(x.zeros), name == "main"
-            if x.weight < INSIDE:
-                x.contents = (x,)
-            x.weight, x.article = INSIDE, x.article or name == "article"
-        elif words & MAIN and name not in ("html", "body"):
-            x.weight = max(x.weight, LABELLED)
-            if x.weight < INSIDE:
-                x.contents = (*x.contents, x)
+        up = stack[-1]
+        if name in INLINE:
+            x = Element(name, up.path, up)
+            x.block = up.block
+        else:
+            label, words = _open(attributes) if attributes else ("", frozenset())
+            x = Element(name, paths.setdefault((up.path, name + label), len(paths) + 1), up)
+            _judge(x, words)
+        open_at.setdefault(name, []).append(len(stack))
         stack.append(x)
         skipped += name in SKIPPED
         links += name == "a"
@@ -221,8 +226,15 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             pop(len(stack) - 1)
             at = end.end() if end else n
-    _weigh(out)
-    return out
+    for b in out:
+        b.text = " ".join("".join(b.parts).split())
+        if b.parent.form:
+            b.parent.form.chars += len(b.text)
+    for b in out:
+        form = b.parent.form
+        if form and (b.parent.controls or form.chars <= FORM_TEXT * form.controls):
+            b.factor *= ASIDE
+    return [b for b in out if b.text]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -235,50 +247,56 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    texts = [" ".join("".join(b.parts).split()) for b in found]
-    found, texts = [b for b, t in zip(found, texts) if t], [t for t in texts if t]
-    if not found:
-        return ""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for b, t in zip(found, texts):
+def chosen(found: list[Block]) -> list[Block]:
+    """The blocks of content paths."""
+    sums: dict[int, list[float]] = {}
+    for b in found:
         x = sums.setdefault(b.path, [0, 0, 0, 0])
-        for k, v in enumerate((1, len(t), len(PUNCTUATION.findall(t)), min(b.linked, len(t)))):
+        for k, v in enumerate((1, len(b.text), len(PUNCTUATION.findall(b.text)), min(b.linked, len(b.text)))):
             x[k] += v
+    plain = {path: 1 - linked / chars for path, (_, chars, _, linked) in sums.items()}
     length = _smooth([sums[b.path][1] / sums[b.path][0] for b in found])
     marks = _smooth([sums[b.path][2] / sums[b.path][0] for b in found])
-    fused: dict[tuple[str, ...], list[float]] = {}
+    fused: dict[int, list[float]] = {}
     for b, a, p in zip(found, length, marks):
-        fused.setdefault(b.path, []).append(math.sqrt(a * (1 + p)) * b.weight * (1 - sums[b.path][3] / max(1, sums[b.path][1])))
+        fused.setdefault(b.path, []).append(math.sqrt(a * (1 + p)) * b.factor * plain[b.path])
     score = {path: sum(x) / len(x) for path, x in fused.items()}
+    if not score or max(score.values()) < LEAST:
+        return []
     mean = sum(score.values()) / len(score)
-    spread = mean + math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
-    best: dict[Element, float] = {}
+    least = SHARE * (mean + math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score)))
+    for b in found:
+        if b.parent.contents and b.factor == b.parent.factor:
+            b.parent.contents.best = max(b.parent.contents.best, score[b.path])
+    # An element's best counts for those inside it, too: outer ones come first in the page.
+    seen = set()
     for b in found:
-        for x in b.parent.contents if b.weight else ():
-            best[x] = max(best.get(x, 0), score[b.path])
+        own, x = [], b.parent.contents
+        while x and id(x) not in seen:
+            own.append(x)
+            seen.add(id(x))
+            x = x.up
+        for x in reversed(own):
+            x.best = max(x.best, x.up.best if x.up else 0.0)
 
     def reaches(b: Block) -> bool:
-        given = best[b.parent.contents[-1]] * (1 - sums[b.path][3] / max(1, sums[b.path][1])) if b.parent.contents else 0
-        return max(score[b.path], given) >= SHARE * spread and max(score[b.path], given) > 0
+        given = b.parent.contents.best * plain[b.path] if b.parent.contents and b.factor == b.parent.factor else 0.0
+        return max(score[b.path], given) >= max(least, 1e-9)
 
-    return "\n".join(t for b, t in zip(found, texts) if b.weight > 0 and reaches(b))
+    return [b for b in found if reaches(b)]
+
+
+def main_text(page: str | None) -> str:
+    return "\n".join(b.text for b in chosen(blocks(page or "")))
 
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "text") -> DataFrame:
     """pages without html_col and with the main text in one more column."""
-    kept = [c for c in pages.columns if c != html_col]
-    columns = [f"c{k}" for k in range(len(kept))]
-    plain = pages.select(*kept, html_col).toDF(*columns, "html")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in shared.cut(batches):
-            texts = [main_text(x) for x in b.column(len(kept)).to_pylist()]
-            yield pa.record_batch([*b.columns[: len(kept)], pa.array(texts, pa.string())], names=[*columns, "text"])
+    def found(pages: pa.Array) -> list[pa.Array]:
+        return [pa.array([main_text(x) for x in pages.to_pylist()], pa.string())]
 
-    schema = ", ".join([*(f"{c} {plain.schema[c].dataType.simpleString()}" for c in columns), "text string"])
-    return plain.mapInArrow(run, schema).toDF(*kept, name)
+    return shared.with_columns(pages, html_col, f"{name} string", found, 16 << 20, drop=[html_col])
 
 
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,21 +145,56 @@ STORY = "The first sentence of the story, as long as sentences are. A second one
         (f"<form><input><article><p>{STORY}</p></article></form>", STORY), (f"<article><p>{STORY * 5}</p></article><div class=comments-list><article class=comment><p>{STORY * 9}</p></article></div>", STORY * 5),
         (f"<article><p>{STORY * 9}</p><ul>{ITEMS}</ul></article>", f"{STORY * 9}\n{LINES}"), (f"<div class=post><p>{STORY * 9}</p><ul>{ITEMS}</ul></div><ul>{ITEMS}</ul>", f"{STORY * 9}\n{LINES}"),
         (f"<main><article><p>{STORY * 9}</p><table><tr><td>a<td>1</table><pre>x = 1</pre><ul><li><a href=x>Next</a></ul></article></main>", f"{STORY * 9}\na\n1\nx = 1"),
-        (f"<div class=comments><article><p>{STORY}</p></article></div><nav><p>{STORY * 2}</p></nav>", ""),
+        (f"<div class=comments><article><p>{STORY}</p></article></div><nav><p>{STORY * 2}</p></nav>", STORY), (f"<nav><p>{STORY * 2}</p></nav><footer>{STORY}</footer>", ""),
+        (f"<div class='no-header'><article><h1>T</h1><p>{STORY}</p></article><div class=ads>Buy this, now.</div></div>", f"T\n{STORY}"),
+        (f"<article><p>{STORY * 5}</p></article><div class=comments><article><p>{STORY}</p></article></div>", STORY * 5), (f"<table><tr><td><div class=sidebar><ul><li><a href=x>One</a></ul></div><td><p>{STORY}</p></table>", STORY),
     ],
 )
 def test_html_wrappers_and_short_blocks(page, want):
     assert htmltext.main_text(page) == want
 
 
+def plain_scores(found):
+    """Which of the blocks are content, by the definition, path by path."""
+    rows = [(b.path, b.text, b.linked, b.factor) for b in found]
+    own = {p: [r for r in rows if r[0] == p] for p, *_ in rows}
+    plain = {p: 1 - sum(min(x[2], len(x[1])) for x in xs) / sum(len(x[1]) for x in xs) for p, xs in own.items()}
+    size = [sum(len(x[1]) for x in own[p]) / len(own[p]) for p, *_ in rows]
+    marks = [sum(len(re.findall(r"[.,;:!?\u3002\uff0c\u3001\uff1b\uff1a\uff01\uff1f\u2026]", x[1])) for x in own[p]) / len(own[p]) for p, *_ in rows]
+    smooth = lambda xs, i: sum(np.exp(-0.5 * (i - k) ** 2) * x for k, x in enumerate(xs) if abs(i - k) <= 2) / sum(np.exp(-0.5 * (i - k) ** 2) for k in range(len(xs)) if abs(i - k) <= 2)
+    fused = [(p, (smooth(size, i) * (1 + smooth(marks, i))) ** 0.5 * f * plain[p]) for i, (p, _, _, f) in enumerate(rows)]
+    score = {p: np.mean([x for q, x in fused if q == p]) for p in own}
+    least = 0.35 * (np.mean(list(score.values())) + np.std(list(score.values()))) if score else 0
+    if not score or max(score.values()) < 1e-3:
+        return []
+    inside = lambda x: [x, *inside(x.up)] if x else []
+    best = lambda b: max((score[c.path] for c in found if c.factor == c.parent.factor and c.parent.contents in inside(b.parent.contents)), default=0)
+    return [b.text for b in found if max(score[b.path], best(b) * plain[b.path] if b.factor == b.parent.factor else 0) >= least * (1 - 1e-12)]
+
+
+def test_html_depth_and_size():
+    import time
+
+    began = time.time()
+    assert htmltext.main_text("<div>" * 100_000 + f"<p>{STORY}</p>") == STORY
+    assert htmltext.main_text("<div><p>x" * 20_000 + f"<p>{STORY}") .endswith(STORY)
+    assert len(htmltext.main_text("<b>" * 30_000 + f"<p>{STORY}</p></b>" * 3000)) > 3000 * len(STORY)
+    assert time.time() - began < 30
+
+
 def test_html_pages(spark, sf_dir):
     import html
 
     pages = {r.page_id: r.html for r in shared.table(spark, sf_dir, "pages").collect()}
+    for x in [*pages.values(), f"<div class=post><p>{STORY * 9}</p><ul>{ITEMS}</ul></div><ul>{ITEMS}</ul>"]:
+        found = htmltext.blocks(x or "")
+        assert [b.text for b in htmltext.chosen(found)] == plain_scores(found)
     for r in registry.QUERIES["op4_html_main_text"](spark, sf_dir).collect():
         body = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>?", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", body.replace("<br>", " "))]
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+    twice = spark.createDataFrame([(1, "<p>One, two."), (1, "<p>One, two."), (None, None)], "TEXT long, html string")
+    assert sorted(r.text for r in htmltext.extract(twice).collect()) == ["", "One, two.", "One, two."]
     empty = htmltext.extract(spark.createDataFrame([], "html string, text long, c0 int"), name="main")
     assert empty.columns == ["text", "c0", "main"] and empty.count() == 0
 
