@@ -1,8 +1,8 @@
 """Chat formatting with cumulative-snapshot collapse.
 
 A log often holds a conversation again and again, each time one turn longer. Every turn gets a rolling hash of the
-turns up to it: running sums of two 40-bit hashes of place, role and text, so a prefix's hash follows from the one
-before. A conversation whose whole hash equals a proper prefix's hash of another is a snapshot; an anti-join leaves the
+turns up to it: running exclusive ors of two 64-bit hashes of place, role and text, so a prefix's hash follows from the one
+before, and nothing overflows however many turns there are. A conversation whose whole hash equals a proper prefix's hash of another is a snapshot; an anti-join leaves the
 maximal ones. Equal conversations keep the smallest conv_id. The kept ones are rendered, one row each.
 
 Only DataFrame operations. The joins' keys are unique on both sides, as whole conversations and prefixes are made
@@ -17,18 +17,28 @@ Further columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: What stands before a role, between role and text, and behind a text; the marks are split up inside roles and texts.
-BEGIN, BETWEEN, END = "<|im_start|>", "\n", "<|im_end|>\n"
+
+
+class Template(NamedTuple):
+    """What stands before a role, between role and text, behind a text, and behind the last; marks inside roles and texts are replaced."""
+
+    begin: str = "<|im_start|>"
+    between: str = "\n"
+    end: str = "<|im_end|>\n"
+    last: str = ""
+    escape: tuple[tuple[str, str], ...] = (("<|im_", "<| im_"),)
 
 
 def _item(salt: str) -> Column:
-    """40 bits for a turn's place, role and text."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), "k", F.col("role").isNull(), "role", F.col("text").isNull(), "text"), 24)
+    """64 bits for a turn's place, role and text."""
+    return F.xxhash64(F.lit(salt), "k", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
 
 
 def single(rows: DataFrame) -> DataFrame:
@@ -41,7 +51,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     soon = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.where("conv_id is not null").withColumn("k", F.row_number().over(order))
-    named = placed.select("conv_id", "k", F.sum(_item("a")).over(soon).alias("ha"), F.sum(_item("b")).over(soon).alias("hb"), F.lead(F.lit(1)).over(order).isNotNull().alias("more"))
+    named = placed.select("conv_id", "k", F.bit_xor(_item("a")).over(soon).alias("ha"), F.bit_xor(_item("b")).over(soon).alias("hb"), F.lead(F.lit(1)).over(order).isNotNull().alias("more"))
     return named.union(single(rows).select(F.lit(None).cast(rows.schema["conv_id"].dataType), F.lit(1), "ha", "hb", F.lit(False)))
 
 
@@ -53,20 +63,25 @@ def maximal(marked: DataFrame) -> DataFrame:
     return whole.join(begun, key, "left_anti").select("conv_id", F.col("k").cast("long").alias("n_turns"), "n_copies", "ha", "hb")
 
 
-def rendered(role: Column, text: Column) -> Column:
-    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
-    return F.concat(F.lit(BEGIN), plain(role), F.lit(BETWEEN), plain(text), F.lit(END))
+def rendered(role: Column, text: Column, template: Template = Template()) -> Column:
+    def plain(c: Column) -> Column:
+        out = F.coalesce(c, F.lit(""))
+        for mark, other in template.escape:
+            out = F.replace(out, F.lit(mark), F.lit(other))
+        return out
+
+    return F.concat(F.lit(template.begin), plain(role), F.lit(template.between), plain(text), F.lit(template.end))
 
 
-def chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: Template = Template()) -> DataFrame:
     """conv_id, n_turns, n_copies, chat: one row for each maximal conversation."""
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     kept = shared.stored(maximal(shared.stored(prefixes(rows), "chat-prefixes")), "chat-maximal")
     together = rows.join(kept, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    named = together.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("turns", lambda x: rendered(x["role"], x["text"])), "").alias("chat"))
+    named = together.select("conv_id", "n_turns", "n_copies", F.concat(F.array_join(F.transform("turns", lambda x: rendered(x["role"], x["text"], template)), ""), F.lit(template.last)).alias("chat"))
     # Rows of one hash are equal; they meet inside tasks before the join.
     alone = single(rows).groupBy("ha", "hb").agg(F.min(F.struct("role", "text")).alias("x")).join(kept.where("conv_id is null"), ["ha", "hb"])
-    return named.union(alone.select("conv_id", "n_turns", "n_copies", rendered(F.col("x.role"), F.col("x.text"))))
+    return named.union(alone.select("conv_id", "n_turns", "n_copies", F.concat(rendered(F.col("x.role"), F.col("x.text"), template), F.lit(template.last))))
 
 
 def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

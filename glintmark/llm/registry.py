@@ -24,4 +24,5 @@ ORACLES = {
     "op1_chat_collapse": chat.OP1_SQL,
     "op2_warc_archive": warc.OP2_SQL,
     "op9_quality_llr": quality_rules.OP9_SQL,
+    "op10_benchmark_decontamination": decontaminate.OP10_SQL,
 }

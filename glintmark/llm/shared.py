@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset and Spark is local (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="glintmark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,23 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's place below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's place below the shared one; it goes when the session's JVM ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors, computes once."""
     spark = df.sparkSession
     at = scratch(spark, name)
-    df.write.parquet(at)
+    df.write.mode("overwrite").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def drop_folder(spark: SparkSession, at: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
@@ -77,24 +79,28 @@ def views(column: pa.Array) -> Iterator[memoryview]:
         yield memoryview(x.as_buffer()) if x.is_valid else memoryview(b"")
 
 
-def with_columns(df: DataFrame, text_col: str, more: str, found, size: int, drop: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def with_columns(df: DataFrame, text_col: str, more: str, found, size: int, drop: list[str] | tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
     """df without drop and with the columns of the schema more, which found gives as arrays for a batch's texts.
 
-    The new columns take the place of columns of the same names, whatever the letters' case, as withColumns does.
+    The new columns take the place of columns of the same names, whatever the letters' case, as withColumns does. With
+    where (a condition on the new columns) df's own columns come back instead, in the rows where it holds.
     """
     names = [x.split()[0] for x in more.split(", ")]
-    gone = {x.lower() for x in (*names, *drop)}
+    gone = {x.lower() for x in (*(names if where is None else ()), *drop)}
     kept = [c for c in df.columns if c.lower() not in gone]
     columns = [f"c{k}" for k in range(len(kept))]
-    plain = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, columns)], F.col(f"`{text_col}`").alias("text"))
+    own = [F.col(f"`{c}`").alias(k) for c, k in zip(kept, columns)]
+    at = kept.index(text_col) if text_col in kept else len(kept)
+    plain = df.select(*own, *([] if at < len(kept) else [F.col(f"`{text_col}`").alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, size):
             if b.num_rows:
-                yield pa.record_batch([*b.columns[:-1], *found(b.column(len(kept)))], names=[*columns, *names])
+                yield pa.record_batch([*b.columns[: len(columns)], *found(b.column(at))], names=[*columns, *names])
 
     schema = ", ".join([*(f"{c} {plain.schema[c].dataType.simpleString()}" for c in columns), more])
-    return plain.mapInArrow(run, schema).toDF(*kept, *names)
+    out = plain.mapInArrow(run, schema)
+    return out.toDF(*kept, *names) if where is None else out.where(where).select(*columns).toDF(*kept)
 
 
 def cut(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,8 @@ DICTIONARY_MAGIC = 0x184D2A5D
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 1 << 15, 112_640
 LEVEL = 3
 FILE_BYTES = 1 << 30
+#: Bytes that are given to the decompressor at once.
+PIECE = 1 << 12
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -123,17 +125,19 @@ def records(source, step: int = 1 << 20) -> Iterator[bytes]:
         raise ValueError("no dictionary frame")
     dictionary = source.read(size)
     press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    rest = source.read(step)
-    while rest:
+    data, at = source.read(step), 0
+    while at < len(data) or (data := source.read(step)):
+        at = at if at < len(data) else 0
         one, parts = press.decompressobj(), []
-        while True:
-            parts.append(one.decompress(rest))
-            if one.eof:
-                rest = one.unused_data or source.read(step)
-                break
-            rest = source.read(step)
-            if not rest:
-                raise ValueError("the last record is cut off")
+        while not one.eof:
+            if at >= len(data):
+                data, at = source.read(step), 0
+                if not data:
+                    raise ValueError("the last record is cut off")
+            # Small steps, so that what follows a record is not copied again for each.
+            piece = data[at : at + PIECE]
+            parts.append(one.decompress(piece))
+            at += len(piece) - len(one.unused_data)
         yield b"".join(parts)
 
 
@@ -228,8 +232,8 @@ OP2_SQL = """
 SELECT page_id, octet_length(encode(html)) AS payload_bytes,
        list_aggregate(list_transform(range(0, 32), lambda k:
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (substr(bits, 5 * k + 1, 5)::BIT::INT)::INT, 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM least THEN NULL ELSE least END AS refers_to
 FROM (
   SELECT page_id, html, min(page_id) OVER (PARTITION BY sha1(html)) AS least,
          list_aggregate(list_transform(range(1, 41), lambda i:

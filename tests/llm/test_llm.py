@@ -68,9 +68,39 @@ def test_chat_without_ids(spark, duck):
         assert sorted((r[0] or 0, *r[1:]) for r in c.execute(f"SELECT conv_id, n_turns, n_copies, chat FROM ({sql})").fetchall()) == got
 
 
+def test_chat_long_and_templates(spark):
+    t = "conv_id long, turn long, role string, text string"
+    rows = [(c, k, "u", "same") for c, n in ((1, 3000), (2, 2999), (3, 2999)) for k in range(n)] + [(4, 0, "u", "y" * 2_000_000)]
+    got = {r.conv_id: (r.n_turns, r.n_copies, r.chat) for r in chat.chats(spark.createDataFrame(rows, t), template=chat.Template("[", "] ", "\n", "eos", (("[", "("),))).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: (3000, 1), 4: (1, 1)}
+    assert got[1][2] == "[u] same\n" * 3000 + "eos" and len(got[4][2]) == 2_000_008
+
+
 # 2 warc
 
 
+def test_warc_sql_on_awkward_ids(spark, duck, tmp_path):
+    rows = [(1, "u", "a"), (1, "v", "a"), (2, "u", "a"), (None, "u", "b"), (None, "u", "b"), (None, "u", "c"), (9, "u", "c"), (3, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    with duck.cursor() as c:
+        c.register("given", pages.toArrow())
+        same_rows(warc.op2_warc_archive(spark, str(tmp_path)), c, warc.OP2_SQL.replace("FROM pages", "FROM given"))
+
+
+def test_warc_many_small_records():
+    import time
+
+    out = io.BytesIO()
+    archive = warc.Archive(out, b"")
+    for k in range(40_000):
+        archive.add(b"%d" % k)
+    out.seek(0)
+    began = time.time()
+    assert [int(x) for x in warc.records(out)] == list(range(40_000))
+    assert time.time() - began < 10
+
+
 def test_warc_files(spark, tmp_path):
     rows = [(1, "http://a b/\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (None, "u", "<p>é</p>"), (6, "u", "z" * 3_000_000), (7, "u", "solo")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit("clash"))
@@ -506,11 +536,22 @@ def test_decontamination_query(spark, sf_dir):
     rows, all_texts = {r.doc_id: r for r in registry.QUERIES["op10_benchmark_decontamination"](spark, sf_dir).collect()}, texts(spark, sf_dir)
     hit = [i for i, r in rows.items() if r.contaminated]
     assert hit and len(rows) == len(all_texts)
-    for i in [*hit, *sorted(rows)[:15]]:
+    for i in [*hit, *sorted(rows)[:15]]:  # every row is compared with the SQL; these with plain Python, too
         n, h, found = brute_hits(items, all_texts[i])
         assert (rows[i].n_words, rows[i].n_hit, rows[i].n_items, rows[i].items_sha256) == (n, h, len(found), hashlib.sha256(",".join(found).encode()).hexdigest())
 
 
+def test_decontamination_full_bucket():
+    import time
+
+    windows = {(f"a{k}".encode(), b"x", b"y", b"z"): [str(k)] for k in range(5000)}
+    tables = decontaminate.WuManber(windows, 4)
+    words = [w for k in range(0, 5000, 10) for w in (f"a{k}".encode(), b"x", b"y", b"z", b"-")]
+    began = time.time()
+    assert [i[0] for _, i in tables.search(words)] == [str(k) for k in range(0, 5000, 10)]
+    assert time.time() - began < 0.2
+
+
 @pytest.mark.parametrize("chunk", [200_000, 3])
 def test_decontamination_small(spark, awkward, chunk):
     rng = random.Random(7)
@@ -522,9 +563,11 @@ def test_decontamination_small(spark, awkward, chunk):
     for r in got:
         n, h, found = brute_hits([x for x in items if x[0] is not None], r.text)
         assert (r.found.n_words, r.found.n_hit, list(r.found["items"])) == (n, h, found)
-    odd = awkward.drop("found")
-    assert decontaminate.scan(odd, bench.limit(0)).where("found.n_hit > 0").count() == 0
-    assert decontaminate.clean(odd, bench.limit(0)).columns == odd.columns and decontaminate.scan(odd.limit(0), bench).count() == 0
+    found = decontaminate.scan(awkward, bench.limit(0))
+    assert sorted(found.columns) == sorted(awkward.columns) and found.where("found.n_hit = 0").count() == 8
+    assert {r.doc_id: r.found.n_words for r in found.where("doc_id in (1, 2, 3, 4)").collect()} == {1: 0, 2: 0, 3: 0, 4: 60_000}
+    kept = decontaminate.clean(awkward, bench.limit(0))
+    assert kept.columns == awkward.columns and {r.found for r in kept.collect()} == {1} and decontaminate.scan(awkward.limit(0), bench).count() == 0
 
 
 def test_decontamination_without_ids(spark, tmp_path):
