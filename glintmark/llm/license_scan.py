@@ -1,15 +1,21 @@
 """License scan: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
 
-Templates and texts become words (ASCII letters folded, other bytes of non-ASCII characters kept). Of every GUARANTEE = K +
-WINNOW - 1 words, the smallest hash of their K-word runs is a fingerprint, so a match of that many words always shares one.
-The inverted index maps a fingerprint to the templates and places that have it; it is fixed and small, and goes out with
-the task. A shared run consists of template words only, so texts are winnowed inside such runs, which gives the same candidates.
+Templates and texts become words (ASCII letters folded, other bytes of non-ASCII characters kept), each word a hash, and
+runs of k words a polynomial of their hashes. Of every w neighbouring runs the smallest hash is a fingerprint, so a match of
+k + w - 1 words always shares one. Whole texts are winnowed, once with the fine setting (k, w) for templates of under LONG
+words, once with the coarse one for the others. The inverted index maps a fingerprint to the templates and places that have it;
+it is fixed and small, and goes out with the task.
+
 Hits of one template with nearby diagonals are a candidate; a local alignment (match 2, difference -1, gap -1) in a band
 around them gives the matched words, their share of the template, and the span in the text. Of overlapping spans of
-one template the one with more matched words stays, then the earlier.
+one template the one with more matched words stays, then the earlier; different templates may share a span.
+
+FINE keeps every pair of words: where a share of COVERAGE or more of a template's words is in place, fewer than half of
+its pairs can be broken by changed or missing words, so short templates have no missed candidates. COARSE can miss matches
+near the threshold whose changes are dealt evenly; the tests measure the recall against alignment at all places.
 
 Null and empty texts have no matches. Rows that repeat or have a null id are scanned like others. Templates of under
-GUARANTEE words are refused. Further columns are kept by `scan`.
+LEAST words are refused. Further columns are kept by `scan`; its own take the place of columns with their names.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +32,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-K, WINNOW = 3, 3
-GUARANTEE = K + WINNOW - 1
+#: (k, w) for templates of under LONG words and for the others; words of a template at least.
+FINE, COARSE, LONG, LEAST = (2, 1), (3, 3), 24, 4
+#: Words whose hashes a task's process remembers; all are forgotten when there are more.
+REMEMBER = 500_000
 #: Diagonals within which hits are one candidate, and by which a band exceeds them.
 BAND = 8
 COVERAGE = 0.7
@@ -62,6 +71,41 @@ TEMPLATES = {
     "provided with the distribution.",
 }
 
+# Whole public license texts (their common parts, put together below).
+AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+    "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source "
+    "code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+TEMPLATES |= {
+    "mit-text": f"{TEMPLATES['mit']} {AS_IS}",
+    "bsd-2-text": CONDITIONS + DISCLAIMER,
+    "bsd-3-text": f"{CONDITIONS}3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    f"without specific prior written permission. {DISCLAIMER}",
+    "isc-text": f"{TEMPLATES['isc']} THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+    "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+    "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+    "following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, "
+    "an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented "
+    "as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+    "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+}
+
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -69,41 +113,69 @@ def fold(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
-def winnowed(words: list[bytes]) -> dict[int, int]:
-    """Place of each fingerprint chosen: the rightmost smallest hash of every window of WINNOW runs; place to hash."""
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + K])) for i in range(len(words) - K + 1)]
-    out = {}
-    for i in range(len(hashes) - WINNOW + 1):
-        at = min(range(i, i + WINNOW), key=lambda j: (hashes[j], -j))
-        out[at] = hashes[at]
-    return out
+class Hashes(dict):
+    """Hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) >= REMEMBER:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def winnowed(words: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the fingerprints: the rightmost smallest hash of every w neighbouring runs of k words."""
+    n = len(words) - k + 1
+    if n < w:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    runs = np.zeros(n, np.uint64)
+    for j in range(k):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
+    runs = (runs ^ runs >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    least, at = runs[: n - w + 1], np.arange(n - w + 1)
+    first = at
+    for j in range(1, w):
+        other = runs[j : j + n - w + 1]
+        at, least = np.where(other <= least, first + j, at), np.minimum(other, least)
+    at = at[np.flatnonzero(np.diff(at, prepend=-1))] if w > 1 else at  # places never go back
+    return at, runs[at]
 
 
 class Index:
     def __init__(self, templates: dict[str, str]) -> None:
         self.words = {name: fold(text.encode()) for name, text in templates.items()}
-        if short := [n for n, w in self.words.items() if len(w) < GUARANTEE]:
-            raise ValueError(f"templates of under {GUARANTEE} words: {short}")
-        self.vocabulary = frozenset(w for x in self.words.values() for w in x)
-        self.places: dict[int, list[tuple[str, int]]] = {}
-        for name, words in self.words.items():
-            for at, h in winnowed(words).items():
-                self.places.setdefault(h, []).append((name, at))
+        if short := [n for n, w in self.words.items() if len(w) < LEAST]:
+            raise ValueError(f"templates of under {LEAST} words: {short}")
+        self.hashes = Hashes()
+        self.parts = []
+        for setting in (FINE, COARSE):
+            places: dict[int, list[tuple[str, int]]] = {}
+            for name, words in self.words.items():
+                if (len(words) < LONG) == (setting == FINE):
+                    for at, h in zip(*(x.tolist() for x in winnowed(self.hashes.of(words), *setting))):
+                        places.setdefault(h, []).append((name, at))
+            self.parts.append((setting, np.array(sorted(places), np.uint64), places))
 
     def hits(self, words: list[bytes]) -> dict[str, list[tuple[int, int]]]:
         """Per template: (place in text, place in template) of shared fingerprints."""
         out: dict[str, list[tuple[int, int]]] = {}
-        inside = bytes(map(self.vocabulary.__contains__, words))
-        for m in RUN.finditer(inside):
-            for at, h in winnowed(words[m.start() : m.end()]).items():
-                for name, place in self.places.get(h, ()):
-                    out.setdefault(name, []).append((m.start() + at, place))
+        hashes = self.hashes.of(words)
+        for setting, keys, places in self.parts:
+            at, prints = winnowed(hashes, *setting)
+            if not len(keys) or not len(at):
+                continue
+            known = keys[np.minimum(np.searchsorted(keys, prints), len(keys) - 1)] == prints
+            for i, h in zip(at[known].tolist(), prints[known].tolist()):
+                for name, place in places[h]:
+                    out.setdefault(name, []).append((i, place))
         return out
 
 
-RUN = re.compile(rb"\x01{%d,}" % GUARANTEE)
-
-
 @lru_cache(maxsize=4)
 def index_of(templates: tuple[tuple[str, str], ...]) -> Index:
     return Index(dict(templates))
@@ -175,14 +247,15 @@ def matches(index: Index, text: bytes | None, coverage: float = COVERAGE) -> lis
 
 
 SCHEMA = "template string, n_matched int, coverage double, first_word int, end_word int, first_char int, end_char int"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """docs without text_col, one row for each match, with SCHEMA's columns."""
     given = tuple(templates.items())
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c != text_col and c.lower() not in COLUMNS]
     columns = [f"c{k}" for k in range(len(kept))]
-    plain = docs.select(*kept, text_col).toDF(*columns, "text")
+    plain = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, columns)], F.col(f"`{text_col}`").alias("text"))
     kinds = [pa.string(), pa.int32(), pa.float64(), *[pa.int32()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +271,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text_col: str =
                         found.append((name, n, share, first, end, chars(places[first][0]), chars(places[end - 1][1])))
             at = pa.array(rows, pa.int64())
             values = list(zip(*found)) or [()] * len(kinds)
-            yield pa.record_batch([*(c.take(at) for c in b.columns[: len(kept)]), *(pa.array(v, t) for v, t in zip(values, kinds))], names=[*columns, *(x.split()[0] for x in SCHEMA.split(", "))])
+            yield pa.record_batch([*(c.take(at) for c in b.columns[: len(kept)]), *(pa.array(v, t) for v, t in zip(values, kinds))], names=[*columns, *COLUMNS])
 
     schema = ", ".join([*(f"{c} {plain.schema[c].dataType.simpleString()}" for c in columns), SCHEMA])
-    return plain.mapInArrow(run, schema).toDF(*kept, *(x.split()[0] for x in SCHEMA.split(", ")))
+    return plain.mapInArrow(run, schema).toDF(*kept, *COLUMNS)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def test_warc_files(spark, tmp_path):
 def test_license_spans(spark):
     mit, long = license_scan.TEMPLATES["mit-line"], license_scan.TEMPLATES["bsd"]
     words = long.split()
-    changed = " ".join(words[:20] + ["inserted", "words"] + words[20:40] + words[43:])
+    changed = " ".join(words[:20] + ["inserted", "words"] + words[20:40] + words[43:])  # noqa: E501
     df = docs_of(spark, [(1, f"Été {mit} and more. {mit.upper()}"), (2, f"intro {changed} end"), (3, "Released under the terms of any license"), (4, None), (5, ""), (6, LONG + " " + mit)])
     got = defaultdict(list)
     for r in license_scan.scan(df).orderBy("doc_id", "first_word").collect():
@@ -134,7 +134,46 @@ def test_license_spans(spark):
     assert [r.template for r in got[2]] == ["bsd"] and 0.9 < got[2][0].coverage < 1
     assert set(got) == {1, 2, 6} and got[6][0].first_word == 60_000
     with pytest.raises(ValueError):
-        license_scan.Index({"x": "too short"})
+        license_scan.Index({"x": "too short it"})
+
+
+def test_license_awkward(spark, awkward):
+    mit = license_scan.TEMPLATES["mit-line"]
+    both = docs_of(spark, [(1, mit), (1, mit), (None, mit), (2, license_scan.TEMPLATES["mit-text"])]).withColumns({"COVERAGE": F.lit("c"), "template": F.lit(0), "c0": F.lit("k")})
+    rows = license_scan.scan(both).collect()
+    assert sorted(((r.doc_id or 0, r.template) for r in rows)) == [(0, "mit-line"), (1, "mit-line"), (1, "mit-line"), (2, "mit"), (2, "mit-text")]  # two templates on one span
+    assert all(r.coverage == 1 and r.c0 == "k" for r in rows) and "COVERAGE" not in rows[0].asDict()
+    assert license_scan.scan(awkward).count() == 0 and license_scan.scan(both.limit(0)).count() == 0
+
+
+def test_license_winnowing_is_the_definition():
+    rng = random.Random(3)
+    hashes = license_scan.Hashes()
+    for k, w in (license_scan.FINE, license_scan.COARSE, (2, 4)):
+        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(60)]
+        at, prints = license_scan.winnowed(hashes.of(words), k, w)
+        one = {tuple(words[i : i + k]): int(license_scan.winnowed(hashes.of(words[i : i + k]), k, 1)[1][0]) for i in range(61 - k)}
+        h = [one[tuple(words[i : i + k])] for i in range(61 - k)]
+        want = sorted({max(j for j in range(i, i + w) if h[j] == min(h[i : i + w])) for i in range(len(h) - w + 1)})
+        assert at.tolist() == want and prints.tolist() == [h[i] for i in want]
+
+
+def test_license_recall():
+    """Templates with about one word in six replaced, dropped or doubled, in prose: found where alignment at all places reaches the threshold."""
+    rng, index = random.Random(11), license_scan.index_of(tuple(license_scan.TEMPLATES.items()))
+    found = wanted = 0
+    for name, template in index.words.items():
+        for _ in range(24 if len(template) < 24 else 5):
+            text = []
+            for word in template:
+                kind = rng.random()
+                text += [word] if kind > 1 / 6 else [b"qq%d" % rng.randrange(99)] if kind > 1 / 24 else [] if kind > 1 / 48 else [word, b"zz"]
+            text = [b"lorem", b"ipsum", b"under", b"the"] + text + [b"dolor", b"of"]
+            n = license_scan.align(template, text, -len(template), len(text))[0]
+            if n >= license_scan.COVERAGE * len(template):
+                wanted += 1
+                found += any(x[0] == name for x in license_scan.matches(index, b" ".join(text)))
+    assert wanted > 200 and found >= 0.97 * wanted, (found, wanted)
 
 
 def test_license_scan_finds_planted_lines(spark, sf_dir):
@@ -378,23 +417,38 @@ def test_classifier_cosines_are_exact():
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(50)]
     many = [" ".join(rng.choice(words, 30)).encode() + b" ###" * int(k % 3 == 0) for k in range(60)]
-    rows, y = np.stack([quality_knn.terms(t) for t in many]), np.array([int(k % 3 > 0) for k in range(60)])
+    many += many[:30]  # copies: ties
+    rows, y = np.stack([quality_knn.terms(t) for t in many]), np.array([int(k % 3 > 0) for k in range(90)])
     model = quality_knn.Model(rows, y, (20, 40))
-    for text, s in zip(many[:10], model.score(many[:10])):
-        x = model._project(quality_knn.terms(text)[None])[0]
-        cosines = sorted(((float(x @ v), k) for k, v in enumerate(model.vectors)), reverse=True)[: quality_knn.NEAREST]
-        votes = [(max(0, c) ** quality_knn.SHARPNESS * model.weights[k], y[k]) for c, k in cosines]
-        assert abs(s - sum(v for v, k in votes if k) / sum(v for v, _ in votes)) < 1e-4
+    whole = model.score(many)
+    assert all(abs(model.score([t])[0] - s) < 1e-12 for t, s in zip(many, whole))  # whatever is beside it
+    for text, s in zip(many[:10], whole):
+        x = model._project(quality_knn.terms(text)[None])[0].astype(float)
+        cosines = sorted(((round(float(x @ v) * 2**20), -k) for k, v in enumerate(model.vectors.astype(float))), reverse=True)[: quality_knn.NEAREST]
+        votes = [(max(0, c / 2**20) ** quality_knn.SHARPNESS * model.weights[-k], y[-k]) for c, k in cosines]
+        assert abs(s - sum(v for v, k in votes if k) / sum(v for v, _ in votes)) < 1e-3
+    product = np.linalg.svd(rows)[2][:3] @ quality_knn.directions(rows, 3, 60)
+    assert np.allclose(abs(product), np.eye(3), atol=1e-3)
+
+
+def test_classifier_reads_words():
+    a, b = b"the cat sat on the old mat here now.", b"xqz vbn wkj zx qwv pfg jkl tyrd bnm."
+    assert abs(quality_knn.terms(a) - quality_knn.terms(b)).sum() > 5  # the same shape, other letters
 
 
 def test_classifier_awkward(spark, awkward):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (7, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    rows = quality_knn.score(awkward.drop("score"), quality_knn.fit(awkward, labels)).collect()
-    assert len(rows) == 8 and all(0 <= r.score <= 1 for r in rows)
-    none = quality_knn.score(awkward.drop("score"), quality_knn.fit(awkward, labels.limit(0)))
+    scored = quality_knn.score(awkward, quality_knn.fit(awkward, labels))
+    rows = scored.collect()
+    assert sorted(scored.columns) == sorted(awkward.columns) and len(rows) == 8 and all(0 <= r.score <= 1 for r in rows)
+    none = quality_knn.score(awkward, quality_knn.fit(awkward, labels.limit(0)))
     assert {r.score for r in none.collect()} == {0.5}
-    assert quality_knn.keep_good(awkward, labels).columns == awkward.columns
+    kept = quality_knn.keep_good(awkward, labels)
+    assert kept.columns == awkward.columns and {r.score for r in kept.collect()} == {"s"}
     assert quality_knn.keep_good(awkward.limit(0), labels).count() == 0
+    two = docs_of(spark, [(4, "zebra one"), (4, "apple two"), (4, "apple two")])
+    fitted = [quality_knn.fit(x, labels).vectors.tobytes() for x in (two, two.orderBy("text"), two.orderBy(F.desc("text")))]
+    assert len(set(fitted)) == 1
 
 
 # 8 bpe
