@@ -44,3 +44,9 @@ def baseline_of(findings: DataFrame, reason: str = "accepted") -> DataFrame:
     x = findings.select("rule_id", "path", "line", F.sha2(F.coalesce("value", F.lit("")), 256).alias("value_hash")).distinct()
     ident = F.substring(F.sha2(F.concat_ws("|", "rule_id", "path", F.col("line").cast("string"), "value_hash"), 256), 1, 16)
     return x.select(ident.alias("id"), "rule_id", "path", "line", "value_hash", F.lit(reason).alias("reason"))
+
+
+def from_tables(tables: dict[str, DataFrame]) -> dict:
+    """Arguments of with_exclusions from the tables of a baseline file (files.load_baseline). Patterns are a reviewed list, collected up to MOST_PATTERNS."""
+    listed = lambda name, col: [(r.id, r[col], r.reason) for r in tables[name].select("id", col, "reason").limit(MOST_PATTERNS + 1).collect()]
+    return {"exact": tables["findings"].select("id", "path", "line", "value_hash", "reason"), "patterns": listed("patterns", "pattern"), "paths": listed("paths", "path_pattern")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,22 +33,62 @@ VALUE = "[A-Za-z0-9_\\-./+=]"
 CANDIDATE = f"\\b(\\w+)\\b(?=\\s*[:=]\\s*(['\"]?{VALUE}{{6,}}['\"]?))"
 
 
-def keyword_candidates(lines: DataFrame) -> DataFrame:
-    """path, line, pos, word (lower case), quoted, bare value: one row for each word with an assigned value."""
-    likely = lines.where(F.col("text").rlike(f"[:=]\\s*['\"]?{VALUE}{{6}}"))
-    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(CANDIDATE), 1).alias("w"), F.regexp_extract_all("text", F.lit(CANDIDATE), 2).alias("v"))
-    x = likely.select("path", "line", F.posexplode(both).alias("pos", "x"))
-    value = F.col("x.v")
-    return x.select(
-        "path", "line", "pos", F.lower("x.w").alias("word"), value.rlike("^['\"].*['\"]$").alias("quoted"), value.rlike("^['\"]").alias("opened"), F.regexp_replace(value, "['\"]", "").alias("value")
-    )
+# Keywords with a dot in them need the whole dotted word.
+DOTTED = CANDIDATE.replace("(\\w+)", "(\\w+\\.\\w+)", 1)
+#: What every detector's candidates are until they are judged.
+FOUND = "struct<kind: string, pos: int, word: string, value: string>"
+
+
+def _pairs(kind: str, text: Column, *patterns: str) -> Column:
+    """One FOUND a hit, the first group as word and the second as value."""
+    pairs = [F.arrays_zip(F.regexp_extract_all(text, F.lit(rx), 1).alias("w"), F.regexp_extract_all(text, F.lit(rx), 2).alias("v")) for rx in patterns]
+    return F.transform(F.concat(*pairs) if len(pairs) > 1 else pairs[0], lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x["w"].alias("word"), x["v"].alias("value")))
+
+
+def _where(test: Column, hits: Column) -> Column:
+    return F.when(test, hits).otherwise(F.array().cast(f"array<{FOUND}>"))
+
+
+def keyword_hits(text: Column) -> Column:
+    return _where(text.rlike(f"[:=]\\s*['\"]?{VALUE}{{6}}"), _pairs("keyword", text, CANDIDATE, DOTTED))
+
+
+def structural_hits(text: Column, patterns: list[tuple] | None = None) -> Column:
+    """pos is the pattern's place in the list."""
+    patterns = patterns or dims.STRUCTURAL
+    every = "|".join(f"(?:{p[1]})" for p in patterns)
+    rows = F.array(*[F.struct(F.lit("structural").alias("kind"), F.lit(i).alias("pos"), F.lit(n).alias("word"), F.regexp_extract(text, rx, 0).alias("value")) for i, (n, rx, *_) in enumerate(patterns)])
+    return _where(text.rlike(every), F.filter(rows, lambda x: x["value"] != ""))
 
 
-def keyword_findings(lines: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Assignments to keywords. keywords is a fixed dimension (dims.keywords), so it is broadcast."""
+def entropy_hits(text: Column) -> Column:
+    text = F.trim(text)
+    alone = F.transform(F.regexp_extract_all(text, F.lit(STANDALONE), 1), lambda v: F.struct(F.lit("entropy").alias("kind"), F.lit(0).alias("pos"), F.lit("").alias("word"), v.alias("value")))
+    pairs = F.filter(_pairs("entropy", text, *ASSIGNMENTS), lambda x: F.length(x["value"]) >= 8)
+    return _where(~F.coalesce(text, F.lit("")).rlike("^(#|//|/\\*|$)") & text.rlike("[:=\"']"), F.concat(pairs, alone))
+
+
+def technology_hits(text: Column, own: Column) -> Column:
+    """own: the technologies whose keywords count here."""
+    text = F.trim(text)
+    hits = F.filter(_pairs("technology", text, TECH_CANDIDATE), lambda x: (F.length(x["value"]) >= 8) & ~F.lower(x["value"]).rlike(TECH_HARMLESS))
+    return _where((F.size(own) > 0) & text.rlike("[:=]") & ~text.rlike("^(#|//)"), hits)
+
+
+def candidates(lines: DataFrame, *hits: Column) -> DataFrame:
+    """path, line, kind, pos, word, value: what several detectors find in a line, in one pass over the lines."""
+    return lines.select("path", "line", F.explode(F.concat(*hits) if len(hits) > 1 else hits[0]).alias("x")).select("path", "line", "x.*")
+
+
+def keyword_findings(lines: DataFrame, keywords: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Assignments to keywords. keywords is a fixed dimension (dims.keywords), so it is broadcast. found: candidates, if they are there already."""
+    raw = F.col("value")
+    x = (candidates(lines, keyword_hits(F.col("text"))) if found is None else found.where("kind = 'keyword'")).select(
+        "path", "line", "pos", F.lower("word").alias("word"), raw.rlike("^['\"].*['\"]$").alias("quoted"), raw.rlike("^['\"]").alias("opened"), F.regexp_replace(raw, "['\"]", "").alias("value")
+    )
     n = F.length("value")
     enough = ~F.col("generic") | (F.col("quoted") & (n >= 8)) | (~F.col("opened") & (n >= 12))
-    hits = keyword_candidates(lines).join(F.broadcast(keywords), F.col("word") == F.col("keyword")).where(enough)
+    hits = x.join(F.broadcast(keywords), F.col("word") == F.col("keyword")).where(enough)
     # As a search would: of a keyword's hits on a line the first.
     key = ["path", "line", "category_ix", "keyword_ix"]
     first = hits.groupBy(*key).agg(F.min(F.struct("pos", "value", "category", "keyword", "severity", "confidence")).alias("x")).select(*key, "x.*")
@@ -59,11 +100,11 @@ def keyword_findings(lines: DataFrame, keywords: DataFrame) -> DataFrame:
     return as_findings(once.withColumns({"rule_id": F.lit("keyword_assignment"), "rule_name": F.col("pattern"), "type": F.lit("regex_match"), "category": F.col("pattern_category"), "description": F.concat(F.lit("Value assigned to "), "variable")}))
 
 
-def structural_findings(lines: DataFrame, patterns: list[tuple] = dims.STRUCTURAL) -> DataFrame:
+def structural_findings(lines: DataFrame, patterns: list[tuple] = dims.STRUCTURAL, found: DataFrame | None = None) -> DataFrame:
     """Credentials that their own form gives away: first hit of each pattern on a line, each value once a file."""
-    every = "|".join(f"(?:{p[1]})" for p in patterns)
-    rows = F.array(*[F.struct(F.lit(i).alias("ix"), F.lit(n).alias("pattern"), F.regexp_extract("text", rx, 0).alias("value"), F.lit(s).alias("severity"), F.lit(c).alias("confidence")) for i, (n, rx, s, c) in enumerate(patterns)])
-    hits = lines.where(F.col("text").rlike(every)).select("path", "line", F.explode(rows).alias("x")).select("path", "line", "x.*").where("value <> ''")
+    x = candidates(lines, structural_hits(F.col("text"), patterns)) if found is None else found.where("kind = 'structural'")
+    of = lambda k: F.get(F.array(*[F.lit(p[k]) for p in patterns]), F.col("pos"))
+    hits = x.select("path", "line", F.col("pos").alias("ix"), F.col("word").alias("pattern"), "value", of(2).alias("severity"), of(3).alias("confidence"))
     once = first_in_file(hits.withColumn("pattern_category", F.lit(dims.STRUCTURAL_CATEGORY)), ["line", "ix"])
     return as_findings(once.withColumns({"rule_id": F.lit("structural_pattern"), "rule_name": F.col("pattern"), "type": F.lit("regex_match"), "category": F.col("pattern_category"), "description": F.concat("pattern", F.lit(" by its form"))}))
 
@@ -89,14 +130,10 @@ ASSIGNMENTS = [
 STANDALONE = "[\"']([A-Za-z0-9+/=_-]{16,})[\"']"
 
 
-def entropy_candidates(lines: DataFrame) -> DataFrame:
+def entropy_candidates(lines: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """path, line, variable, value: assigned values of 8 characters or more, and quoted strings. Comments are left out."""
-    text = F.trim("text")
-    useful = lines.where(~F.coalesce(text, F.lit("")).rlike("^(#|//|/\\*|$)") & text.rlike("[:=\"']")).select("path", "line", text.alias("text"))
-    pairs = [F.arrays_zip(F.regexp_extract_all("text", F.lit(rx), 1).alias("variable"), F.regexp_extract_all("text", F.lit(rx), 2).alias("value")) for rx in ASSIGNMENTS]
-    alone = F.transform(F.regexp_extract_all("text", F.lit(STANDALONE), 1), lambda v: F.struct(F.lit("").alias("variable"), v.alias("value")))
-    every = F.concat(F.filter(F.concat(*pairs), lambda x: F.length(x["value"]) >= 8), alone)
-    return useful.select("path", "line", F.explode(every).alias("x")).select("path", "line", "x.variable", "x.value")
+    x = candidates(lines, entropy_hits(F.col("text"))) if found is None else found.where("kind = 'entropy'")
+    return x.select("path", "line", F.col("word").alias("variable"), "value")
 
 
 def entropy_findings(candidates: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -149,18 +186,33 @@ def value_pattern(rule: dict, value: Column) -> Column:
 
 
 def rule_findings(items: DataFrame, rules: list[dict] = dims.RULES) -> DataFrame:
-    """Item rules: a telling name with a value that isn't excluded, else a telling value."""
-    key, value, out = F.col("key"), F.col("value"), None
-    for r in rules:
+    """Item rules: a telling name with a value that isn't excluded, else a telling value. One pass over the items for all rules."""
+    key, value = F.col("key"), F.col("value")
+
+    def judged(r: dict) -> Column:
         by_name = name_matches(r, key) & ~value_excluded(r, value)
-        kind = F.when(by_name, "variable_name_match").when(value_pattern(r, value).isNotNull() & (~value_excluded(r, value) if r["not_values"] else F.lit(True)), "value_pattern_match")
-        x = items.withColumn("type", kind).where("type is not null").withColumns({
-            "rule_id": F.lit(r["id"]), "rule_name": F.lit(r["name"]), "severity": F.lit(r["severity"]), "variable": key, "line": F.coalesce("line", F.lit(0)),
-            "pattern": F.when(F.col("type") == "value_pattern_match", value_pattern(r, value)),
-        })
-        x = as_findings(x)
-        out = x if out is None else out.unionByName(x)
-    return out
+        pattern = value_pattern(r, value)
+        by_value = pattern.isNotNull() & (~value_excluded(r, value) if r["not_values"] else F.lit(True))
+        row = lambda kind, p: F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"), F.lit(r["severity"]).alias("severity"), F.lit(kind).alias("type"), p.cast("string").alias("pattern"))
+        return F.when(by_name, row("variable_name_match", F.lit(None))).when(by_value, row("value_pattern_match", pattern))
+
+    hits = items.select("path", key.alias("variable"), value, F.coalesce("line", F.lit(0)).alias("line"), F.explode(F.array_compact(F.array(*[judged(r) for r in rules]))).alias("x"))
+    return as_findings(hits.select("path", "line", "variable", "value", "x.*"))
+
+
+def enhanced_findings(items: DataFrame, keywords: DataFrame, rules: list[dict] = dims.ENHANCED_RULES) -> DataFrame:
+    """Rules, and for each of them the keyword and structural library's hits in the items' values (of its categories)."""
+    x = items.select("path", F.coalesce("line", F.lit(0)).alias("line"), F.col("value").alias("text"), "key")
+    # An item's hits go back to its key: the key rides in the path, behind a separator that no path has.
+    keyed = x.select(F.concat_ws("\0", "path", F.coalesce("key", F.lit(""))).alias("path"), "line", "text")
+    library = keyword_findings(keyed, keywords).unionByName(structural_findings(keyed))
+    parts = F.split("path", "\0")
+    ids = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(r["name"]).alias("name"), F.array(*[F.lit(c) for c in r.get("categories") or []]).cast("array<string>").alias("categories")) for r in rules])
+    hits = library.withColumn("r", F.explode(F.filter(ids, lambda r: (F.size(r["categories"]) == 0) | F.array_contains(r["categories"], F.col("pattern_category")))))
+    named = hits.withColumns({
+        "variable": F.nullif(parts[1], F.lit("")), "path": parts[0], "rule_id": F.col("r.id"), "rule_name": F.concat("r.name", F.lit(" ("), "pattern", F.lit(")")), "type": F.lit("enhanced_pattern_match"),
+    })
+    return rule_findings(items, rules).unionByName(as_findings(named))
 
 
 def technologies(path: Column) -> Column:
@@ -169,24 +221,22 @@ def technologies(path: Column) -> Column:
     return F.array_compact(F.array(*[F.when(X.any_of([test(m) for m in marks]), t) for t, (marks, *_) in dims.TECHNOLOGIES.items() if marks]))
 
 
+TECH_HARMLESS = "true|false|null|none|undefined|todo|fixme|example|sample|test|demo|placeholder|changeme|\\$"
 TECH_CANDIDATE = "(\\w+)\\s*[:=]\\s*['\"]?([^'\"\\s{}]+)['\"]?"
 
 
-def technology_findings(lines: DataFrame, keywords: DataFrame, every: bool = False) -> DataFrame:
+def technology_findings(lines: DataFrame, keywords: DataFrame, every: bool = False, found: DataFrame | None = None) -> DataFrame:
     """Assignments to keywords of the technologies that the file belongs to (every: of all technologies).
 
     The keyword may be the end of a longer word. Candidates are cut into their ends at underscores, which join the
     broadcast dimension by equality.
     """
-    text = F.trim("text")
     own = F.array(*[F.lit(t) for t in dims.TECHNOLOGIES]) if every else technologies(F.col("path"))
-    x = lines.where(text.rlike("[:=]") & ~text.rlike("^(#|//)")).select("path", "line", "text", own.alias("own")).where(F.size("own") > 0)
-    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(TECH_CANDIDATE), 1).alias("w"), F.regexp_extract_all("text", F.lit(TECH_CANDIDATE), 2).alias("v"))
-    x = x.select("path", "line", "own", F.explode(both).alias("x")).select("path", "line", "own", F.lower("x.w").alias("word"), F.col("x.v").alias("value"))
-    harmless = F.lower("value").rlike("true|false|null|none|undefined|todo|fixme|example|sample|test|demo|placeholder|changeme|\\$")
+    x = candidates(lines, technology_hits(F.col("text"), own)) if found is None else found.where("kind = 'technology'")
+    x = x.select("path", "line", own.alias("own"), F.lower("word").alias("word"), "value")
     parts = F.split("word", "_")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"))
-    x = x.where((F.length("value") >= 8) & ~harmless).select("*", F.explode(ends).alias("end"))
+    x = x.select("*", F.explode(ends).alias("end"))
     x = x.join(F.broadcast(keywords), F.col("end") == F.col("keyword")).where(F.array_contains("own", F.col("technology")))
     telling = F.col("keyword").rlike("private_key|secret_key|password|token")
     points = 0.8 + F.when(F.length("value") >= 32, 0.1).otherwise(0.0) + F.when(F.col("keyword").rlike("api_key|secret_key|private_key|token"), 0.1).otherwise(0.0)
@@ -213,18 +263,16 @@ def web_findings(pages: DataFrame, words: list[str] | None = None) -> DataFrame:
     return as_findings(found.withColumns({"rule_id": F.lit("web_keyword"), "rule_name": F.lit("Credential in a page"), "type": F.lit("web_match"), "severity": F.lit("high")}))
 
 
-def all_detectors(spark: SparkSession, files: DataFrame, lines: DataFrame, keyword: bool = True, structural: bool = True, entropy: bool = True, technology: bool = True, threshold: float | None = None) -> DataFrame:
-    """Union of the line detectors."""
-    parts = []
-    if keyword:
-        parts.append(keyword_findings(lines, dims.keywords(spark)))
-    if structural:
-        parts.append(structural_findings(lines))
-    if technology:
-        parts.append(technology_findings(lines, dims.technology_keywords(spark)))
-    if entropy:
-        parts.append(entropy_findings(entropy_candidates(lines), threshold))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def line_detectors(spark: SparkSession, lines: DataFrame, keywords: DataFrame | None, structural: bool = True, technology: bool = True, entropy: bool = True, threshold: float | None = None) -> list[DataFrame]:
+    """Findings of the detectors that are on (keyword: if keywords are given). The lines are read once: candidates are few, kept, and judged by each."""
+    text, own = F.col("text"), technologies(F.col("path"))
+    hits = [keyword_hits(text)] * (keywords is not None) + [structural_hits(text)] * structural + [technology_hits(text, own)] * technology + [entropy_hits(text)] * entropy
+    if not hits:
+        return []
+    found = candidates(lines, *hits).persist(StorageLevel.MEMORY_AND_DISK)
+    return (
+        ([keyword_findings(lines, keywords, found)] if keywords is not None else [])
+        + ([structural_findings(lines, found=found)] if structural else [])
+        + ([technology_findings(lines, dims.technology_keywords(spark), found=found)] if technology else [])
+        + ([entropy_findings(entropy_candidates(lines, found), threshold)] if entropy else [])
+    )

@@ -31,3 +31,20 @@ def exposure(findings: DataFrame) -> DataFrame:
         F.col("b.commit_hash").alias("last_seen_commit"), F.col("b.commit_timestamp").alias("last_seen_timestamp"), "exposure_commit_count",
     )
     return out.withColumn("exposure_window", window_text(F.col("first_seen_timestamp"), F.col("last_seen_timestamp"), F.col("exposure_commit_count")))
+
+
+def scan_history(spark, repo: str, detect, root: bool = True, **commits) -> tuple[DataFrame, DataFrame]:
+    """Findings of all commits, and the exposure of what was found.
+
+    detect: lines (path, line, text) -> findings. Tasks make the diffs (files.git_diffs); an added file's diff is the whole file, so
+    its lines are all there; binary files have none. commits: arguments of files.git_commits (since, until, branch, path, most).
+    """
+    from ..sources import files as S
+
+    log = S.git_commits(spark, repo, **commits)
+    added = S.added_lines(S.git_diffs(spark, repo, log.select("commit_hash"), root))
+    # A commit's file is a file of its own to the detectors.
+    found = detect(added.select(F.concat_ws("\0", "commit_hash", "file").alias("path"), "line", "text"))
+    parts = F.split("path", "\0")
+    x = found.withColumns({"commit_hash": parts[0], "original_file": parts[1]}).withColumn("path", F.col("original_file")).join(log, "commit_hash")
+    return x, exposure(x)

@@ -39,20 +39,31 @@ def consensus(mean: Column) -> Column:
 
 
 def merged(findings: DataFrame) -> DataFrame:
-    """One row a group: the most confident finding, with count, rules, methods and consensus severity."""
+    """One row a group: the most confident finding, with count, rules, methods and consensus severity.
+
+    Findings of a group are summed up by rule, pattern and severity first, so what is gathered is bounded by the rules, not by the
+    findings. detection_methods has one entry for each, with its count and highest confidence, the surest first.
+    """
     columns = findings.columns
     sure = F.coalesce(*[F.col(c) for c in ("overall_confidence", "confidence") if c in columns], F.lit(0.0))
     plain = [c for c in columns if findings.schema[c].dataType.typeName() not in ("map",)]
-    base = F.min(F.struct((-sure).alias("__o"), *[F.col(c).alias(f"_{c}") for c in plain])).alias("x")
-    keyed = findings.withColumn("group_key", group_key(F.col("value"), F.col("path"), F.col("line")))
-    x = keyed.groupBy("group_key").agg(
-        base, F.count("*").alias("detection_count"), F.array_sort(F.collect_set(F.coalesce("rule_name", F.lit("Unknown")))).alias("rule_names"),
-        F.array_sort(F.collect_list(F.struct(F.col("rule_name").alias("rule"), "pattern", "confidence", "severity"))).alias("detection_methods"), F.round(F.avg(rank_of(F.col("severity"))), 6).alias("mean"),
+    base = F.struct((-sure).alias("__o"), *[F.col(c).alias(f"_{c}") for c in plain])
+    keyed = findings.select(group_key(F.col("value"), F.col("path"), F.col("line")).alias("group_key"), F.col("rule_name").alias("rule"), "pattern", "severity", "confidence", base.alias("x"))
+    by_method = keyed.groupBy("group_key", "rule", "pattern", "severity").agg(F.min("x").alias("x"), F.count("*").alias("n"), F.max("confidence").alias("confidence"))
+    method = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("order"), "rule", "pattern", "severity", "n", "confidence")
+    x = by_method.groupBy("group_key").agg(
+        F.min("x").alias("x"), F.sum("n").alias("detection_count"), F.array_sort(F.collect_set(F.coalesce("rule", F.lit("Unknown")))).alias("rule_names"),
+        F.sort_array(F.collect_list(method)).alias("methods"), F.round(F.sum(rank_of(F.col("severity")) * F.col("n")) / F.sum("n"), 6).alias("mean"),
     )
     many = F.col("detection_count") > 1
     severity = F.when(many, consensus(F.col("mean"))).otherwise(F.col("x._severity"))
     out = [severity.alias(c) if c == "severity" else F.col(f"x._{c}").alias(c) for c in plain]
-    return x.select("group_key", *out, "detection_count", "rule_names", "detection_methods", many.alias("is_duplicate_group"))
+    methods = F.transform("methods", lambda m: F.struct(m["rule"].alias("rule"), m["pattern"].alias("pattern"), m["severity"].alias("severity"), m["n"].alias("n"), m["confidence"].alias("confidence")))
+    return x.select("group_key", *out, "detection_count", "rule_names", methods.alias("detection_methods"), many.alias("is_duplicate_group"))
+
+
+def top_methods(methods: Column, n: int = 3) -> Column:
+    return F.slice(methods, 1, n)
 
 
 def with_test_flag(findings: DataFrame, more_than: float = 0.3) -> DataFrame:
@@ -62,19 +73,21 @@ def with_test_flag(findings: DataFrame, more_than: float = 0.3) -> DataFrame:
     return x.withColumn("severity", F.when(F.col("is_test_credential"), C.test_severity(F.col("severity"))).otherwise(F.col("severity"))).drop("__e")
 
 
-def summary(findings: DataFrame) -> DataFrame:
-    """One row: totals, distinct values, tests and others, counts by severity."""
-    test = F.coalesce(F.col("is_test_credential"), F.lit(False)) if "is_test_credential" in findings.columns else F.lit(False)
+def summary(findings: DataFrame, prefix: int | None = None) -> DataFrame:
+    """One row: totals, distinct values (quotes, spaces, = and : taken out; their first prefix characters, if given), groups of duplicates, tests and others, counts by severity."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in findings.columns else F.lit(False)
+    test, value = flag("is_test_credential"), F.regexp_replace(F.coalesce("value", F.lit("")), "[\"\\s=:]+", "")
     return findings.agg(
-        F.count("*").alias("total"), F.countDistinct(F.substring("value", 1, 50)).alias("distinct_values"), F.count_if(test).alias("tests"), F.count_if(~test).alias("real"),
-        *[F.count_if(F.col("severity") == s).alias(s) for s in dims.SEVERITIES],
+        F.count("*").alias("total"), F.countDistinct(F.substring(value, 1, prefix) if prefix else value).alias("distinct_values"), F.count_if(flag("is_duplicate_group")).alias("duplicate_groups"),
+        F.count_if(test).alias("tests"), F.count_if(~test).alias("real"), *[F.count_if(F.coalesce("severity", F.lit("medium")) == s).alias(s) for s in dims.SEVERITIES],
     )
 
 
-def ordered(findings: DataFrame) -> DataFrame:
-    """Most severe first, then most confident, then by place."""
+def ordered(findings: DataFrame, by: str = "severity") -> DataFrame:
+    """severity: most severe first, then most confident, then by place. line: by file and line. time: latest commit first. confidence: surest first."""
     sure = F.coalesce(*[F.col(c) for c in ("overall_confidence", "confidence") if c in findings.columns], F.lit(0.0))
-    return findings.orderBy(rank_of(F.col("severity")).desc(), sure.desc(), "path", "line", "value")
+    first = {"severity": [rank_of(F.col("severity")).desc(), sure.desc()], "line": [], "time": [F.col("commit_timestamp").desc_nulls_last()] if by == "time" else [], "confidence": [sure.desc()]}
+    return findings.orderBy(*first[by], "path", "line", "value")
 
 
 def quality(found: DataFrame, truth: DataFrame) -> DataFrame:

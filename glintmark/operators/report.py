@@ -115,7 +115,7 @@ def write_baseline(exclusions: DataFrame, at: str) -> None:
 
 
 def html_page(findings: DataFrame, most: int = 1000) -> str:
-    """A page with counts of all findings and a table of the `most` severe ones, escaped and masked."""
+    """A page with counts of all findings and a table of the `most` severe ones (it says how many of how many), escaped and masked."""
     from .merge import ordered
 
     counts = {r.severity: r.n for r in severity_counts(findings).collect()}
@@ -123,4 +123,4 @@ def html_page(findings: DataFrame, most: int = 1000) -> str:
     cell = lambda x: f"<td>{html.escape('' if x is None else str(x))}</td>"
     body = "".join("<tr>" + "".join(cell(r[c]) for c in ("severity", "rule_name", "path", "line", "variable", "value")) + "</tr>" for r in rows)
     total = ", ".join(f"{s} {counts[s]}" for s in reversed(dims.SEVERITIES) if s in counts)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body><p>{html.escape(total)}</p><table>{body}</table></body></html>"
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body><p>{html.escape(total)}</p><p>{len(rows)} of {sum(counts.values())} findings</p><table>{body}</table></body></html>"

@@ -76,10 +76,13 @@ def level(confidence: Column) -> Column:
 def scored(findings: DataFrame, weights: dict[str, float] | None = None, use_entropy: bool = True) -> DataFrame:
     """Findings (with context columns, if they have them) plus overall_confidence, confidence_level, confidence_factors (largest share first)."""
     col = lambda n: F.col(n) if n in findings.columns else F.lit(None).cast("string" if n in ("risk_level", "encoding_type") else "double")
+    # Of a finding's technology: its own column, or the category of what the technology detector found.
+    technology = F.col("technology") if "technology" in findings.columns else F.when(F.col("type") == "technology_match", F.lower("pattern_category")) if {"type", "pattern_category"} <= {*findings.columns} else F.lit(None).cast("string")
     factors = {
         "pattern": pattern_factor(F.col("variable"), F.col("value"), F.col("pattern")),
         "context": context_factor(col("context_modifier"), col("risk_level")),
         "entropy": entropy_factor(col("entropy"), col("encoding_type"), col("diversity")) if use_entropy else F.lit(None).cast("double"),
+        "technology": technology_factor(technology, F.col("confidence") if "confidence" in findings.columns else F.lit(None).cast("double")),
         "environment": environment_factor(F.col("path"), F.col("variable")),
         "validation": validation_factor(F.col("value")),
     }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..operators import baseline, context, detect, merge, score
 from ..sources import files as S
+from ..sources import parsers
 from . import dims
 
 
 @dataclass
 class ScanConfig:
-    """Settings of a scan. Presets: `full`, `strict`, `permissive`."""
+    """Settings of a scan. Presets: `full` (all detectors), `cli` (those on lines only), `strict`, `permissive`."""
 
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
@@ -23,6 +25,11 @@ class ScanConfig:
     structural: bool = True
     technology: bool = True
     entropy: bool = True
+    extended: bool = False
+    items: bool = True
+    entries: bool = True
+    rules: list[dict] = field(default_factory=lambda: [*dims.RULES, *dims.ENHANCED_RULES])
+    parsers: dict = field(default_factory=lambda: dict(parsers.PARSERS))
     entropy_threshold: float | None = None
     min_length: int = 6
     keyword_file: str | None = None
@@ -40,38 +47,85 @@ class ScanConfig:
 
     @classmethod
     def preset(cls, name: str) -> "ScanConfig":
-        return {"full": cls(), "strict": cls(min_context=0.3, context_window=8, max_multiplier=1.8), "permissive": cls(min_context=0.05, context_window=3, max_multiplier=2.5, min_overall=0.0)}[name]
+        return {
+            "full": cls(), "cli": cls(items=False, entries=False),
+            "strict": cls(min_context=0.3, context_window=8, max_multiplier=1.8), "permissive": cls(min_context=0.05, context_window=3, max_multiplier=2.5, min_overall=0.0),
+        }[name]
 
+    def write(self, path: str) -> None:
+        """JSON or YAML, by the name's ending; parsers are code and stay out."""
+        dims.write_tree({k: v for k, v in asdict(replace(self, parsers={})).items() if k != "parsers"}, path)
 
-def detections(spark: SparkSession, files: DataFrame, lines: DataFrame, config: ScanConfig) -> DataFrame:
-    lists = {k: v for k, v in dims.keyword_lists(config.keyword_file).items() if (not config.categories or k in config.categories) and k not in config.disabled_categories}
-    parts = []
-    if config.keyword and lists:
-        parts.append(detect.keyword_findings(lines, dims.keywords(spark, lists)))
-    if config.structural and dims.STRUCTURAL_CATEGORY not in config.disabled_categories and (not config.categories or dims.STRUCTURAL_CATEGORY in config.categories):
-        parts.append(detect.structural_findings(lines))
-    if config.technology:
-        parts.append(merge.highest_confidence(detect.technology_findings(lines, dims.technology_keywords(spark)), ["path", "line", "variable", "value"]))
+    @classmethod
+    def read(cls, path: str) -> "ScanConfig":
+        return cls(**{k: [r | {"values": [tuple(v) for v in r["values"]]} for r in v] if k == "rules" else v for k, v in dims.read_tree(path).items()})
+
+
+def item_findings(items: DataFrame, keywords: DataFrame | None, rules: list[dict], threshold: float | None = None) -> list[DataFrame]:
+    """Rules, the library in values, and random-looking values that neither has found."""
+    plain, with_library = [r for r in rules if "categories" not in r], [r for r in rules if "categories" in r]
+    parts = [detect.rule_findings(items, plain)] if plain else []
+    if with_library:
+        parts.append(detect.enhanced_findings(items, keywords, with_library) if keywords is not None else detect.rule_findings(items, with_library))
+    found = reduce(DataFrame.unionByName, parts) if parts else detect.as_findings(items.limit(0))
+    return [*parts, detect.legacy_entropy_findings(items, found, threshold or 4.0)]
+
+
+def entry_findings(entries: DataFrame) -> DataFrame:
+    slug = F.regexp_replace(F.lower("rule_name"), "[^a-z0-9]+", "_")
+    return detect.as_findings(entries.withColumns({"rule_id": slug, "type": F.lit("entry_match"), "pattern": F.col("rule_name"), "pattern_category": F.col("category"), "confidence": F.lit(0.8), "description": F.concat("rule_name", F.lit(": "), F.coalesce("variable", F.lit("")))}))
+
+
+def detections(spark: SparkSession, files: DataFrame, lines: DataFrame, config: ScanConfig, more_items: DataFrame | None = None, more_entries: DataFrame | None = None) -> DataFrame:
+    """Findings of all detectors that are on. more_items and more_entries: of files that aren't text (databases, images)."""
+    wanted = lambda k: (not config.categories or k in config.categories) and k not in config.disabled_categories
+    lists = {k: v for k, v in dims.keyword_lists(config.keyword_file).items() if wanted(k)}
+    keywords = dims.keywords(spark, lists) if config.keyword and lists else None
+    parts = detect.line_detectors(spark, lines, keywords, config.structural and wanted(dims.STRUCTURAL_CATEGORY), config.technology, config.entropy, config.entropy_threshold)
+    once = {"tech_": ["path", "line", "variable", "value"], "enhanced_entropy_": ["path", "line", "value"]}
     if config.entropy:
-        parts.append(merge.highest_confidence(detect.entropy_findings(detect.entropy_candidates(lines), config.entropy_threshold), ["path", "line", "value"]))
+        parts[-1] = merge.highest_confidence(parts[-1], once["enhanced_entropy_"])
+    if config.technology:
+        at = len(parts) - 1 - config.entropy
+        parts[at] = merge.highest_confidence(parts[at], once["tech_"])
+    if config.extended:
+        parts.append(detect.extended_findings(lines))
+    if config.items:
+        items = parsers.items(files, config.parsers)
+        parts += item_findings(items if more_items is None else items.unionByName(more_items), keywords, config.rules)
+    if config.entries:
+        entries = parsers.entries(files)
+        parts.append(entry_findings(entries if more_entries is None else entries.unionByName(more_entries)))
     if not parts:
         return detect.as_findings(lines.limit(0))
-    out = parts[0].select(*[n for n, _ in detect.FINDING])
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.length("value") >= config.min_length)
+    return reduce(DataFrame.unionByName, [p.select(*[n for n, _ in detect.FINDING]) for p in parts]).where(F.length("value") >= config.min_length)
 
 
-def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None, exclusions: dict | None = None) -> DataFrame:
+def scan_binary(spark: SparkSession, binary: DataFrame, config: ScanConfig | None = None, exclusions: dict | None = None) -> DataFrame:
+    """Like scan, of files as bytes (path, content): archives are opened, databases and image archives read, the rest is text."""
+    config = config or ScanConfig()
+    binary = binary.where(S.admitted(F.col("path"), config.include, config.exclude)).select("path", "content")
+    packed = binary.where(S.route(F.col("path")) == "binary")
+    inside = parsers.archive_files(packed).where("not skipped").select("path", "content")
+    plain = S.texts(binary.where(~F.coalesce(S.route(F.col("path")) == "binary", F.lit(False))))
+    images = parsers.image_entries(packed.where(F.col("path").rlike("(?i)\\.tar$")))
+    baked = images.select("path", F.coalesce("line", F.lit(1)).alias("line"), F.lit("Credential in an image").alias("rule_name"), F.lit("critical").alias("severity"), F.lit("docker").alias("category"), F.col("key").alias("variable"), "value")
+    rows = parsers.sqlite_items(packed.where(F.col("path").rlike("(?i)\\.(sqlite3?|db)$")))
+    return scan(spark, plain.unionByName(inside), config, exclusions, rows, baked)
+
+
+def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None, exclusions: dict | None = None, more_items: DataFrame | None = None, more_entries: DataFrame | None = None) -> DataFrame:
     """Findings of files (path, content): detectors, baseline, context, scores, filters, groups, test values.
 
-    exclusions: arguments of baseline.with_exclusions. Nothing runs until the result is written or read.
+    exclusions: arguments of baseline.with_exclusions. Nothing runs until the result is written or read. Candidates and findings
+    are kept meanwhile (memory and disk), as they are few against the lines; `release` gives them up.
     """
     config = config or ScanConfig()
     files = files.where(S.admitted(F.col("path"), config.include, config.exclude))
     lines = S.lines(files)
-    # Findings are few against the lines, and the context joins need them three times: kept, the detectors read the files once.
-    x = detections(spark, files, lines, config).persist(StorageLevel.MEMORY_AND_DISK) if config.use_context else detections(spark, files, lines, config)
+    x = detections(spark, files, lines, config, more_items, more_entries)
+    # The context joins need the findings three times.
+    x = x.persist(StorageLevel.MEMORY_AND_DISK) if config.use_context else x
     if exclusions:
         x = baseline.reported(x, **exclusions)
     if config.use_context:
@@ -84,3 +138,8 @@ def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None
     if config.severity_at_least != "info":
         x = x.where(merge.rank_of(F.col("severity")) >= dims.SEVERITIES.index(config.severity_at_least))
     return x
+
+
+def release(spark: SparkSession) -> None:
+    """Gives up what scans have kept, once their results are written."""
+    spark.catalog.clearCache()

@@ -48,7 +48,7 @@ def quote(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-PATH = "coalesce(source, '') || '/' || doc_id || '.' || coalesce(lang, '')"
+PATH = "coalesce(source, '') || '/' || coalesce(doc_id::VARCHAR, 'none-' || md5(coalesce(text, ''))) || '.' || coalesce(lang, '')"
 LINES = f"(SELECT {PATH} AS path, unnest(range(1, len(l) + 1))::INT AS line, unnest(l) AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
 
 
@@ -100,22 +100,31 @@ def crawl_frontier(spark, sf_dir):
     return S.crawl(links, links.where("source like '%/p1_'").select(F.col("source").alias("url")), 2)
 
 
-@query("SELECT url FROM (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0 UNION SELECT url FROM pages WHERE page_id % 4 = 0)")
+PLAIN_URL = "(SELECT regexp_replace(url, '#.*$', '') AS url FROM pages)"
+
+
+def _url_sets(spark, sf_dir):
+    """Addresses as they are, and without what is behind #."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("url"), p.select(F.regexp_replace("url", "#.*$", "").alias("url"))
+
+
+@query(f"SELECT url FROM pages UNION SELECT url FROM {PLAIN_URL}")
 def url_union(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return p.where("page_id % 3 = 0").select("url").union(p.where("page_id % 4 = 0").select("url")).distinct()
+    a, b = _url_sets(spark, sf_dir)
+    return a.union(b).distinct()
 
 
-@query("SELECT url FROM pages WHERE page_id % 3 = 0 INTERSECT SELECT url FROM pages WHERE page_id % 4 = 0")
+@query(f"SELECT url FROM pages INTERSECT SELECT url FROM {PLAIN_URL}")
 def url_intersect(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return p.where("page_id % 3 = 0").select("url").intersect(p.where("page_id % 4 = 0").select("url"))
+    a, b = _url_sets(spark, sf_dir)
+    return a.intersect(b)
 
 
-@query("SELECT url FROM pages WHERE page_id % 3 = 0 EXCEPT SELECT url FROM pages WHERE page_id % 4 = 0")
+@query(f"SELECT url FROM pages EXCEPT SELECT url FROM {PLAIN_URL}")
 def url_except(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return p.where("page_id % 3 = 0").select("url").subtract(p.where("page_id % 4 = 0").select("url"))
+    a, b = _url_sets(spark, sf_dir)
+    return a.subtract(b)
 
 
 HOSTS = [("10.1.2.3", 1), ("127.0.0.1", 1), ("8.8.8.8", 0), ("172.16.0.9", 1), ("172.40.0.9", 0), ("192.168.4.4", 1), ("169.254.169.254", 1), ("localhost", 1), ("example.org", 0), ("224.0.0.5", 1), ("metadata.google.internal", 1), ("100.64.1.1", 1)]
@@ -135,9 +144,9 @@ def json_items(spark, sf_dir):
     return x.select(F.col("path").cast("long").alias("event_id"), "key", "value")
 
 
-@query("SELECT 'e' || event_id || '.json' AS path, k AS key, v AS value FROM (SELECT event_id, props FROM events WHERE event_id % 2 = 0), LATERAL (SELECT 'a[1].p.' || unnest(json_keys(props)) AS k, unnest(json_keys(props)) AS raw), LATERAL (SELECT json_extract_string(props, '$.' || raw) AS v) UNION ALL SELECT 'e' || event_id || '.json', 'a[0]', 'True' FROM events WHERE event_id % 2 = 0")
+@query("SELECT 'e' || event_id || '.json' AS path, k AS key, v AS value FROM events, LATERAL (SELECT 'a[1].p.' || unnest(json_keys(props)) AS k, unnest(json_keys(props)) AS raw), LATERAL (SELECT json_extract_string(props, '$.' || raw) AS v) UNION ALL SELECT 'e' || event_id || '.json', 'a[0]', 'True' FROM events")
 def json_tree_items(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 2 = 0")
+    e = table(spark, sf_dir, "events")
     files = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.concat(F.lit('{"a": [true, {"p": '), "props", F.lit('}], "n": null}')).alias("content"))
     return parsers.json_items(files).select("path", "key", "value")
 
@@ -178,7 +187,8 @@ KEYWORD_VALUES = ", ".join(f"({c}, {quote(n)}, {k}, {quote(w)}, {str(w in dims.G
 
 @query(f"""WITH kw(cix, category, kix, keyword, generic, severity) AS (VALUES {KEYWORD_VALUES}),
 c AS (SELECT path, line, unnest(regexp_extract_all(text, '\\b(\\w+)\\s*[:=]\\s*([''"]?[A-Za-z0-9_./+=-]{{6,}}[''"]?)', 1)) AS w,
-        unnest(regexp_extract_all(text, '\\b(\\w+)\\s*[:=]\\s*([''"]?[A-Za-z0-9_./+=-]{{6,}}[''"]?)', 2)) AS v FROM {LINES}),
+        unnest(regexp_extract_all(text, '\\b(\\w+)\\s*[:=]\\s*([''"]?[A-Za-z0-9_./+=-]{{6,}}[''"]?)', 2)) AS v FROM {LINES} UNION ALL SELECT path, line, unnest(regexp_extract_all(text, '\\b(\\w+\\.\\w+)\\s*[:=]\\s*([''"]?[A-Za-z0-9_./+=-]{{6,}}[''"]?)', 1)) AS w,
+        unnest(regexp_extract_all(text, '\\b(\\w+\\.\\w+)\\s*[:=]\\s*([''"]?[A-Za-z0-9_./+=-]{{6,}}[''"]?)', 2)) AS v FROM {LINES}),
 h AS (SELECT path, line, cix, kix, category, keyword, severity, regexp_replace(v, '[''"]', '', 'g') AS value,
         regexp_matches(v, '^[''"].*[''"]$') AS quoted, regexp_matches(v, '^[''"]') AS opened, generic FROM c JOIN kw ON lower(w) = keyword)
 SELECT path, line::INT AS line, keyword AS variable, value, category AS pattern_category, severity FROM h
@@ -204,7 +214,7 @@ STRUCTURAL_SQL = " UNION ALL ".join(
 @query(f"SELECT pattern, n FROM ({STRUCTURAL_SQL})")
 def structural_counts(spark, sf_dir):
     lines = value_lines(spark, sf_dir).union(S.lines(doc_files(spark, sf_dir)))
-    found = detect.extended_findings(lines, [(n, n, rx, sev, sure, 0) for n, rx, sev, sure in dims.STRUCTURAL])
+    found = detect.candidates(lines, detect.structural_hits(F.col("text"))).select("path", F.col("word").alias("pattern"), "value").distinct()
     names = spark.createDataFrame([(p[0],) for p in dims.STRUCTURAL], "pattern string")
     return names.join(found.groupBy("pattern").count(), "pattern", "left").select("pattern", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
 
@@ -305,7 +315,7 @@ def legacy_entropy(spark, sf_dir):
     return detect.legacy_entropy_findings(items, x.where("severity = 'high'")).select("path", "value", "line", "entropy")
 
 
-TECH_VALUES = ", ".join(f"({quote(t)}, {quote(w)}, '{s}')" for t, w, s in sorted({(t, f"{a}_{b}", s) for t, (_, s, ss, ks) in dims.TECHNOLOGIES.items() for a in ss.split() for b in ks.split()}))
+TECH_VALUES = ", ".join(f"({quote(t)}, {quote(w)}, '{s}')" for t, w, s in sorted({(t, w, s) for t, (_, s, words) in dims.TECHNOLOGIES.items() for w in words.split()}))
 TECH_OF = "CASE WHEN path LIKE '%Dockerfile' THEN ['Docker/Containers'] WHEN path LIKE 'k8s%' THEN ['Kubernetes'] WHEN path LIKE 'ci%' THEN ['CI/CD Platforms'] WHEN path LIKE '%.tf' THEN ['Infrastructure as Code'] WHEN path LIKE '%.npmrc' THEN ['Package Managers'] ELSE [] END"
 
 
@@ -424,6 +434,25 @@ def entropy_factors(spark, sf_dir):
     return x.select("value", score.entropy_factor(F.round(X.entropy(v), 6), X.encoding_type(v), F.round(X.diversity(v), 6)).alias("factor"))
 
 
+CONTEXT_FACTOR = "greatest(0.0, least(1.0, round(CASE WHEN modifier >= 1.5 THEN 0.9 WHEN modifier >= 1.2 THEN 0.8 WHEN modifier >= 1.0 THEN 0.7 WHEN modifier >= 0.8 THEN 0.5 ELSE 0.3 END + CASE risk WHEN 'high' THEN 0.1 WHEN 'low' THEN -0.1 ELSE 0 END, 6)))::DOUBLE"
+TECHNOLOGY_FACTOR = "CASE pattern_category WHEN 'aws' THEN 0.9::DOUBLE WHEN 'email' THEN confidence END"
+
+
+def _all_factors_sql() -> str:
+    mixed = "round(round(round(pattern_factor * 0.3 + cf * 0.25 + ef * 0.2 + coalesce(tf * 0.15, 0) + environment_factor * 0.05 + validation_factor * 0.05, 9) / CASE WHEN tf IS NULL THEN 0.85 ELSE 1.0 END, 9), 3)"
+    values = f"(SELECT value, {ENTROPY_FACTOR} AS ef FROM (SELECT value, round({entropy_sql('value')}, 6) AS h, {ENCODING} AS encoding, round(len(list_distinct(string_split(value, '')))::DOUBLE / length(value), 6) AS d FROM (SELECT DISTINCT value FROM {FIND})))"
+    return f"SELECT ord, oc AS overall_confidence, {LEVEL} AS confidence_level FROM (SELECT ord, greatest(0.1, least(1.0, {mixed}))::DOUBLE AS oc FROM (SELECT ord, {CONTEXT_FACTOR} AS cf, {TECHNOLOGY_FACTOR} AS tf, ef, {factor_sql()} FROM {FIND} JOIN {FILE_RISK} USING (path) JOIN {values} USING (value)))"
+
+
+@query(_all_factors_sql())
+def overall_confidence_all_factors(spark, sf_dir):
+    c, v = F.col, F.col("value")
+    x = findings(spark, sf_dir).withColumn("contexts", context.file_contexts(c("path")))
+    x = x.withColumn("context_modifier", context.combined_modifier(context.modifiers(c("contexts"), "file"))).withColumn("risk_level", context.risk_level(c("contexts"), c("context_modifier")))
+    x = x.withColumns({"entropy": F.round(X.entropy(v), 6), "encoding_type": X.encoding_type(v), "diversity": F.round(X.diversity(v), 6), "technology": F.when(c("pattern_category") == "aws", "aws").when(c("pattern_category") == "email", "mail")})
+    return score.scored(x).select("ord", "overall_confidence", "confidence_level")
+
+
 # Groups, tests, summaries
 
 
@@ -470,7 +499,7 @@ def test_credentials(spark, sf_dir):
     return merge.with_test_flag(findings(spark, sf_dir)).select("ord", "test_confidence", "is_test_credential", "severity")
 
 
-@query(f"SELECT count(*) AS total, count(DISTINCT substr(value, 1, 50)) AS distinct_values, count_if(p > 0.3)::BIGINT AS tests, count_if(p <= 0.3)::BIGINT AS real, " + ", ".join(f"count_if(CASE WHEN p > 0.3 THEN CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE 'info' END ELSE severity END = '{s}')::BIGINT AS {s}" for s in dims.SEVERITIES) + f" FROM (SELECT ord, p, severity FROM {POINTS}) JOIN (SELECT ord, value FROM {FIND}) USING (ord)")
+@query(f"SELECT count(*) AS total, count(DISTINCT regexp_replace(value, '[\"\\s=:]+', '', 'g')) AS distinct_values, 0::BIGINT AS duplicate_groups, count_if(p > 0.3)::BIGINT AS tests, count_if(p <= 0.3)::BIGINT AS real, " + ", ".join(f"count_if(CASE WHEN p > 0.3 THEN CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' ELSE 'info' END ELSE severity END = '{s}')::BIGINT AS {s}" for s in dims.SEVERITIES) + f" FROM (SELECT ord, p, severity FROM {POINTS}) JOIN (SELECT ord, value FROM {FIND}) USING (ord)")
 def finding_summary(spark, sf_dir):
     return merge.summary(merge.with_test_flag(findings(spark, sf_dir)))
 
@@ -663,6 +692,41 @@ def exposure_state(spark, sf_dir):
 
 # Whole scans
 
+PLANTED = """SELECT 'src/p' || p_partkey || '/app.py' AS path, md5(p_name) AS value FROM part UNION ALL SELECT 'infra/p' || p_partkey || '/main.tf', upper(substr(md5(p_name), 1, 20)) FROM part
+UNION ALL SELECT 'conf/p' || p_partkey || '/app.json', substr(md5(p_name), 1, 16) FROM part UNION ALL SELECT '.github/workflows/p' || p_partkey || '.yml', substr(md5(p_name), 1, 20) FROM part"""
+
+
+@query(f"SELECT DISTINCT path, value FROM ({PLANTED})")
+def scan_planted(spark, sf_dir):
+    """The whole chain over source, infrastructure, settings and pipeline files, each with one secret."""
+    p, d = table(spark, sf_dir, "part"), F.md5(F.col("p_name").cast("binary"))
+    files = lambda at, end, *parts: p.select(F.concat(F.lit(at), F.col("p_partkey").cast("string"), F.lit(end)).alias("path"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("content"))
+    code = files("src/p", "/app.py", '# build settings\nname = "x"\napi_token = "', d, '"\n')
+    infra = files("infra/p", "/main.tf", 'provider "x" {\n  access_key = "', F.upper(F.substring(d, 1, 20)), '"\n}\n')
+    conf = files("conf/p", "/app.json", '{"db": {"password": "', F.substring(d, 1, 16), '"}}')
+    build = files(".github/workflows/p", ".yml", "jobs:\n  env:\n    API_TOKEN: ", F.substring(d, 1, 20), "\n")
+    return engine.scan(spark, code.union(infra).union(conf).union(build)).select("path", "value").distinct()
+
+
+@query("SELECT 'ci/' || p_partkey || '.tf' AS path, 4 AS line, 'Terraform Hardcoded Secret Key' AS rule_name, md5(p_name) AS value FROM part UNION ALL SELECT 'ci/' || p_partkey || '.tf', 5, 'Terraform Variable Default Secret', substr(md5(p_name), 3, 12) FROM part UNION ALL SELECT 'stack-' || p_partkey || '.yaml', 2, 'CloudFormation Hardcoded Secret', substr(md5(p_name), 1, 10) FROM part UNION ALL SELECT 'g' || p_partkey || '/.gitlab-ci.yml', 1, 'CI/CD Hardcoded Secret in docker run', substr(md5(p_name), 1, 14) FROM part UNION ALL SELECT 'g' || p_partkey || '/.gitlab-ci.yml', 2, 'CI/CD Hardcoded Bearer Token in curl', md5(p_name) FROM part")
+def infrastructure_entries_more(spark, sf_dir):
+    p, d, k = table(spark, sf_dir, "part"), F.md5(F.col("p_name").cast("binary")), F.col("p_partkey").cast("string")
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    tf = p.select(join("ci/", k, ".tf").alias("path"), join("# \n# \nprovider {\n  secret_key = \"", d, "\"\nvariable \"db_secret\" {\n  default = \"", F.substring(d, 3, 12), '"\n}').alias("content"))
+    cf = p.select(join("stack-", k, ".yaml"), join("Resources:\n  MasterPassword: ", F.substring(d, 1, 10), "\n"))
+    ci = p.select(join("g", k, "/.gitlab-ci.yml"), join("docker run -e MY_TOKEN=", F.substring(d, 1, 14), " x\ncurl -H 'Authorization: Bearer ", d, "' u\n"))
+    names = ["Terraform Hardcoded Secret Key", "Terraform Variable Default Secret", "CloudFormation Hardcoded Secret", "CI/CD Hardcoded Secret in docker run", "CI/CD Hardcoded Bearer Token in curl"]
+    return parsers.entries(tf.union(cf).union(ci)).where(F.col("rule_name").isin(names)).select("path", "line", "rule_name", "value")
+
+
+@query("SELECT 'f' || p_partkey || '.json' AS path, 'a.token' AS key, md5(p_name) AS value FROM part UNION ALL SELECT 'f' || p_partkey || '.yml', 'a.b[0]', p_brand FROM part UNION ALL SELECT 'f' || p_partkey || '.py', 'k', p_brand FROM part UNION ALL SELECT 'f' || p_partkey || '.txt', 'content', p_brand FROM part")
+def parsed_items(spark, sf_dir):
+    """All parsers in one pass; the unknown kind of file gives nothing."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    kinds = [(".json", '{"a": {"token": "', F.md5(F.col("p_name").cast("binary")), '"}}'), (".yml", 'a:\n  b:\n    - "', F.col("p_brand"), '"\n'), (".py", 'k = "', F.col("p_brand"), '"  # note = "x"\n'), (".txt", "", F.col("p_brand"), ""), (".unknown", "k = ", F.col("p_brand"), "")]
+    parts = [p.select(F.concat(F.lit("f"), k, F.lit(end)).alias("path"), F.concat(F.lit(a), v, F.lit(b)).alias("content")) for end, a, v, b in kinds]
+    return parsers.items(parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])).select("path", "key", "value")
+
 
 @query()
 def scan_documents(spark, sf_dir):

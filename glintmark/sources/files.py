@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans import dims
 from .workers import reach
 
 
@@ -34,9 +35,10 @@ def files(spark: SparkSession, at: str | list[str], include: list[str] | None =
     return df.select("path", F.col("length"), F.col("modificationTime").alias("modified"), "content")
 
 
-def texts(binary: DataFrame) -> DataFrame:
-    """path, content as text: bytes that aren't UTF-8 become U+FFFD; files with a NUL in the first 8 KB are left out."""
-    return binary.where(F.instr(F.substring("content", 1, 8192).cast("string"), "\0") == 0).select("path", F.decode("content", "UTF-8").alias("content"))
+def texts(binary: DataFrame, skip_nul: bool = False) -> DataFrame:
+    """path, content as text; bytes that aren't UTF-8 become U+FFFD. skip_nul leaves files with a NUL in their first 8 KB out."""
+    kept = binary.where(F.instr(F.substring("content", 1, 8192).cast("string"), "\0") == 0) if skip_nul else binary
+    return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -46,7 +48,8 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def documents_as_files(documents: DataFrame) -> DataFrame:
-    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.coalesce("lang", F.lit("")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none-"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), name, F.lit("."), F.coalesce("lang", F.lit("")))
     return documents.select(path.alias("path"), F.col("text").alias("content"))
 
 
@@ -149,7 +152,8 @@ def crawl(links: DataFrame, seeds: DataFrame, depth: int = 2, same_host: bool =
         links = links.where(F.try_parse_url("source", F.lit("HOST")) == F.try_parse_url("target", F.lit("HOST")))
     for k in range(1, depth + 1):  # depth is a small parameter; each step is a join and an anti-join
         step = frontier.join(links, frontier.url == links.source).select(F.col("target").alias("url")).distinct()
-        frontier = step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(k))
+        # Kept, so that no step computes the ones before it again.
+        frontier = step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(k)).persist(StorageLevel.MEMORY_AND_DISK)
         seen = seen.union(frontier)
     return seen
 
@@ -178,10 +182,9 @@ def load_baseline(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {k: whole.select(F.explode(f"exclusions.{k}").alias("x")).select("x.*") for k in kinds}
 
 
-def rules_from_json(path: str) -> list[dict]:
-    """Custom item rules: a list of objects as in dims.RULES, value patterns as [name, pattern] or {name, pattern}."""
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+def rules_from_file(path: str) -> list[dict]:
+    """Custom item rules from JSON or YAML: a list of objects as in dims.RULES, value patterns as [name, pattern] or {name, pattern}."""
+    found = dims.read_tree(path)
     out = []
     for r in found["rules"] if isinstance(found, dict) else found:
         values = [(v["name"], v["pattern"]) if isinstance(v, dict) else tuple(v) for v in r.get("values", r.get("value_patterns", []))]
@@ -189,5 +192,3 @@ def rules_from_json(path: str) -> list[dict]:
         not_values = r.get("not_values") or "|".join(r.get("value_exclusion_patterns", [])) or None
         out.append({"id": r["id"], "name": r.get("name", r["id"]), "severity": r.get("severity", "medium"), "min_length": r.get("min_length", 6), "names": names, "not_names": r.get("not_names", r.get("variable_exclusion_pattern")), "values": values, "not_values": not_values})
     return out
-
-

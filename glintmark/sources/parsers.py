@@ -17,23 +17,39 @@ import sqlite3
 import tarfile
 import tempfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 ITEM = "path string, key string, value string, line int, type string"
 
 
+#: Rows of one batch that a task gives back at once.
+ROWS = 20_000
+
+
 def _items(files: DataFrame, one) -> DataFrame:
+    """one(path, content, route) of every file; rows (key, value, line, type) come back in batches of bounded size."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["path", "key", "value", "line", "type"]).astype({"line": "Int32"})
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                rows = [(path, *r) for r in one(path, content or "")]
-                yield pd.DataFrame(rows, columns=["path", "key", "value", "line", "type"]).astype({"line": "Int32"})
+            rows = []
+            for path, content, route in zip(pdf["path"], pdf["content"], pdf["route"]):
+                for r in one(path, content or "", route):
+                    rows.append((path, *r))
+                    if len(rows) >= ROWS:
+                        yield frame(rows)
+                        rows = []
+            yield frame(rows)
 
-    return files.select("path", "content").mapInPandas(run, ITEM)
+    route = F.col("route") if "route" in files.columns else F.lit(None).cast("string").alias("route")
+    return files.select("path", "content", route).mapInPandas(run, ITEM)
 
 
 def flatten(tree, at: str = "") -> Iterator[tuple[str, str, str]]:
@@ -49,16 +65,16 @@ def flatten(tree, at: str = "") -> Iterator[tuple[str, str, str]]:
             yield key, str(x), kind
 
 
-def json_items(files: DataFrame) -> DataFrame:
-    """Scalars of JSON files; files that aren't JSON give none."""
+def json_rows(path: str, content: str):
+    """Scalars of a JSON file; one that isn't JSON gives none."""
+    try:
+        yield from ((k, v, None, t) for k, v, t in flatten(json.loads(content)))
+    except (ValueError, RecursionError):
+        return
 
-    def one(path: str, content: str):
-        try:
-            return [(k, v, None, t) for k, v, t in flatten(json.loads(content))]
-        except (ValueError, RecursionError):
-            return []
 
-    return _items(files, one)
+def json_items(files: DataFrame) -> DataFrame:
+    return _items(files, lambda path, content, _: json_rows(path, content))
 
 
 def json_column_items(rows: DataFrame, path: Column, column: str) -> DataFrame:
@@ -67,8 +83,8 @@ def json_column_items(rows: DataFrame, path: Column, column: str) -> DataFrame:
     return x.where("value is not null").select("path", "key", "value", F.lit(None).cast("int").alias("line"), F.lit("property").alias("type"))
 
 
-def yaml_items(files: DataFrame) -> DataFrame:
-    """Scalars of YAML files, by PyYAML where it is installed, else by indentation (maps and lists of scalars)."""
+def yaml_rows(path: str, content: str):
+    """Scalars of a YAML file, by PyYAML where it is installed, else by indentation (maps and lists of scalars)."""
 
     def simple(content: str):
         stack: list[tuple[int, str]] = []
@@ -92,17 +108,19 @@ def yaml_items(files: DataFrame) -> DataFrame:
                 k = counts[parent] = counts.get(parent, -1) + 1
                 yield f"{parent}[{k}]", value, number, "list_item"
 
-    def one(path: str, content: str):
-        try:
-            import yaml
-        except ImportError:
-            return list(simple(content))
-        try:
-            return [(k, v, None, t) for doc in yaml.safe_load_all(content) for k, v, t in flatten(doc)]
-        except (yaml.YAMLError, RecursionError):
-            return []
+    try:
+        import yaml
+    except ImportError:
+        yield from simple(content)
+        return
+    try:
+        yield from ((k, v, None, t) for doc in yaml.safe_load_all(content) for k, v, t in flatten(doc))
+    except (yaml.YAMLError, ValueError, RecursionError):
+        return
+
 
-    return _items(files, one)
+def yaml_items(files: DataFrame) -> DataFrame:
+    return _items(files, lambda path, content, _: yaml_rows(path, content))
 
 
 #: Marks of comments by file name ending; a language is a parameter, not a table of hundreds.
@@ -153,24 +171,35 @@ def code_lines(path: str, content: str) -> Iterator[tuple[int, str]]:
             yield number, out
 
 
-def code_items(files: DataFrame) -> DataFrame:
+def code_rows(path: str, content: str):
     """Assignments (type variable) and string literals (type string) of source code, comments left out."""
+    for number, code in code_lines(path, content):
+        spans = []
+        for m in ASSIGN.finditer(code):
+            value = m[3] if m[2] else m[4]
+            if value:
+                yield m[1], value, number, "variable"
+                spans.append(m.span())
+        for m in LITERAL.finditer(code):
+            if m[2] and not any(a <= m.start() < b for a, b in spans):
+                yield None, m[2], number, "string"
+
+
+def code_items(files: DataFrame) -> DataFrame:
+    return _items(files, lambda path, content, _: code_rows(path, content))
 
-    def one(path: str, content: str):
-        out = []
-        for number, code in code_lines(path, content):
-            spans = []
-            for m in ASSIGN.finditer(code):
-                value = m[3] if m[2] else m[4]
-                if value:
-                    out.append((m[1], value, number, "variable"))
-                    spans.append(m.span())
-            for m in LITERAL.finditer(code):
-                if m[2] and not any(a <= m.start() < b for a, b in spans):
-                    out.append((None, m[2], number, "string"))
-        return out
 
-    return _items(files, one)
+#: Parsers by route: function(path, content) -> rows of (key, value, line, type). Give `items` a changed copy to add others.
+PARSERS = {"json": json_rows, "yaml": yaml_rows, "code": code_rows, "text": lambda path, content: [("content", content, 1, "text")]}
+
+
+def items(files: DataFrame, parsers: dict | None = None, route: Column | None = None) -> DataFrame:
+    """Items of all files that a parser takes, in one pass. route names the parser (by default files.route of the path)."""
+    from . import files as S
+
+    parsers = PARSERS if parsers is None else parsers
+    own = files.withColumn("route", S.route(F.col("path")) if route is None else route).where(F.col("route").isin(*parsers))
+    return _items(own, lambda path, content, name: parsers[name](path, content))
 
 
 def text_items(files: DataFrame) -> DataFrame:
@@ -210,22 +239,31 @@ def group_of(path: Column) -> Column:
 def entries(files: DataFrame) -> DataFrame:
     """Findings of infrastructure, pipeline and image files: path, line, rule_name, severity, category, variable, value.
 
-    Every pattern is an expression over the whole text. The line of a hit comes from the text before it: the text is split
-    at the hits once, and line feeds of the parts are summed.
+    Every pattern is an expression over the whole text; a file is read once and only its own group's patterns run. The line of a
+    hit comes from the text before it: the text is split at the hits once, and line feeds of the parts are summed.
     """
-    group, out = group_of(F.col("path")), None
-    for g, name, severity, rx, key, value in ENTRIES:
-        own = files.where(group == g).where(F.col("content").rlike(rx))
-        hit = F.regexp_extract_all("content", F.lit(rx), 0)
-        gaps = F.split("content", rx)
-        feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-        before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, s: a + feeds(s)) + F.aggregate(F.slice(hit, 1, i), F.lit(0), lambda a, s: a + feeds(s))  # noqa: B023, E731
-        variable = F.regexp_extract_all("content", F.lit(rx), key) if key else F.transform(hit, lambda _: F.lit(name))  # noqa: B023
-        both = F.transform(F.arrays_zip(variable.alias("k"), F.regexp_extract_all("content", F.lit(rx), value).alias("v")), lambda x, i: F.struct(x["k"].alias("variable"), x["v"].alias("value"), (before(i) + 1).alias("line")))
-        x = own.select("path", F.explode(both).alias("x")).select("path", F.col("x.line").alias("line"), F.lit(name).alias("rule_name"), F.lit(severity).alias("severity"), F.lit(g).alias("category"), "x.variable", F.regexp_replace(F.trim("x.value"), "^[\"']+|[\"']+$", "").alias("value"))
-        x = x.where(~F.col("value").rlike(SKIP[g]))
-        out = x if out is None else out.unionByName(x)
-    return out
+    text, kind = F.col("content"), "array<struct<line: int, rule_name: string, severity: string, variable: string, value: string>>"
+    feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    # Feeds before each hit, summed up once: a running array, so many hits cost no more than they are.
+    running = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def hits(name: str, severity: str, rx: str, key: int, value: int) -> Column:
+        whole, gaps = F.regexp_extract_all(text, F.lit(rx), 0), F.split(text, rx)
+        names = F.regexp_extract_all(text, F.lit(rx), key) if key else F.transform(whole, lambda _: F.lit(name))
+        steps = F.zip_with(gaps, F.concat(F.array(F.lit("")), whole), lambda g, h: F.coalesce(feeds(g), F.lit(0)) + F.coalesce(feeds(h), F.lit(0)))
+        at = lambda n: F.transform(F.arrays_zip(names.alias("k"), F.regexp_extract_all(text, F.lit(rx), value).alias("v")), lambda x, i: F.struct((F.get(n, i + 1) + 1).cast("int").alias("line"), F.lit(name).alias("rule_name"), F.lit(severity).alias("severity"), x["k"].alias("variable"), x["v"].alias("value")))
+        return F.when(text.rlike(rx), X.let(running(steps), at).cast(kind)).otherwise(F.array().cast(kind))
+
+    group = group_of(F.col("path"))
+    found = F.array().cast(kind)
+    for g in dict.fromkeys(g for g, *_ in ENTRIES):
+        found = F.when(group == g, F.concat(*[hits(*e[1:]) for e in ENTRIES if e[0] == g])).otherwise(found)
+    x = files.where(group.isNotNull()).select("path", group.alias("category"), F.explode(found).alias("x"))
+    x = x.select("path", "x.line", "x.rule_name", "x.severity", "category", "x.variable", F.regexp_replace(F.trim("x.value"), "^[\"']+|[\"']+$", "").alias("value"))
+    skip = F.lit(False)
+    for g, rx in SKIP.items():
+        skip = F.when(F.col("category") == g, F.col("value").rlike(rx)).otherwise(skip)
+    return x.where(~skip)
 
 
 def pipeline_platform(path: Column, content: Column) -> Column:
@@ -271,22 +309,35 @@ def members(name: str, data: bytes, most_bytes: int | None = None, most_files: i
         yield posixpath.basename(name).rsplit(".", 1)[0], body if len(body) <= left else None
 
 
-def archive_files(binary: DataFrame, most_bytes: int | None = None, most_files: int | None = None) -> DataFrame:
-    """path (archive!member), archive_path, content of text files inside archives, skipped; damaged archives give none.
+ARCHIVE = re.compile(r"(?i)\.(zip|jar|war|ear|apk|ipa|tar|tar\.gz|tgz|tar\.bz2|tbz2|tar\.xz|gz|bz2)$")
+BROKEN = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError, NotImplementedError, zlib.error)
+
 
-    Without limits nothing is skipped. With limits (against archive bombs) a member beyond them is a row without content.
+def nested(path: str, data: bytes, most_bytes: int | None, most_files: int | None, depth: int) -> Iterator[tuple[str, bytes | None]]:
+    """Files of an archive and of those in it, down to depth; the path of an inner one goes on behind a `!`."""
+    try:
+        for name, body in members(path, data, most_bytes, most_files):
+            if body is not None and ARCHIVE.search(name):
+                yield from nested(f"{path}!{name}", body, most_bytes, most_files, depth - 1) if depth > 1 else [(f"{path}!{name}", None)]
+            else:
+                yield f"{path}!{name}", body
+    except BROKEN:
+        return
+
+
+def archive_files(binary: DataFrame, most_bytes: int | None = None, most_files: int | None = None, depth: int = 5) -> DataFrame:
+    """path (archive!member), archive_path, content of files inside archives (and archives in them), skipped; damaged ones give none.
+
+    Without limits nothing is skipped but what lies deeper than depth. With limits (against archive bombs) a member beyond them
+    is a row without content.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, data in zip(pdf["path"], pdf["content"]):
-                try:
-                    for name, body in members(path, bytes(data), most_bytes, most_files):
-                        if body is None or b"\0" not in body[:8192]:
-                            row = (f"{path}!{name}", path, None if body is None else body.decode("utf-8", "replace"), body is None)
-                            yield pd.DataFrame([row], columns=["path", "archive_path", "content", "skipped"])
-                except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError, NotImplementedError):
-                    pass
+                for name, body in nested(path, bytes(data), most_bytes, most_files, depth):
+                    row = (name, path, None if body is None else body.decode("utf-8", "replace"), body is None)
+                    yield pd.DataFrame([row], columns=["path", "archive_path", "content", "skipped"])
 
     return binary.select("path", "content").mapInPandas(run, "path string, archive_path string, content string, skipped boolean")
 
@@ -294,7 +345,7 @@ def archive_files(binary: DataFrame, most_bytes: int | None = None, most_files:
 NAMES = re.compile(r"(?i)secret|token|passw|pwd|key|auth|cred|user|account|login|config|setting")
 
 
-def sqlite_items(binary: DataFrame, rows_per_table: int | None = 100) -> DataFrame:
+def sqlite_items(binary: DataFrame, rows_per_table: int | None = None) -> DataFrame:
     """Strings of over 8 characters in telling columns of telling tables of SQLite files, rows_per_table of each table (None: all)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

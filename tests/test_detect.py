@@ -122,11 +122,11 @@ def test_scan_of_files(spark, tmp_path):
     (tmp_path / "conf").mkdir()
     (tmp_path / "conf/app.py").write_text(f'aws_access_key_id = "{AKIA}"\nname = "x"\ngithub_token = "{GHP}"\n')
     (tmp_path / "conf/skip.bin").write_bytes(b"\0\1\2token=abcdefghijklm")
-    files = S.texts(S.files(spark, str(tmp_path), exclude=["nothing"])).withColumn("path", F.regexp_replace("path", "^.*/conf/", "repo/conf/"))
+    files = S.texts(S.files(spark, str(tmp_path), exclude=["nothing"]), skip_nul=True).withColumn("path", F.regexp_replace("path", "^.*/conf/", "repo/conf/"))
     got = engine.scan(spark, files).collect()
     assert {r.line for r in got} == {1, 3} and not any(r.is_test_credential for r in got)
     assert max(r.detection_count for r in got) >= 2
-    assert engine.scan(spark, files, engine.ScanConfig(keyword=False, structural=False, technology=False, entropy=False)).count() == 0
+    assert engine.scan(spark, files, engine.ScanConfig(keyword=False, structural=False, technology=False, entropy=False, items=False, entries=False)).count() == 0
     empty = engine.scan(spark, files.limit(0))
     assert empty.count() == 0
 
@@ -182,7 +182,7 @@ def test_parsers(spark, tmp_path):
             f.addfile(info, io.BytesIO(body))
     binary = spark.createDataFrame([("x.zip", z.getvalue()), ("y.tgz", t.getvalue()), ("n.gz", gzip.compress(b"hello")), ("broken.zip", b"PK")], "path string, content binary")
     assert {(r.path, r.content) for r in parsers.archive_files(binary).collect()} == {("x.zip!in/a.txt", "token"), ("y.tgz!b.txt", "abc"), ("n.gz!n", "hello")}
-    rows = parsers.sqlite_items(spark.createDataFrame([("x.db", db.read_bytes()), ("no.db", b"zz")], "path string, content binary")).collect()
+    rows = parsers.sqlite_items(spark.createDataFrame([("x.db", db.read_bytes()), ("no.db", b"zz")], "path string, content binary"), 100).collect()
     assert len(rows) == 100 and {r.key for r in rows} == {"user_tokens.token"}
     assert [(r.key, r.value) for r in parsers.image_entries(spark.createDataFrame([("i.tar", img.getvalue())], "path string, content binary")).collect()] == [("API_TOKEN", "abcd1234")]
 
@@ -281,3 +281,126 @@ def test_links_and_urls(spark):
     links = S.page_links(pages)
     got = S.crawl(links, pages.where("url = 'http://h/a'").select("url"), 2)
     assert {(r.url, r.depth) for r in got.collect()} == {("http://h/a", 0), ("http://h/b", 1), ("http://h/c", 2)}
+
+
+def test_texts_keep_every_file(spark, tmp_path):
+    (tmp_path / "latin.py").write_bytes("caf\xe9 = 1\n".encode("latin-1") + f'key = "{AKIA}"\n'.encode())
+    (tmp_path / "nul.py").write_bytes(b"\0" + f'key = "{AKIA}"\n'.encode())
+    got = {r.path.rsplit("/", 1)[1]: r.content for r in S.texts(S.files(spark, str(tmp_path))).collect()}
+    assert got["latin.py"].startswith("caf\ufffd = 1\n") and got["nul.py"].startswith("\0key")
+    found = detect.structural_findings(S.lines(S.texts(S.files(spark, str(tmp_path))))).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.line) for r in found) == [("latin.py", 2), ("nul.py", 1)]
+
+
+def test_keyword_lists_are_whole():
+    words = [w for v in dims.keyword_lists().values() for w in v]
+    assert len(set(words)) == 299 and {"firebase_project_id", "private.pem", "mysql_password", "secretvalue"} <= set(words)
+    own = {w for _, _, x in dims.TECHNOLOGIES.values() for w in x.split()}
+    assert sum(len(x.split()) for _, _, x in dims.TECHNOLOGIES.values()) == 193
+    assert {"docker_hub_token", "okta_api_token", "travis_ci_token", "pem_passphrase", "supabase_anon_key"} <= own and "docker_key" not in own
+
+
+def test_dotted_keyword(spark):
+    got = detect.keyword_findings(lines(spark, "private.pem = abcdefgh", "xprivate.pem = abcdefgh"), dims.keywords(spark)).collect()
+    assert [(r.line, r.variable, r.value) for r in got] == [(1, "private.pem", "abcdefgh")]
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    (tmp_path / "a.py").write_text(f'x = "{AKIA}"\n')
+    spark.read.text(str(tmp_path)).select(F.lit("a.py").alias("path"), F.lit(1).alias("line"), F.col("value").alias("text")).write.parquet(str(tmp_path / "lines"))
+    given = spark.read.parquet(str(tmp_path / "lines"))
+    parts = detect.line_detectors(spark, given, dims.keywords(spark))
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert len(parts) == 4 and plan.count("InMemoryRelation") == 4 == plan.count("FileScan")  # all four from the kept candidates, whose plan is shown
+    assert [r.pattern for r in parts[1].collect()] == ["AWS Access Key ID"]
+    read = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    items = spark.read.schema("path string, key string, value string, line int, type string").parquet(str(tmp_path / "lines"))
+    assert read(detect.rule_findings(items)) == 1
+    files = spark.read.schema("path string, content string").parquet(str(tmp_path / "lines"))
+    assert read(parsers.entries(files)) == 1
+
+
+def test_scan_goes_through_items_entries_and_archives(spark, tmp_path):
+    import io
+    import sqlite3
+    import zipfile
+
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as f:
+        f.writestr("deep/.env", 'DB_PASSWORD="innersecret1"\n')
+    with zipfile.ZipFile(outer, "w") as f:
+        f.writestr("lib/inner.zip", inner.getvalue())
+        f.writestr("conf.json", '{"service": {"auth_token": "zipped-token-99"}}')
+    db = sqlite3.connect(tmp_path / "x.db")
+    db.execute("create table user_tokens (token text)")
+    db.execute("insert into user_tokens values ('row-secret-value-1')")
+    db.commit()
+    db.close()
+    rows = [
+        ("repo/app.json", b'{"db": {"password": "hunter2hunter2"}}'), ("repo/app.yml", b"svc:\n  secret: realvalue77\n"), ("repo/main.tf", b'provider "x" {\n  secret_key = "ABCDEFGHIJKLMNOPQRSTUV"\n}\n'),
+        ("repo/.github/workflows/b.yml", b"env:\n  API_TOKEN: abcdef123456\n"), ("repo/Dockerfile", b"FROM x\nENV DB_SECRET=realvalue\n"), ("repo/x.db", (tmp_path / "x.db").read_bytes()), ("repo/all.zip", outer.getvalue()),
+        ("repo/note.unknown", b"nothing here"),
+    ]
+    binary = spark.createDataFrame(rows, "path string, content binary")
+    got = {(r.path, r.value) for r in engine.scan_binary(spark, binary).collect()}
+    want = {
+        ("repo/app.json", "hunter2hunter2"), ("repo/app.yml", "realvalue77"), ("repo/main.tf", "ABCDEFGHIJKLMNOPQRSTUV"), ("repo/.github/workflows/b.yml", "abcdef123456"), ("repo/Dockerfile", "realvalue"),
+        ("repo/x.db", "row-secret-value-1"), ("repo/all.zip!conf.json", "zipped-token-99"), ("repo/all.zip!lib/inner.zip!deep/.env", "innersecret1"),
+    }
+    assert want <= got, want - got
+    cli = {p for p, _ in {(r.path, r.value) for r in engine.scan_binary(spark, binary, engine.ScanConfig.preset("cli")).where("rule_id like '%hardcoded%'").collect()}}
+    assert not cli
+    engine.release(spark)
+
+
+def test_own_parser(spark):
+    files = spark.createDataFrame([("a.ini", "k=v"), ("b.json", '{"x": 1}')], "path string, content string")
+    own = parsers.PARSERS | {"code": lambda path, content: [("whole", content, 1, "ini")]}
+    assert {(r.path, r.key, r.value) for r in parsers.items(files, own).collect()} == {("a.ini", "whole", "k=v"), ("b.json", "x", "1")}
+
+
+def test_enhanced_rules(spark):
+    items = spark.createDataFrame([("a", "aws_key", "12345678", 3, "v"), ("a", None, f"x {AKIA}", 4, "s"), ("b", "note", "stripe_secret_key = abcdef99", 5, "s")], "path string, key string, value string, line int, type string")
+    got = {(r.rule_id, r.type, r.variable, r.value, r.line) for r in detect.enhanced_findings(items, dims.keywords(spark)).collect()}
+    assert got == {
+        ("aws_credentials", "variable_name_match", "aws_key", "12345678", 3), ("enhanced_credentials", "enhanced_pattern_match", None, AKIA, 4), ("enhanced_credentials", "enhanced_pattern_match", "note", "abcdef99", 5),
+        ("payment_credentials", "enhanced_pattern_match", "note", "abcdef99", 5),
+    }
+
+
+def test_files_of_settings(spark, tmp_path):
+    for end in ("json", "yml"):
+        config = engine.ScanConfig(min_length=9, exclude=["x"], categories=["aws"])
+        config.write(str(tmp_path / f"c.{end}"))
+        assert engine.ScanConfig.read(str(tmp_path / f"c.{end}")) == config
+        dims.write_tree(dims.keyword_lists(), str(tmp_path / f"k.{end}"))
+        assert dims.keyword_lists(str(tmp_path / f"k.{end}")) == dims.keyword_lists()
+        dims.write_tree({"rules": [{"id": "r", "variable_patterns": ["abc", "def"], "value_patterns": [{"name": "n", "pattern": "x+"}]}]}, str(tmp_path / f"r.{end}"))
+        rules = S.rules_from_file(str(tmp_path / f"r.{end}"))
+        assert rules[0]["names"] == "abc|def" and rules[0]["values"] == [("n", "x+")]
+    (tmp_path / "b.json").write_text('{"exclusions": {"findings": [], "patterns": [{"id": "p", "pattern": "^AK", "reason": "known"}], "paths": []}}')
+    known = baseline.from_tables(S.load_baseline(spark, str(tmp_path / "b.json")))
+    f = detect.structural_findings(lines(spark, AKIA, GHP))
+    assert [r.pattern for r in baseline.reported(f, **known).collect()] == ["GitHub Token"]
+
+
+def test_history_scan(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for k, text in enumerate([f"a = '{AKIA}'\n", f"# more\na = '{AKIA}'\nb = '{GHP}'\n", "gone\n"]):
+        (tmp_path / "a.py").write_text(text)
+        (tmp_path / "b.bin").write_bytes(b"\0\1" + bytes([k]))
+        git("add", "-A")
+        git("commit", "-qm", str(k))
+    found, exposed = history.scan_history(spark, str(tmp_path), detect.structural_findings)
+    assert sorted((r.original_file, r.line, r.value) for r in found.collect()) == [("a.py", 1, AKIA), ("a.py", 3, GHP)]
+    assert {(r.value, r.exposure_commit_count) for r in exposed.collect()} == {(AKIA, 1), (GHP, 1)}
+
+
+def test_merged_methods_are_bounded(spark):
+    rows = [("a.py", 5 + k % 5, "VALUE1234", "high", 0.5 + k % 2 / 10, f"rule{k % 3}", "p") for k in range(600)]
+    x = merge.merged(spark.createDataFrame(rows, "path string, line int, value string, severity string, confidence double, rule_name string, pattern string")).first()
+    assert x.detection_count == 600 and sorted(m.n for m in x.detection_methods) == [200, 200, 200] and x.confidence == 0.6 and x.severity == "high"
