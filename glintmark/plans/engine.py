@@ -92,7 +92,9 @@ def detections(spark: SparkSession, files: DataFrame, lines: DataFrame, config:
         parts.append(detect.extended_findings(lines))
     if config.items:
         items = parsers.items(files, config.parsers)
-        parts += item_findings(items if more_items is None else items.unionByName(more_items), keywords, config.rules)
+        # The rules, the library and the entropy part read the items several times: kept (memory and disk), so that each file is parsed once.
+        items = (items if more_items is None else items.unionByName(more_items)).persist(StorageLevel.MEMORY_AND_DISK)
+        parts += item_findings(items, keywords, config.rules)
     if config.entries:
         entries = parsers.entries(files)
         parts.append(entry_findings(entries if more_entries is None else entries.unionByName(more_entries)))
@@ -106,7 +108,8 @@ def scan_binary(spark: SparkSession, binary: DataFrame, config: ScanConfig | Non
     config = config or ScanConfig()
     binary = binary.where(S.admitted(F.col("path"), config.include, config.exclude)).select("path", "content")
     packed = binary.where(S.route(F.col("path")) == "binary")
-    inside = parsers.archive_files(packed).where("not skipped").select("path", "content")
+    # Detectors and context read the texts several times: archives are opened once and their texts kept (memory and disk).
+    inside = parsers.archive_files(packed).where("not skipped").select("path", "content").persist(StorageLevel.MEMORY_AND_DISK)
     plain = S.texts(binary.where(~F.coalesce(S.route(F.col("path")) == "binary", F.lit(False))))
     images = parsers.image_entries(packed.where(F.col("path").rlike("(?i)\\.tar$")))
     baked = images.select("path", F.coalesce("line", F.lit(1)).alias("line"), F.lit("Credential in an image").alias("rule_name"), F.lit("critical").alias("severity"), F.lit("docker").alias("category"), F.col("key").alias("variable"), "value")
@@ -117,8 +120,8 @@ def scan_binary(spark: SparkSession, binary: DataFrame, config: ScanConfig | Non
 def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None, exclusions: dict | None = None, more_items: DataFrame | None = None, more_entries: DataFrame | None = None) -> DataFrame:
     """Findings of files (path, content): detectors, baseline, context, scores, filters, groups, test values.
 
-    exclusions: arguments of baseline.with_exclusions. Nothing runs until the result is written or read. Candidates and findings
-    are kept meanwhile (memory and disk), as they are few against the lines; `release` gives them up.
+    exclusions: arguments of baseline.with_exclusions. Nothing runs until the result is written or read. Candidates, items and
+    findings are kept meanwhile (memory and disk), as they are few against the lines; `release` gives them up.
     """
     config = config or ScanConfig()
     files = files.where(S.admitted(F.col("path"), config.include, config.exclude))

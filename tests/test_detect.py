@@ -354,6 +354,22 @@ def test_scan_goes_through_items_entries_and_archives(spark, tmp_path):
     engine.release(spark)
 
 
+def test_files_are_parsed_once(spark, tmp_path):
+    log = tmp_path / "parsed"
+
+    def parse(path, content):
+        with open(log, "a") as f:
+            f.write(path + "\n")
+        return [("db_password", content, 1, "string")]
+
+    files = spark.createDataFrame([(f"{k}.json", f"s3cretPassw0rd{k}") for k in range(3)], "path string, content string")
+    config = engine.ScanConfig(keyword=False, structural=False, technology=False, entropy=False, entries=False, use_context=False, use_scores=False, parsers={"json": parse})
+    got = {(r.path, r.value) for r in engine.scan(spark, files, config).collect()}
+    engine.release(spark)
+    assert got == {(f"{k}.json", f"s3cretPassw0rd{k}") for k in range(3)}
+    assert sorted(log.read_text().split()) == [f"{k}.json" for k in range(3)]
+
+
 def test_own_parser(spark):
     files = spark.createDataFrame([("a.ini", "k=v"), ("b.json", '{"x": 1}')], "path string, content string")
     own = parsers.PARSERS | {"code": lambda path, content: [("whole", content, 1, "ini")]}
