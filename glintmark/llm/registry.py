@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat, decontaminate, htmltext, license_scan, quality_knn, quality_rules, simhash, tokenbin, warc
+from . import bpe, chat, decontaminate, fim, htmltext, license_scan, phrases, quality_knn, quality_rules, simhash, tokenbin, urlfilter, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,9 @@ QUERIES = {
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_quality_llr": quality_rules.op9_quality_llr,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_url_filter": urlfilter.op12_url_filter,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
 }
 
 ORACLES = {
@@ -25,4 +28,7 @@ ORACLES = {
     "op2_warc_archive": warc.OP2_SQL,
     "op9_quality_llr": quality_rules.OP9_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
+    "op12_url_filter": urlfilter.OP12_SQL,
+    "op13_phrase_collocations": phrases.OP13_SQL,
 }

@@ -79,24 +79,25 @@ def views(column: pa.Array) -> Iterator[memoryview]:
         yield memoryview(x.as_buffer()) if x.is_valid else memoryview(b"")
 
 
-def with_columns(df: DataFrame, text_col: str, more: str, found, size: int, drop: list[str] | tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+def with_columns(df: DataFrame, text_col: str, more: str, found, size: int, drop: list[str] | tuple[str, ...] = (), where: Column | None = None, also: tuple[Column, ...] = ()) -> DataFrame:
     """df without drop and with the columns of the schema more, which found gives as arrays for a batch's texts.
 
     The new columns take the place of columns of the same names, whatever the letters' case, as withColumns does. With
-    where (a condition on the new columns) df's own columns come back instead, in the rows where it holds.
+    where (a condition on the new columns) df's own columns come back instead, in the rows where it holds. found gets the
+    columns of also behind the texts.
     """
     names = [x.split()[0] for x in more.split(", ")]
     gone = {x.lower() for x in (*(names if where is None else ()), *drop)}
     kept = [c for c in df.columns if c.lower() not in gone]
     columns = [f"c{k}" for k in range(len(kept))]
     own = [F.col(f"`{c}`").alias(k) for c, k in zip(kept, columns)]
-    at = kept.index(text_col) if text_col in kept else len(kept)
-    plain = df.select(*own, *([] if at < len(kept) else [F.col(f"`{text_col}`").alias("text")]))
+    at, extra = kept.index(text_col) if text_col in kept else len(kept), len(also)
+    plain = df.select(*own, *([] if at < len(kept) else [F.col(f"`{text_col}`").alias("text")]), *(x.alias(f"a{k}") for k, x in enumerate(also)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, size):
             if b.num_rows:
-                yield pa.record_batch([*b.columns[: len(columns)], *found(b.column(at))], names=[*columns, *names])
+                yield pa.record_batch([*b.columns[: len(columns)], *found(b.column(at), *b.columns[b.num_columns - extra :])], names=[*columns, *names])
 
     schema = ", ".join([*(f"{c} {plain.schema[c].dataType.simpleString()}" for c in columns), more])
     out = plain.mapInArrow(run, schema)
