@@ -102,6 +102,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.beginnings = {t[:k] for t in self.special for k in range(1, len(t))}
+        self.space = regex.compile(f"[{SPACE}]*")
         if any(len(t) > WAIT for t in self.special):
             raise ValueError(f"special tokens of over {WAIT} characters")
         # A piece is a run without white space with one space before it, or white space; pre-tokens never cross pieces.
@@ -223,14 +225,38 @@ class TextEncoder:
 
     def push(self, part: str, last: bool = False) -> bytes:
         text = self.held + part if self.held else part
-        if not any([s in text for s in self.v.special]):
-            return self._plain(text, last)
-        parts = self.v.special_pattern.split(text)
+        stop = len(text) if last else self._sure(text)
+        rest, text = text[stop:], text[:stop]
+        if any([s in text for s in self.v.special]):
+            parts = self.v.special_pattern.split(text)
+        else:
+            parts = [text]
         out = []
         for k, x in enumerate(parts):
             out.append(self.v.special[x].to_bytes(4, "little") if k % 2 else self._plain(x, last or k < len(parts) - 1))
+        self.held += rest
         return b"".join(out)
 
+    def _sure(self, text: str) -> int:
+        """Where what may be the beginning of a special token starts, at text's end, and the white space before it.
+
+        That white space is one pre-token if the special token comes, else its last character goes with what follows.
+        """
+        tail = text[-WAIT:]
+        at = next((k for k in range(len(tail)) if tail[k:] in self.v.beginnings), None)
+        if at is None:
+            return len(text)
+        at += len(text) - len(tail)
+        start = end = 0
+        for m in self.v.special_pattern.finditer(text):
+            start, end = m.span()
+        if at < end:
+            # Part of a whole special token: waits only if that may go on to a longer one.
+            return start if end == len(text) and text[start:] in self.v.beginnings else len(text)
+        while at > end and self.v.space.fullmatch(text[at - 1]):
+            at -= 1
+        return at
+
     def _plain(self, text: str, last: bool) -> bytes:
         """text without special tokens; unless it is the last before one, or of all, its end is held back."""
         out = []
