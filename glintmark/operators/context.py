@@ -61,7 +61,9 @@ def file_contexts(path: Column) -> Column:
 
 
 def framework_contexts(files: DataFrame) -> DataFrame:
-    return files.select("path", F.array_union(_hits("framework", F.col("content")), _hits("framework", F.lower("path"))).alias("framework"))
+    x = files.select("path", F.array_union(_hits("framework", F.col("content")), _hits("framework", F.lower("path"))).alias("framework"))
+    # A file that comes in parts has the contexts of all of them; each is a few names.
+    return x.groupBy("path").agg(F.array_distinct(F.flatten(F.collect_set("framework"))).alias("framework")) if "first_line" in files.columns else x
 
 
 def modifiers(names: Column, group: str) -> Column:

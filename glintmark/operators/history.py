@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +49,40 @@ def scan_history(spark, repo: str, detect, root: bool = True, **commits) -> tupl
     parts = F.split("path", "\0")
     x = found.withColumns({"commit_hash": parts[0], "original_file": parts[1]}).withColumn("path", F.col("original_file")).join(log, "commit_hash")
     return x, exposure(x)
+
+
+def with_lines(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """found (blob, line, value, ...) where findings in trees, which have no line, get the first one that their value is on."""
+    known, open_ones = found.where("line > 0"), found.where("line is null or line < 1")
+    at = F.expr("instr(content, value)")
+    line = F.when((F.col("value") != "") & (at > 0), F.size(F.split(F.expr("substring(content, 1, instr(content, value))"), "\n"))).otherwise(F.col("line")).cast("int")
+    return known.unionByName(open_ones.join(texts, "blob").withColumn("line", line).select(*found.columns))
+
+
+def scan_repository(spark, repo: str, config=None, exclusions: dict | None = None, root: bool = True, **commits) -> tuple[DataFrame, DataFrame]:
+    """Findings of all commits with all detectors, rules and the baseline, and the exposure of what was found.
+
+    Each distinct file content is scanned once under each name it has had, as a whole, so items, contexts and scores see what they would in
+    the file; a finding then belongs to the commits that added its line. config: of engine.scan (equal findings aren't merged, as each may have been added by a commit
+    of its own). exclusions: as in engine.scan, with the repository's paths. commits: arguments of repository.git_commits.
+    """
+    from dataclasses import replace
+
+    from ..plans import engine
+    from ..sources import files as S
+    from ..sources import repository as R
+    from . import baseline
+
+    log = R.git_commits(spark, repo, **commits).persist(StorageLevel.MEMORY_AND_DISK)
+    changes = R.changed_objects(spark, repo, log, root).persist(StorageLevel.MEMORY_AND_DISK)
+    named = changes.select(F.col("new_blob").alias("blob"), "file").distinct()
+    texts = R.contents(spark, repo, named.select("blob")).join(named, "blob").persist(StorageLevel.MEMORY_AND_DISK)
+    # The name goes on behind the object's id, so that equal names with other contents are other files.
+    path = F.concat_ws("/", "blob", "file")
+    found = engine.scan(spark, S.texts(texts.select(path.alias("path"), "content")), replace(config or engine.ScanConfig(), deduplicate=False))
+    x = found.withColumns({"blob": F.substring_index("path", "/", 1), "file": F.expr("substring(path, instr(path, '/') + 1)")}).drop("path")
+    x = with_lines(x, S.texts(texts.select(path.alias("path"), "content")).select(F.substring_index("path", "/", 1).alias("blob"), "content").dropDuplicates(["blob"]))
+    x = R.in_added_lines(changes, R.added_ranges(spark, repo, changes), x).withColumnRenamed("file", "path")
+    x = baseline.reported(x, **exclusions) if exclusions else x
+    x = x.withColumn("original_file", F.col("path")).join(log, "commit_hash")
+    return x, exposure(x)

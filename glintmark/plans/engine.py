@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from ..operators import baseline, context, detect, merge, score
 from ..sources import files as S
-from ..sources import parsers
+from ..sources import archives, parsers
 from . import dims
 
 
+ARCHIVE_NAMES = "(?i)\\.(zip|jar|war|ear|apk|ipa|tar|tgz|tbz2|txz|gz|bz2|xz)$"
+SQLITE_NAMES = "(?i)\\.(sqlite3?|db)$"
+
+
 @dataclass
 class ScanConfig:
     """Settings of a scan. Presets: `full` (all detectors), `cli` (those on lines only), `strict`, `permissive`."""
@@ -109,14 +113,33 @@ def scan_binary(spark: SparkSession, binary: DataFrame, config: ScanConfig | Non
     binary = binary.where(S.admitted(F.col("path"), config.include, config.exclude)).select("path", "content")
     packed = binary.where(S.route(F.col("path")) == "binary")
     # Detectors and context read the texts several times: archives are opened once and their texts kept (memory and disk).
-    inside = parsers.archive_files(packed).where("not skipped").select("path", "content").persist(StorageLevel.MEMORY_AND_DISK)
+    inside = parsers.archive_files(packed.where(F.col("path").rlike(ARCHIVE_NAMES))).where("not skipped").select("path", "content").persist(StorageLevel.MEMORY_AND_DISK)
     plain = S.texts(binary.where(~F.coalesce(S.route(F.col("path")) == "binary", F.lit(False))))
     images = parsers.image_entries(packed.where(F.col("path").rlike("(?i)\\.tar$")))
     baked = images.select("path", F.coalesce("line", F.lit(1)).alias("line"), F.lit("Credential in an image").alias("rule_name"), F.lit("critical").alias("severity"), F.lit("docker").alias("category"), F.col("key").alias("variable"), "value")
-    rows = parsers.sqlite_items(packed.where(F.col("path").rlike("(?i)\\.(sqlite3?|db)$")))
+    rows = parsers.sqlite_items(packed.where(F.col("path").rlike(SQLITE_NAMES)))
     return scan(spark, plain.unionByName(inside), config, exclusions, rows, baked)
 
 
+def scan_archives(spark: SparkSession, at: str, config: ScanConfig | None = None, exclusions: dict | None = None, **options) -> DataFrame:
+    """Like scan, of the members of archives below at, however large: see archives.read for splits, parts and options.
+
+    Lines, contexts and technologies go over all parts of a member; items and infrastructure entries need a member whole, which those of
+    up to partBytes are. `unread` tells what gave nothing.
+    """
+    config = config or ScanConfig()
+    members = archives.read(spark, at, **options).where("status = 'ok'").select("path", "content", "first_line", "whole")
+    return scan(spark, members, config, exclusions)
+
+
+def unread(spark: SparkSession, binary: DataFrame) -> DataFrame:
+    """path, status (failed, skipped), reason: what scan_binary gets nothing from, in archives and databases (path, content)."""
+    packed = binary.where(S.route(F.col("path")) == "binary").select("path", "content")
+    inside = archives.rows(packed.where(F.col("path").rlike(ARCHIVE_NAMES))).where("status <> 'ok'").select("path", "status", "reason")
+    tables = parsers.sqlite_rows(packed.where(F.col("path").rlike(SQLITE_NAMES))).where("type = 'failed'")
+    return inside.union(tables.select(F.concat_ws("!", "path", "key").alias("path"), F.lit("failed").alias("status"), F.col("value").alias("reason")))
+
+
 def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None, exclusions: dict | None = None, more_items: DataFrame | None = None, more_entries: DataFrame | None = None) -> DataFrame:
     """Findings of files (path, content): detectors, baseline, context, scores, filters, groups, test values.
 
@@ -126,7 +149,8 @@ def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None
     config = config or ScanConfig()
     files = files.where(S.admitted(F.col("path"), config.include, config.exclude))
     lines = S.lines(files)
-    x = detections(spark, files, lines, config, more_items, more_entries)
+    # Of files that come in parts only those in one part are trees that a parser can read.
+    x = detections(spark, files.where("whole") if "whole" in files.columns else files, lines, config, more_items, more_entries)
     # The context joins need the findings three times.
     x = x.persist(StorageLevel.MEMORY_AND_DISK) if config.use_context else x
     if exclusions:

@@ -11,8 +11,8 @@ from ..functions import classify as C
 from ..functions import text as X
 from ..operators import baseline, context, detect, enrich, history, merge, report, score
 from ..plans import dims, engine
+from ..sources import archives, parsers, repository
 from ..sources import files as S
-from ..sources import parsers
 from ..sources.workers import reach
 from ..streaming import incremental
 from .derived import CODE, FINDINGS, TECH, duck, frame
@@ -168,6 +168,53 @@ def infrastructure_entries(spark, sf_dir):
     return parsers.entries(tf.union(ci).union(img)).select("path", "line", "rule_name", "value")
 
 
+CHANGES = """SELECT concat('c', CAST(o_orderkey AS STRING)) AS commit_hash, concat('f', CAST(o_custkey % 3 AS STRING)) AS file, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('o', CAST(o_custkey % 7 AS STRING)) END AS old_blob,
+concat('n', CAST(o_custkey % 40 AS STRING)) AS new_blob FROM {orders}"""
+RUNS = """SELECT DISTINCT concat('o', CAST(o_custkey % 7 AS STRING)) AS old_blob, concat('n', CAST(o_custkey % 40 AS STRING)) AS new_blob, CAST(o_custkey % 5 * 6 + 1 AS INT) AS first, CAST(o_custkey % 5 * 6 + 4 AS INT) AS last FROM {orders}"""
+IN_BLOBS = """SELECT concat('n', CAST(p_partkey % 50 AS STRING)) AS blob, concat('f', CAST(p_size % 3 AS STRING)) AS file, CAST(p_size AS INT) AS line, md5(p_name) AS value FROM {part} WHERE p_partkey <= 2000"""
+
+
+@query(f"""WITH c AS ({duck(CHANGES)}), r AS ({duck(RUNS)}), f AS ({duck(IN_BLOBS)})
+SELECT commit_hash, c.file, line, value FROM c JOIN f ON c.file = f.file AND c.new_blob = f.blob
+WHERE c.old_blob IS NULL OR EXISTS (SELECT 1 FROM r WHERE r.old_blob = c.old_blob AND r.new_blob = c.new_blob AND f.line BETWEEN r.first AND r.last)""")
+def history_by_object(spark, sf_dir):
+    """Findings of distinct file contents given to the commits that added their lines."""
+    return repository.in_added_lines(*(frame(spark, sf_dir, x) for x in (CHANGES, RUNS, IN_BLOBS))).select("commit_hash", "file", "line", "value")
+
+
+@query("""SELECT 'd' || doc_id || '.zip' AS archive_path, 'd' || doc_id || '.zip!' || m AS path, CASE m WHEN 'in.tar.xz!copy.txt' THEN md5('copy ' || text) ELSE md5(text) END AS digest, 'ok' AS status FROM documents, (SELECT unnest(['text.txt', 'in.tar.xz!copy.txt']) AS m) WHERE text IS NOT NULL
+UNION ALL SELECT 'd' || doc_id || '.zip', 'd' || doc_id || '.zip!in.tar.xz!../x', NULL, 'skipped' FROM documents WHERE text IS NOT NULL""")
+def archive_members(spark, sf_dir):
+    """Every document in a zip file, and again in a compressed tar file inside that."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("path"), "text")
+    found = archives.rows(docs.mapInPandas(packed, "path string, content binary"))
+    return found.select("archive_path", "path", F.md5(F.col("content").cast("binary")).alias("digest"), "status")
+
+
+def packed(batches):
+    """Archives of the texts of a batch (path, text)."""
+    import io
+    import tarfile
+    import zipfile
+
+    import pandas as pd
+
+    for pdf in batches:
+        rows = []
+        for path, text in zip(pdf["path"], pdf["text"]):
+            inner, outer = io.BytesIO(), io.BytesIO()
+            with tarfile.open(fileobj=inner, mode="w:xz", preset=0) as t:
+                for name, body in (("copy.txt", f"copy {text}".encode()), ("../x", b"x")):
+                    info = tarfile.TarInfo(name)
+                    info.size = len(body)
+                    t.addfile(info, io.BytesIO(body))
+            with zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("text.txt", text)
+                z.writestr("in.tar.xz", inner.getvalue())
+            rows.append((path, outer.getvalue()))
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+
 @query("SELECT 'c' || o_orderkey AS commit_hash, 'src/f' || o_custkey % 7 || '.py' AS file, (o_orderkey % 50 + 1 + k)::INT AS line, 'key = ' || o_orderkey || k AS text FROM orders, (SELECT unnest([0, 1]) AS k) UNION ALL SELECT 'c' || o_orderkey, 'src/f' || o_custkey % 7 || '.py', (o_orderkey % 50 + 100)::INT, '++x' FROM orders")
 def added_lines(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

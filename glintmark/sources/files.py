@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import dims
+from .repository import git_commits  # noqa: F401  part of this module's interface
 from .workers import reach
 
 
@@ -42,9 +43,10 @@ def texts(binary: DataFrame, skip_nul: bool = False) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """path, line (from 1), text as it is."""
+    """path, line (from 1, or from the column first_line of files that come in parts), text as it is."""
+    first = F.coalesce(F.col("first_line").cast("int"), F.lit(1)) if "first_line" in files.columns else F.lit(1)
     at = F.posexplode(F.split("content", "\n"))
-    return files.select("path", at.alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line"), "text")
+    return files.select("path", first.alias("first"), at.alias("pos", "text")).select("path", (F.col("pos") + F.col("first")).alias("line"), "text")
 
 
 def documents_as_files(documents: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def documents_as_files(documents: DataFrame) -> DataFrame:
 
 
 ROUTES = {
-    "binary": "(?i)\\.(zip|jar|war|ear|apk|ipa|tar|tgz|tbz2|gz|bz2|7z|sqlite3?|db|p12|pfx|jks|keystore)$",
+    "binary": "(?i)\\.(zip|jar|war|ear|apk|ipa|tar|tgz|tbz2|txz|gz|bz2|xz|7z|sqlite3?|db|p12|pfx|jks|keystore)$",
     "docker": "(?i)(^|/)dockerfile(\\.[^/]*)?$|\\.dockerfile$",
     "iac": "(?i)\\.(tf|tfvars|hcl)$|(template|stack|cloudformation|cfn|cf-|cf_)[^/]*\\.(ya?ml|json)$",
     "cicd": "(?i)\\.github/workflows/[^/]*\\.ya?ml$|(^|/)\\.gitlab-ci\\.yml$|\\.circleci/config\\.yml$|(^|/)jenkinsfile(\\.groovy)?$",
@@ -79,7 +81,8 @@ def changed_only(files: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def _git(repo: str, *args: str) -> str:
-    return subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, check=True, timeout=600).stdout
+    """What git prints; bytes that aren't UTF-8 become U+FFFD, names aren't quoted for letters beyond ASCII."""
+    return subprocess.run(["git", "-C", repo, "-c", "core.quotePath=false", *args], capture_output=True, check=True, timeout=600).stdout.decode("utf-8", "replace")
 
 
 def git_changed(spark: SparkSession, repo: str, ref: str | None = None) -> DataFrame:
@@ -88,14 +91,6 @@ def git_changed(spark: SparkSession, repo: str, ref: str | None = None) -> DataF
     return spark.createDataFrame([(f"{repo.rstrip('/')}/{p}",) for p in out.split("\0") if p], "path string")
 
 
-def git_commits(spark: SparkSession, repo: str, since: str | None = None, until: str | None = None, branch: str | None = None, path: str | None = None, most: int | None = None) -> DataFrame:
-    """log_ix (newest first), commit_hash, commit_timestamp, commit_author, commit_message."""
-    args = ["log", "--format=%H%x1f%ct%x1f%an <%ae>%x1f%s%x1e"]
-    args += [f"--since={since}"] * bool(since) + [f"--until={until}"] * bool(until) + [f"--max-count={most}"] * bool(most) + [branch] * bool(branch) + (["--", path] if path else [])
-    rows = [x.strip("\n").split("\x1f") for x in _git(repo, *args).split("\x1e") if x.strip()]
-    return spark.createDataFrame([(i, h, int(t), a, m) for i, (h, t, a, m) in enumerate(rows)], "log_ix int, commit_hash string, commit_timestamp long, commit_author string, commit_message string")
-
-
 def git_diffs(spark: SparkSession, repo: str, commits: list[str] | DataFrame, root: bool = True) -> DataFrame:
     """commit_hash, diff (unified, no context) of each commit; the first commit counts unless root is off.
 
@@ -115,14 +110,28 @@ def git_diffs(spark: SparkSession, repo: str, commits: list[str] | DataFrame, ro
     return dealt.mapInPandas(run, "commit_hash string, diff string")
 
 
+def plain_name(name: Column) -> Column:
+    """A name as git prints it behind `+++ `: a tab may follow it, and odd ones are quoted, with bytes in octal."""
+    parts = F.split(F.regexp_extract(name, '(?s)^"(.*)"\t?$', 1), "(?=(?<!\\\\)\\\\[0-7]{3})")
+    octal = lambda p: F.concat(F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0"), F.hex(F.substring(p, 5, 1 << 30).cast("binary")))
+    bytes_of = F.unhex(F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\\\[0-7]{3}"), octal(p)).otherwise(F.hex(p.cast("binary")))), ""))
+    plain = F.make_valid_utf8(bytes_of.cast("string"))
+    for mark, real in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
+        plain = F.replace(plain, F.lit(mark), F.lit(real))
+    return F.when(name.startswith('"'), plain).otherwise(F.regexp_replace(name, "\t$", ""))
+
+
 def added_lines(diffs: DataFrame) -> DataFrame:
     """commit_hash, file, line, text of every added line, from diffs without context.
 
     A hunk's header gives its first new line; a line's number follows from its place in the hunk. All in expressions:
-    a diff is cut at file headers, these at hunk headers, these into lines.
+    a diff is cut at file headers, these at hunk headers, these into lines. What stands before the first hunk is the header, so an
+    added line that looks like one is none.
     """
     one = diffs.select("commit_hash", F.explode(F.split("diff", "(?m)^diff --git ")).alias("part"))
-    one = one.select("commit_hash", F.regexp_extract("part", "(?m)^\\+\\+\\+ b/(.*)$", 1).alias("file"), F.explode(F.slice(F.split("part", "(?m)^@@ "), 2, 1 << 30)).alias("hunk")).where("file <> ''")
+    cut = F.split("part", "(?m)^@@ ")
+    name = plain_name(F.regexp_extract(F.get(cut, F.lit(0)), '(?m)^\\+\\+\\+ ("?b/.*)$', 1))
+    one = one.select("commit_hash", F.regexp_replace(name, "^b/", "").alias("file"), F.explode(F.slice(cut, 2, 1 << 30)).alias("hunk")).where("file <> ''")
     start = F.regexp_extract("hunk", "^-\\S+ \\+(\\d+)", 1).cast("int")
     plus = F.filter(F.slice(F.split("hunk", "\n"), 2, 1 << 30), lambda x: x.startswith("+"))
     return one.select("commit_hash", "file", start.alias("start"), F.posexplode(plus).alias("k", "raw")).select("commit_hash", "file", (F.col("start") + F.col("k")).alias("line"), F.substring("raw", 2, 1 << 30).alias("text"))

@@ -6,18 +6,13 @@ whole texts are expressions. Everything is dealt by file; one file is read by on
 
 from __future__ import annotations
 
-import bz2
-import gzip
 import io
 import json
-import math
 import posixpath
 import re
 import sqlite3
 import tarfile
 import tempfile
-import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import archives
 
 ITEM = "path string, key string, value string, line int, type string"
 
@@ -273,80 +269,36 @@ def pipeline_platform(path: Column, content: Column) -> Column:
     )
 
 
-def safe_member(name: str) -> bool:
-    norm = posixpath.normpath(name.replace("\\", "/"))
-    return not (norm.startswith(("/", "..")) or re.match(r"^[A-Za-z]:", norm))
-
-
-def members(name: str, data: bytes, most_bytes: int | None = None, most_files: int | None = None) -> Iterator[tuple[str, bytes | None]]:
-    """(name, bytes) of an archive's files that stay inside it; no bytes for those beyond a limit, if one is set."""
-    low = name.lower()
-    left, n = math.inf if most_bytes is None else most_bytes, 0
-    most_files = math.inf if most_files is None else most_files
-    if low.endswith((".zip", ".jar", ".war", ".ear", ".apk", ".ipa")):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in z.infolist():
-                if info.is_dir() or not safe_member(info.filename):
-                    continue
-                if info.file_size > left or n >= most_files:
-                    yield info.filename, None
-                    continue
-                left, n = left - info.file_size, n + 1
-                yield info.filename, z.read(info)
-    elif low.endswith((".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz")):
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for m in t:
-                if not m.isfile() or not safe_member(m.name):
-                    continue
-                if m.size > left or n >= most_files:
-                    yield m.name, None
-                    continue
-                left, n = left - m.size, n + 1
-                yield m.name, t.extractfile(m).read()
-    elif low.endswith((".gz", ".bz2")):
-        opened = gzip.GzipFile(fileobj=io.BytesIO(data)) if low.endswith(".gz") else bz2.BZ2File(io.BytesIO(data))
-        body = opened.read() if most_bytes is None else opened.read(most_bytes + 1)
-        yield posixpath.basename(name).rsplit(".", 1)[0], body if len(body) <= left else None
-
-
-ARCHIVE = re.compile(r"(?i)\.(zip|jar|war|ear|apk|ipa|tar|tar\.gz|tgz|tar\.bz2|tbz2|tar\.xz|gz|bz2)$")
-BROKEN = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, RuntimeError, NotImplementedError, zlib.error)
-
-
-def nested(path: str, data: bytes, most_bytes: int | None, most_files: int | None, depth: int) -> Iterator[tuple[str, bytes | None]]:
-    """Files of an archive and of those in it, down to depth; the path of an inner one goes on behind a `!`."""
-    try:
-        for name, body in members(path, data, most_bytes, most_files):
-            if body is not None and ARCHIVE.search(name):
-                yield from nested(f"{path}!{name}", body, most_bytes, most_files, depth - 1) if depth > 1 else [(f"{path}!{name}", None)]
-            else:
-                yield f"{path}!{name}", body
-    except BROKEN:
-        return
-
-
 def archive_files(binary: DataFrame, most_bytes: int | None = None, most_files: int | None = None, depth: int = 5) -> DataFrame:
-    """path (archive!member), archive_path, content of files inside archives (and archives in them), skipped; damaged ones give none.
+    """path (archive!member), archive_path, content of files inside archives (and archives in them), skipped.
 
-    Without limits nothing is skipped but what lies deeper than depth. With limits (against archive bombs) a member beyond them
-    is a row without content.
+    What can't be read isn't there; `archives.rows` has it, with the reason. With limits (against archive bombs) a member beyond them is a
+    row without content, like one that lies deeper than depth.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                for name, body in nested(path, bytes(data), most_bytes, most_files, depth):
-                    row = (name, path, None if body is None else body.decode("utf-8", "replace"), body is None)
-                    yield pd.DataFrame([row], columns=["path", "archive_path", "content", "skipped"])
-
-    return binary.select("path", "content").mapInPandas(run, "path string, archive_path string, content string, skipped boolean")
+    told = archives.rows(binary, most_bytes, most_files, depth).where("status <> 'failed' and coalesce(reason, '') not like '%outside%'")
+    return told.select("path", "archive_path", "content", (F.col("status") == "skipped").alias("skipped"))
 
 
 NAMES = re.compile(r"(?i)secret|token|passw|pwd|key|auth|cred|user|account|login|config|setting")
 
 
-def sqlite_items(binary: DataFrame, rows_per_table: int | None = None) -> DataFrame:
-    """Strings of over 8 characters in telling columns of telling tables of SQLite files, rows_per_table of each table (None: all)."""
+def sqlite_rows(binary: DataFrame, rows_per_table: int | None = None) -> DataFrame:
+    """Strings of over 8 characters in telling columns of telling tables of SQLite files, rows_per_table of each table (None: all).
+
+    A table that can't be read gives what came before the damage and a row of type `failed` with the reason as value; the other tables come. Rows are
+    numbered as SQLite scans them: by rowid, or by primary key where there is none.
+    """
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    frame = lambda rows: pd.DataFrame(rows, columns=["path", "key", "value", "line", "type"]).astype({"line": "Int32"})
+
+    def table_rows(path: str, db: sqlite3.Connection, table: str) -> Iterator[tuple]:
+        try:
+            cursor = db.execute(f"select * from {quoted(table)} limit ?", (-1 if rows_per_table is None else rows_per_table,))
+            columns = [c[0] for c in cursor.description]
+            for n, row in enumerate(cursor):
+                yield from ((path, f"{table}.{c}", v, n + 1, "sqlite") for c, v in zip(columns, row) if isinstance(v, str) and len(v) > 8 and NAMES.search(c))
+        except sqlite3.Error as e:
+            yield path, table, str(e), None, "failed"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -355,27 +307,29 @@ def sqlite_items(binary: DataFrame, rows_per_table: int | None = None) -> DataFr
                 with tempfile.NamedTemporaryFile(suffix=".db") as f:  # one task's own copy, gone with it
                     f.write(bytes(data))
                     f.flush()
+                    db = sqlite3.connect(f"file:{f.name}?mode=ro", uri=True)
+                    db.text_factory = lambda b: b.decode("utf-8", "replace")
                     try:
-                        db = sqlite3.connect(f"file:{f.name}?mode=ro", uri=True)
-                        quoted = lambda x: '"' + x.replace('"', '""') + '"'
-                        for (table,) in db.execute("select name from sqlite_master where type = 'table' order by name").fetchall():
-                            if not NAMES.search(table):
-                                continue
-                            cursor = db.execute(f"select * from {quoted(table)} order by rowid limit ?", (-1 if rows_per_table is None else rows_per_table,))
-                            columns = [c[0] for c in cursor.description]
-                            for n, row in enumerate(cursor):
-                                rows += [(path, f"{table}.{c}", v, n + 1, "sqlite") for c, v in zip(columns, row) if isinstance(v, str) and len(v) > 8 and NAMES.search(c)]
-                                if len(rows) >= 10_000:
-                                    yield pd.DataFrame(rows, columns=["path", "key", "value", "line", "type"]).astype({"line": "Int32"})
-                                    rows = []
-                        db.close()
-                    except sqlite3.Error:
-                        pass
-                yield pd.DataFrame(rows, columns=["path", "key", "value", "line", "type"]).astype({"line": "Int32"})
+                        tables = [t for (t,) in db.execute("select name from sqlite_master where type = 'table' order by name").fetchall() if NAMES.search(t)]
+                    except sqlite3.Error as e:
+                        tables, rows = [], [(path, None, str(e), None, "failed")]
+                    for table in tables:
+                        for row in table_rows(path, db, table):
+                            rows.append(row)
+                            if len(rows) >= 10_000:
+                                yield frame(rows)
+                                rows = []
+                    db.close()
+                yield frame(rows)
 
     return binary.select("path", "content").mapInPandas(run, ITEM)
 
 
+def sqlite_items(binary: DataFrame, rows_per_table: int | None = None) -> DataFrame:
+    """sqlite_rows without the tables that couldn't be read."""
+    return sqlite_rows(binary, rows_per_table).where("type <> 'failed'")
+
+
 def image_entries(binary: DataFrame) -> DataFrame:
     """Credentials baked into image archives: environment of the configuration, key-value lines of layers' text files."""
     pair = re.compile(r"(?im)^\s*([A-Z0-9_.-]*(?:SECRET|TOKEN|PASSW(?:OR)?D|API_?KEY|ACCESS_?KEY|PRIVATE_?KEY|CREDENTIAL)[A-Z0-9_.-]*)\s*[:=]\s*[\"']?([^\s\"'#]{4,})")
