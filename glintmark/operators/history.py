@@ -80,6 +80,7 @@ def scan_repository(spark, repo: str, config=None, exclusions: dict | None = Non
     # The name goes on behind the object's id, so that equal names with other contents are other files.
     path = F.concat_ws("/", "blob", "file")
     found = engine.scan(spark, S.texts(texts.select(path.alias("path"), "content")), replace(config or engine.ScanConfig(), deduplicate=False))
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)  # few against the texts; the joins below read them several times
     x = found.withColumns({"blob": F.substring_index("path", "/", 1), "file": F.expr("substring(path, instr(path, '/') + 1)")}).drop("path")
     x = with_lines(x, S.texts(texts.select(path.alias("path"), "content")).select(F.substring_index("path", "/", 1).alias("blob"), "content").dropDuplicates(["blob"]))
     x = R.in_added_lines(changes, R.added_ranges(spark, repo, changes), x).withColumnRenamed("file", "path")
