@@ -10,14 +10,14 @@ from ..plans import dims
 
 #: Lines before and after a finding that count for a group of contexts.
 FRAMES = {"code": (-5, 5), "config": (-9, 5), "api": (-10, 10)}
-#: Lines of a file that one window task takes; longer files are split.
-BLOCK = 8192
+#: Lines of a file that one window task takes; longer files are split. Lines that are joined to texts come in smaller blocks.
+BLOCK, SPAN = 8192, 256
 CONFIG_FILE = "(?i)\\.(ya?ml|json|toml|ini|conf|cfg|env)$|config"
 
 
 def _hits(group: str, text: Column) -> Column:
-    """Names of the group's contexts that match."""
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?im){rx}"), n) for g, n, _, rx in dims.CONTEXTS if g == group]))
+    """Names of the group's contexts that match; only line feeds end lines."""
+    return F.array_compact(F.array(*[F.when(text.rlike(f"(?imd){rx}"), n) for g, n, _, rx in dims.CONTEXTS if g == group]))
 
 
 def _block(line: Column) -> Column:
@@ -37,19 +37,28 @@ def _own(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("block").eqNullSafe(_block(F.col("line")))).drop("block")
 
 
-def line_contexts(lines: DataFrame, findings: DataFrame, frame: int = 5) -> DataFrame:
-    """path, line, code, config, api: contexts in the window around each line with a finding.
+def line_contexts(lines: DataFrame, findings: DataFrame, frame: int = 5, block: int = SPAN) -> DataFrame:
+    """path, line, code, config, api: contexts in the text of the lines around each line with a finding.
 
-    Contexts are looked for in single lines, so the windows carry short arrays of names, not text. Only files with
-    findings take part.
+    A pattern may go over line ends: it is looked for in the window's lines, joined. Lines are brought together in blocks that overlap by the widest window, only
+    those that hold a finding's window, so neither a long file nor one with many findings is a large group. The block's size changes nothing.
     """
-    own = lines.join(findings.select("path").distinct(), "path", "left_semi").select("path", "line", *[_hits(g, F.col("text")).alias(g) for g in FRAMES])
-    order = Window.partitionBy("path", "block").orderBy("line")
     spans = FRAMES | {"code": (-frame, frame)}
-    near = {g: F.array_distinct(F.flatten(F.collect_list(g).over(order.rangeBetween(*spans[g])))) for g in FRAMES}
-    near["config"] = F.when(F.col("path").rlike(CONFIG_FILE), near["config"]).otherwise(F.array().cast("array<string>"))
-    cut = _blocks(own, max(-a for a, _ in spans.values()), max(b for _, b in spans.values()))
-    return _own(cut.select("path", "line", "block", *[near[g].alias(g) for g in FRAMES]))
+    before, after = max(-a for a, _ in spans.values()), max(b for _, b in spans.values())
+    number = lambda line: F.floor(line / block)
+    wanted = findings.where("line is not null").select("path", "line").distinct().withColumn("block", number(F.col("line")))
+    reached = F.explode(F.sequence(number(F.col("line") - after), number(F.col("line") + before)))
+    held = lines.select("path", "line", "text", reached.alias("block")).join(wanted.select("path", "block").distinct(), ["path", "block"], "left_semi")
+    together = held.groupBy("path", "block").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("lines"))
+
+    def near(group: str) -> Column:
+        first, last = spans[group]
+        own = F.filter("lines", lambda x: x["line"].between(F.col("line") + first, F.col("line") + last))
+        return X.let(F.array_join(F.transform(own, lambda x: x["text"]), "\n"), lambda text: _hits(group, text))
+
+    none = F.array().cast("array<string>")
+    x = wanted.join(together, ["path", "block"])
+    return x.select("path", "line", near("code").alias("code"), F.when(F.col("path").rlike(CONFIG_FILE), near("config")).otherwise(none).alias("config"), near("api").alias("api"))
 
 
 def file_contexts(path: Column) -> Column:
@@ -98,6 +107,15 @@ def adjusted_severity(severity: Column, risk: Column, confidence: Column) -> Col
     return F.when(at > 0, F.get(steps, (to - 1).cast("int"))).otherwise(severity)
 
 
+def reasoning(modifier: Column, primary: Column) -> Column:
+    """Why a confidence was changed, in words (fixed values)."""
+    high = F.concat(F.lit("High confidence due to "), primary, F.lit(" context in production-like environment"))
+    return (
+        F.when(modifier > 1.3, high).when(modifier > 1.0, F.concat(F.lit("Increased confidence due to "), primary, F.lit(" context")))
+        .when(modifier < 0.5, "Reduced confidence due to test/example context").otherwise(F.concat(F.lit("Standard confidence with "), primary, F.lit(" context")))
+    )
+
+
 def with_context(findings: DataFrame, files: DataFrame, lines: DataFrame, frame: int = 5, least: float = 0.1, most: float = 2.0) -> DataFrame:
     """Findings with contexts, context_modifier, risk_level, confidence times the modifier, adjusted severity."""
     near = line_contexts(lines, findings, frame)
@@ -111,8 +129,9 @@ def with_context(findings: DataFrame, files: DataFrame, lines: DataFrame, frame:
     primary = F.coalesce(*[F.get(F.col(g), F.lit(0)) for g in ("api", "config", "framework", "code", "file")], F.lit("unknown"))
     x = x.withColumns({"contexts": every, "primary_context": primary}).withColumn("risk_level", risk_level(F.col("contexts"), F.col("context_modifier")))
     x = x.withColumn("confidence", F.round(F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.7)) * F.col("context_modifier")), 2))
-    reason = F.when(F.size("contexts") == 0, "No context").otherwise(F.concat(F.lit("Contexts: "), F.array_join("contexts", ", "), F.lit("; modifier "), F.format_number("context_modifier", 2)))
-    return x.withColumns({"confidence_reasoning": reason, "severity": adjusted_severity(F.col("severity"), F.col("risk_level"), F.col("confidence"))}).drop(*groups)
+    told = F.create_map(*[F.lit(v) for kv in dims.DESCRIPTIONS.items() for v in kv])
+    described = F.transform("contexts", lambda n: F.element_at(told, n))
+    return x.withColumns({"confidence_reasoning": reasoning(F.col("context_modifier"), F.col("primary_context")), "context_descriptions": described, "severity": adjusted_severity(F.col("severity"), F.col("risk_level"), F.col("confidence"))}).drop(*groups)
 
 
 def config_section(lines: DataFrame, reach: int = 15) -> DataFrame:

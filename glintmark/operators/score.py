@@ -9,6 +9,7 @@ from ..functions import text as X
 
 # Weights of the factors.
 WEIGHTS = {"pattern": 0.30, "context": 0.25, "entropy": 0.20, "technology": 0.15, "environment": 0.05, "validation": 0.05}
+# Scores of technologies, and names and values that tell, are usual, or are doubtful.
 TECHNOLOGY_SCORES = {"aws": 0.9, "gcp": 0.9, "azure": 0.9, "github": 0.85, "stripe": 0.85, "slack": 0.8, "generic": 0.6}
 TELLING_NAME = "(?i)api[_-]?key|secret[_-]?key|private[_-]?key|access[_-]?token|auth[_-]?token|bearer[_-]?token|aws[_-]?access[_-]?key|github[_-]?token|slack[_-]?token|stripe[_-]?key|twilio[_-]?auth"
 TELLING_VALUE = "^[A-Za-z0-9+/]{40,}={0,2}$|^[0-9a-f]{32,}$|^[A-Za-z0-9_-]{20,}$"

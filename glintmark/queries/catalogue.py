@@ -393,18 +393,37 @@ def context_sql(group: str) -> str:
     return "list_concat(" + ", ".join(f"CASE WHEN regexp_matches(text, {quote('(?im)' + rx)}) THEN ['{n}'] ELSE [] END" for g, n, _, rx in dims.CONTEXTS if g == group) + ")"
 
 
-FLAGS = f"(SELECT path, line, {context_sql('code')} AS code, {context_sql('config')} AS config, {context_sql('api')} AS api FROM {CODES})"
+def windows_sql(rows: str) -> str:
+    """Contexts of every line of rows (path, line, text), from the joined text of its window."""
+    frames = {"code": (5, 5), "config": (9, 5), "api": (10, 10)}
+    texts = ", ".join(f"string_agg(text, chr(10)) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN {a} PRECEDING AND {b} FOLLOWING) AS {g}_text" for g, (a, b) in frames.items())
+    named = {g: f"array_to_string(list_sort({context_sql(g).replace('regexp_matches(text', f'regexp_matches({g}_text')}), ',')" for g in frames}
+    return f"SELECT path, line::INT AS line, {named['code']} AS code, CASE WHEN regexp_matches(path, {quote(context.CONFIG_FILE)}) THEN {named['config']} ELSE '' END AS config, {named['api']} AS api FROM (SELECT path, line, {texts} FROM {rows})"
 
 
-@query(f"""SELECT path, line, coalesce(array_to_string(list_sort(list_distinct(flatten(list(code) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)))), ','), '') AS code,
-CASE WHEN regexp_matches(path, {quote(context.CONFIG_FILE)}) THEN coalesce(array_to_string(list_sort(list_distinct(flatten(list(config) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 9 PRECEDING AND 5 FOLLOWING)))), ','), '') ELSE '' END AS config,
-coalesce(array_to_string(list_sort(list_distinct(flatten(list(api) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)))), ','), '') AS api FROM {FLAGS}""")
+@query(windows_sql(CODES))
 def context_windows(spark, sf_dir):
     lines = frame(spark, sf_dir, CODE)
     x = context.line_contexts(lines, lines)
     return x.select("path", "line", *[F.array_join(F.array_sort(g), ",").alias(g) for g in ("code", "config", "api")])
 
 
+# Lines whose contexts go over line ends.
+SPLIT_CODE = """
+SELECT concat(CASE WHEN o_custkey % 2 = 0 THEN 'config/s' ELSE 'src/s' END, CAST(o_custkey AS STRING), '.yml') AS path, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS line,
+  CASE CAST(o_orderkey % 17 AS INT) WHEN 0 THEN 'try' WHEN 1 THEN '  {' WHEN 2 THEN 'const' WHEN 3 THEN 'LIMIT' WHEN 4 THEN '' WHEN 5 THEN 'redis' WHEN 6 THEN '  : 1' WHEN 7 THEN 'signature' WHEN 8 THEN 'verification' WHEN 9 THEN 'query'
+       WHEN 10 THEN 'lambda' WHEN 11 THEN ', x' WHEN 12 THEN 'bearer' WHEN 13 THEN 'token' WHEN 14 THEN 'api.a' WHEN 15 THEN 'b.com' ELSE 'y' END AS text
+FROM {orders}
+"""
+
+
+@query(windows_sql(f"({duck(SPLIT_CODE)})"))
+def contexts_over_lines(spark, sf_dir):
+    lines = frame(spark, sf_dir, SPLIT_CODE)
+    x = context.line_contexts(lines, lines)
+    return x.select("path", "line", *[F.array_join(F.array_sort(g), ",").alias(g) for g in ("code", "config", "api")])
+
+
 @query(f"""WITH s AS (SELECT path, line, coalesce(nullif(regexp_extract(text, '^\\s*([a-zA-Z_][a-zA-Z0-9_]*):', 1), ''), nullif(regexp_extract(text, '^\\s*\\[([^\\]]+)\\]', 1), ''), nullif(regexp_extract(text, '^\\s*"([^"]+)"\\s*:', 1), '')) AS own FROM {CODES})
 SELECT path, line, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 15 PRECEDING AND CURRENT ROW), 'root') AS section FROM s""")
 def config_sections(spark, sf_dir):

@@ -420,3 +420,25 @@ def test_merged_methods_are_bounded(spark):
     rows = [("a.py", 5 + k % 5, "VALUE1234", "high", 0.5 + k % 2 / 10, f"rule{k % 3}", "p") for k in range(600)]
     x = merge.merged(spark.createDataFrame(rows, "path string, line int, value string, severity string, confidence double, rule_name string, pattern string")).first()
     assert x.detection_count == 600 and sorted(m.n for m in x.detection_methods) == [200, 200, 200] and x.confidence == 0.6 and x.severity == "high"
+
+
+@pytest.mark.parametrize("block", [1, 3, 16, 256])
+def test_contexts_over_line_ends(spark, block):
+    text = ["x"] * 40
+    text[10:12], text[20:24] = ["try", "  {"], ["const", "", "", "LIMIT = 1"]
+    files = spark.createDataFrame([("a.py", "\n".join(text))], "path string, content string")
+    rows = S.lines(files)
+    got = {r.line: set(r.code) for r in context.line_contexts(rows, rows, block=block).collect()}
+    # Lines 11 and 12 hold the first, 21 to 24 the second: a window counts if it holds all of them.
+    assert {k for k, v in got.items() if "error_handling" in v} == set(range(7, 17)) and {k for k, v in got.items() if "constants_global" in v} >= set(range(19, 27))
+    assert len(got) == 40
+
+
+def test_reasoning_and_descriptions(spark):
+    files = spark.createDataFrame([("prod/app.py", "requests.get('/api/v1')\nkey = 1"), ("test/app.py", "call(1)")], "path string, content string")
+    found = S.lines(files).where("text in ('key = 1', 'call(1)')").select("path", "line", F.lit("high").alias("severity"), F.lit(0.5).alias("confidence"))
+    got = {r.path: r for r in context.with_context(found, files, S.lines(files)).collect()}
+    assert got["prod/app.py"].confidence_reasoning.startswith("High confidence due to ") and got["test/app.py"].confidence_reasoning == "Reduced confidence due to test/example context"
+    assert "Production environment indicators" in got["prod/app.py"].context_descriptions and len(got["prod/app.py"].context_descriptions) == len(got["prod/app.py"].contexts)
+    rows = spark.createDataFrame([(1.4,), (1.2,), (1.0,), (0.4,)], "m double").select(context.reasoning(F.col("m"), F.lit("api_middleware")).alias("r")).collect()
+    assert [r.r for r in rows] == ["High confidence due to api_middleware context in production-like environment", "Increased confidence due to api_middleware context", "Standard confidence with api_middleware context", "Reduced confidence due to test/example context"]
