@@ -5,18 +5,18 @@ punctuation marks and linked characters are summed and divided by the path's blo
 page with a Gaussian window, fused (geometric mean of length and of one plus punctuation) and averaged again per path,
 less the path's share of linked text. Paths that reach a share of the page's spread are content: all their blocks are
 kept, so a short paragraph of an article stays. Blocks of an article, main or labelled element take the best score of its
-paths, less their own path's link share, so short lists, tables and code of a kept article stay too.
+paths, less their own path's link share (half of it within an article or main element where blocks of the path have punctuation), so short lists, references, tables and code of a kept article stay too.
 
 What tags and names say is a factor on top, never a verdict: as the threshold is relative, a factor that holds for the
 whole page (a wrapper called `has-sidebar`, one form around everything) changes nothing. An article or main element counts
 INSIDE, an element labelled as main LABELLED, one labelled as boilerplate (`comments`, `ad`, ...) DOUBT; an article or main
 inside such a wrapper starts anew from the wrapper's factor. HTML's own elements for what isn't the article (nav, footer, aside,
-header outside of an article, ...) count ASIDE, and so does a form, unless it has much text for each of its controls: then only
-the places beside its controls do. A page whose best path stays below LEAST has no main text.
+header outside of an article, ...) count ASIDE, and so do the places beside a form's controls; places for reader comments (by a whole name, so a wrapper called
+`has-comments` isn't one) count REMARKS. The rest of a form counts ASIDE, too, unless it is most of the page's text: then the form is a wrapper. A page whose best path stays below LEAST has no main text.
 
 Everything is linear in the page's size and depth. White space is what str.split takes for it, so U+00A0 and U+001C to U+001F
 become single spaces, too. Null or empty html gives an empty text. Broken markup is read as browsers do: unclosed paragraphs and
-items end where the next begins, an unclosed comment, script or tag runs to the end. Rows that repeat are kept as rows.
+items end where the next begins (only elements of BLOCKS end a paragraph; those within skipped ones, such as drawings and players, change nothing), an unclosed comment, script or tag runs to the end. Rows that repeat are kept as rows.
 Further columns are kept; html goes, and a column with the text's name is replaced.
 """
 
@@ -35,7 +35,11 @@ from . import shared
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title head".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: Elements that are blocks of their own and end an open paragraph; all others, unknown ones too, are within a line.
+BLOCKS = frozenset(
+    "html body address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu "
+    "nav ol optgroup option p plaintext pre search section summary table caption colgroup tbody td tfoot th thead tr ul xmp".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag ends: open elements of these names, not beyond the bounds.
 ENDS = {
@@ -44,8 +48,8 @@ ENDS = {
 }
 BOILERPLATE_TAGS = frozenset("nav footer aside dialog menu address".split())
 MAIN_TAGS = frozenset(("article", "main"))
-#: What makes a form a form, and how many characters for each of them make it a wrapper.
-CONTROLS, FORM_TEXT = frozenset("input select textarea button".split()), 200
+#: What makes a form a form.
+CONTROLS = frozenset("input select textarea button".split())
 FORMS = frozenset(("form", "fieldset"))
 #: Words of class, id and role attributes.
 BOILERPLATE = frozenset(
@@ -54,9 +58,13 @@ BOILERPLATE = frozenset(
     "recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags toc toolbar "
     "widget widgets alert".split()
 )
+#: A whole name of a class, id or role by which a place for reader comments goes.
+COMMENTS = re.compile(r"comments?([-_]?(\d+|list|section|area|thread|wrap|wrapper|container|body|text|content|form|block|box|item))?|(post|article|user|reader)[-_]?comments?|commentlist|disqus(_thread)?|responses?|repl(y|ies)|respond|discussion")
 MAIN = frozenset("article articlebody body content entry main post story text".split())
 #: Factors of the module's text.
-INSIDE, LABELLED, DOUBT, ASIDE = 2.0, 1.5, 0.2, 1e-6
+INSIDE, LABELLED, DOUBT, REMARKS, ASIDE = 2.0, 1.5, 0.2, 0.01, 1e-6
+#: How much of a link share counts against a block of a kept article that nothing speaks against, a list of references for one.
+LINKS_INSIDE = 0.5
 #: Gaussian width in blocks; share of the spread (mean and deviation of the paths' scores) that content reaches; least best score.
 WIDTH, SHARE, LEAST = 1.0, 0.35, 1e-3
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
@@ -76,15 +84,15 @@ class Element:
     __slots__ = ("name", "path", "controls", "factor", "form", "contents", "doubted", "main", "article", "block")
 
     def __init__(self, name: str, path: int, up: Element | None) -> None:
-        self.name, self.path, self.controls, self.block = name, path, int(name == "label"), self
+        self.name, self.path, self.controls, self.block = name, path, 0, self
         self.factor, self.form, self.contents, self.doubted, self.main, self.article = (up.factor, up.form, up.contents, up.doubted, up.main, up.article) if up else (1.0, None, None, 0, False, False)
 
 
 class Form:
-    __slots__ = ("chars", "controls")
+    __slots__ = ("chars",)
 
     def __init__(self) -> None:
-        self.chars = self.controls = 0
+        self.chars = 0
 
 
 class Content:
@@ -103,20 +111,23 @@ class Block:
         self.path, self.parts, self.text, self.linked, self.parent, self.factor = parent.path, [], "", 0, parent, parent.factor
 
 
-def _open(attributes: str) -> tuple[str, frozenset[str]]:
-    """The words of class, id and role: as they go into a path, and as a set."""
-    words = frozenset(w.lower() for m in LABELS.finditer(attributes) for x in m.groups()[1:] if x for w in WORD.findall(x))
-    return "".join(sorted({f".{w}" for w in words})), words
+def _open(attributes: str) -> tuple[str, frozenset[str], bool]:
+    """The words of class, id and role: as they go into a path, and as a set; whether a name says that reader comments are here."""
+    names = [x for m in LABELS.finditer(attributes) for x in m.groups()[1:] if x]
+    words = frozenset(w.lower() for x in names for w in WORD.findall(x))
+    return "".join(sorted({f".{w}" for w in words})), words, any(COMMENTS.fullmatch(t) for x in names for t in x.lower().split())
 
 
-def _judge(x: Element, words: frozenset[str]) -> None:
+def _judge(x: Element, words: frozenset[str], comments: bool) -> None:
     """What the element's tag and names say."""
     name = x.name
     doubtful = bool(words & BOILERPLATE) and name not in ("html", "body")
     if name in FORMS:
         x.form, doubtful = Form(), bool(words & BOILERPLATE - {"form"})
-    if name in BOILERPLATE_TAGS or (name == "header" and not x.article):
+    if name in BOILERPLATE_TAGS and not (name == "address" and x.main) or (name == "header" and not x.article):
         x.factor, x.contents, x.doubted = ASIDE, None, 2
+    elif comments and name not in ("html", "body"):
+        x.factor, x.contents, x.doubted = x.factor * (1.0 if x.doubted >= 2 else REMARKS), None, 2
     elif name in MAIN_TAGS and not doubtful:
         anew = not (x.article or x.main and name == "main")
         if anew:
@@ -187,23 +198,25 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[1] or m[4]:
             k = last((name,))
-            if not k:
-                block = block if name in INLINE else None
-            elif name in INLINE and stack[-1].block is not stack[k].block:  # an inline end tag doesn't close blocks
+            within = skipped > 0
+            if k and name not in BLOCKS and name not in SKIPPED and stack[-1].block is not stack[k].block:  # such an end tag doesn't close blocks
                 close(stack[k])
                 stack[k].name = ""
             else:
-                block = block if name in INLINE else None
-                pop(k)
+                if k:
+                    pop(k)
+                if name in BLOCKS and not (within and skipped):
+                    block = None
             continue
         attributes = m[3] if m[2] else m[6]
-        if name in CONTROLS and not HIDDEN.search(attributes):
+        if name in BLOCKS and (k := last(("head",))):
+            pop(k)
+        if name in CONTROLS and not HIDDEN.search(attributes) or name == "label":
             stack[-1].block.controls += 1
-            if stack[-1].form:
-                stack[-1].form.controls += 1
-        if name not in INLINE:
+        own = name in BLOCKS and not skipped  # what is within a skipped element changes nothing outside
+        if own:
             block = None
-            if name not in SKIPPED and (k := last(("p",))):
+            if k := last(("p",)):
                 pop(k)
             closes, bounds = ENDS.get(name, ((), ()))
             if closes and (k := last(closes)) > last(bounds):
@@ -211,13 +224,13 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
         up = stack[-1]
-        if name in INLINE:
+        if own:
+            label, words, comments = _open(attributes) if attributes else ("", frozenset(), False)
+            x = Element(name, paths.setdefault((up.path, name + label), len(paths) + 1), up)
+            _judge(x, words, comments)
+        else:
             x = Element(name, up.path, up)
             x.block = up.block
-        else:
-            label, words = _open(attributes) if attributes else ("", frozenset())
-            x = Element(name, paths.setdefault((up.path, name + label), len(paths) + 1), up)
-            _judge(x, words)
         open_at.setdefault(name, []).append(len(stack))
         stack.append(x)
         skipped += name in SKIPPED
@@ -226,13 +239,19 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             pop(len(stack) - 1)
             at = end.end() if end else n
+    whole = 0
     for b in out:
         b.text = " ".join("".join(b.parts).split())
-        if b.parent.form:
-            b.parent.form.chars += len(b.text)
+        form = b.parent.form
+        if form and b.parent.controls:
+            b.factor *= ASIDE
+        elif b.factor > ASIDE:
+            whole += len(b.text)
+            if form:
+                form.chars += len(b.text)
     for b in out:
         form = b.parent.form
-        if form and (b.parent.controls or form.chars <= FORM_TEXT * form.controls):
+        if form and not b.parent.controls and 2 * form.chars <= whole:
             b.factor *= ASIDE
     return [b for b in out if b.text]
 
@@ -280,7 +299,9 @@ def chosen(found: list[Block]) -> list[Block]:
             x.best = max(x.best, x.up.best if x.up else 0.0)
 
     def reaches(b: Block) -> bool:
-        given = b.parent.contents.best * plain[b.path] if b.parent.contents and b.factor == b.parent.factor else 0.0
+        listed = b.parent.main and not b.parent.doubted and sums[b.path][2] >= sums[b.path][0]
+        held = plain[b.path] if not listed else 1 - LINKS_INSIDE * (1 - plain[b.path])
+        given = b.parent.contents.best * held if b.parent.contents and b.factor == b.parent.factor else 0.0
         return max(score[b.path], given) >= max(least, 1e-9)
 
     return [b for b in found if reaches(b)]
