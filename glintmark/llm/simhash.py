@@ -15,6 +15,7 @@ null if there is none. Repeated rows and repeated doc_ids are kept as rows. Furt
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,7 +189,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ids needn't be unique or given, as rows are told apart by id and hashes. The choice is made on these small keys, which
     tasks sum up first. Rows that agree in them are equal; the join and their removal share one shuffle.
     """
-    others = [c for c in docs.columns if c not in (id_col, text_col) and docs.schema[c].dataType.typeName() not in ("map", "variant")]
+    own = lambda c: F.to_json(F.struct(c)) if re.search("map<|variant", docs.schema[c].dataType.simpleString()) else F.col(f"`{c}`")  # noqa: E731  no hash of maps
+    others = [own(c) for c in docs.columns if c not in (id_col, text_col)]
     mark = F.concat(F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")), F.lit(" "), F.hex(F.xxhash64(*others)) if others else F.lit(""))
     prints = shared.stored(fingerprints(docs, id_col, text_col, mark=mark), "simhash-prints")
     first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "fp", "mark")).alias("x")

@@ -239,3 +239,11 @@ def test_map_of_pairs_never_misses(spark):
     assert held.holds(h).all() and held.holds(rnd.integers(0, 1 << 64, 5000, dtype=np.uint64)).mean() < 0.02
     assert not phrases.PairMap(spark.createDataFrame([], "h long")).holds(h).any()
     assert held.bits == phrases.FEWEST_BITS
+
+
+def test_rows_that_differ_in_a_map_only(spark):
+    from glintmark.llm import simhash
+
+    rows = spark.createDataFrame([(1, "one two three four", {"a": 1}), (1, "one two three four", {"a": 1}), (1, "one two three four", {"b": 1}), (2, "quite another text here", None)], "doc_id long, text string, m map<string, int>")
+    kept = simhash.keep_first(rows).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2]
