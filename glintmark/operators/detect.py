@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import dims
+from . import anchors
 
 FINDING = [
     ("path", "string"), ("line", "int"), ("variable", "string"), ("value", "string"), ("rule_id", "string"), ("rule_name", "string"), ("type", "string"), ("pattern", "string"),
@@ -16,6 +17,10 @@ FINDING = [
 ]
 
 
+#: Candidates that line_detectors has kept, until engine.release.
+KEPT: list[DataFrame] = []
+
+
 def as_findings(df: DataFrame) -> DataFrame:
     """The findings schema; columns that a detector doesn't have are null."""
     return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in FINDING])
@@ -113,12 +118,15 @@ def structural_findings(lines: DataFrame, patterns: list[tuple] = dims.STRUCTURA
 
 
 def extended_findings(lines: DataFrame, patterns: list[tuple] = dims.EXTENDED, categories: list[str] | None = None) -> DataFrame:
-    """The second library: the bare value where a pattern has a group for it, else the whole match; each value once a file and category."""
+    """The second library: the bare value where a pattern has a group for it, else the whole match; each value once a file and category.
+
+    Only patterns whose literals a line holds are tried on it (see anchors).
+    """
     chosen = [p for p in patterns if not categories or p[0] in categories]
-    value = lambda rx, g: F.coalesce(F.nullif(F.regexp_extract("text", rx, g), F.lit("")), F.regexp_extract("text", rx, 0)) if g else F.regexp_extract("text", rx, 0)
-    rows = F.array(*[F.struct(F.lit(i).alias("ix"), F.lit(c).alias("pattern_category"), F.lit(n).alias("pattern"), value(rx, g).alias("value"), F.lit(s).alias("severity"), F.lit(x).alias("confidence")) for i, (c, n, rx, s, x, g) in enumerate(chosen)])
-    likely = lines.where(F.col("text").rlike("[=:'\"@$.-]"))
-    hits = likely.select("path", "line", F.explode(rows).alias("x")).select("path", "line", "x.*").where("value <> ''")
+    told = lines.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(chosen)], "ix int, pattern_category string, pattern string, rx string, severity string, confidence double, part int")
+    likely = anchors.candidates(lines.where(F.col("text").rlike("[=:'\"@$.-]")).select("path", "line", "text"), "text", {i: p[2] for i, p in enumerate(chosen)})
+    value = F.expr("coalesce(nullif(regexp_extract(text, rx, part), ''), regexp_extract(text, rx, 0))")
+    hits = likely.join(F.broadcast(told), "ix").select("path", "line", "ix", "pattern_category", "pattern", value.alias("value"), "severity", "confidence").where("value <> ''")
     once = first_in_file(hits, ["line", "ix"])
     return as_findings(once.withColumns({"rule_id": F.lit("extended_pattern"), "rule_name": F.col("pattern"), "type": F.lit("regex_match"), "category": F.col("pattern_category"), "description": F.concat("pattern", F.lit(" in text"))}))
 
@@ -188,8 +196,14 @@ def value_pattern(rule: dict, value: Column) -> Column:
     return F.when(F.length(value) >= rule["min_length"], out)
 
 
+#: More rules than these are rows of a table, not parts of an expression.
+INLINE_RULES = 64
+
+
 def rule_findings(items: DataFrame, rules: list[dict] = dims.RULES) -> DataFrame:
     """Item rules: a telling name with a value that isn't excluded, else a telling value. One pass over the items for all rules."""
+    if len(rules) > INLINE_RULES:
+        return many_rule_findings(items, rules)
     key, value = F.col("key"), F.col("value")
 
     def judged(r: dict) -> Column:
@@ -203,6 +217,30 @@ def rule_findings(items: DataFrame, rules: list[dict] = dims.RULES) -> DataFrame
     return as_findings(hits.select("path", "line", "variable", "value", "x.*"))
 
 
+def many_rule_findings(items: DataFrame, rules: list[dict]) -> DataFrame:
+    """rule_findings with the rules as rows: thousands of them leave the plan as it is, and only those are tried whose literals are there.
+
+    Equal items are judged once, and each rule's first reason (its name pattern, else its first value pattern) is found by an aggregate.
+    """
+    spark = items.sparkSession
+    told = [(i, r["id"], r["name"], r["severity"], r["min_length"], r["not_names"], r["not_values"]) for i, r in enumerate(rules)]
+    tests = [(i, -1, None, r["names"]) for i, r in enumerate(rules) if r["names"]] + [(i, k, name, rx) for i, r in enumerate(rules) for k, (name, rx) in enumerate(r["values"])]
+    rule = spark.createDataFrame(told, "rule int, rule_id string, rule_name string, severity string, min_length int, not_names string, not_values string")
+    test = spark.createDataFrame([(n, *t) for n, t in enumerate(tests)], "ix int, rule int, at int, pattern string, rx string")
+    once = items.groupBy("path", "key", "value", F.coalesce("line", F.lit(0)).alias("line")).agg(F.count("*").alias("times"))
+    by = lambda col, names: anchors.candidates(once, col, {n: t[3] for n, t in enumerate(tests) if (t[1] < 0) == names})
+    tried = by("key", True).union(by("value", False)).join(F.broadcast(test), "ix").join(F.broadcast(rule), "rule")
+    size = F.coalesce(F.length("value"), F.lit(0))
+    excluded = (size < F.col("min_length")) | F.coalesce(F.expr("value rlike not_values"), F.lit(False))
+    named = (F.col("at") < 0) & F.expr("coalesce(key, '') rlike rx") & ~F.coalesce(F.expr("key rlike not_names"), F.lit(False)) & ~excluded
+    telling = (F.col("at") >= 0) & F.expr("value rlike rx") & (F.length("value") >= F.col("min_length")) & (F.col("not_values").isNull() | ~excluded)
+    first = F.min(F.struct("at", "pattern")).alias("x")
+    hits = tried.where(named | telling).groupBy("path", "line", "key", "value", "times", "rule", "rule_id", "rule_name", "severity").agg(first)
+    kind = F.when(F.col("x.at") < 0, "variable_name_match").otherwise("value_pattern_match")
+    each = hits.select("path", "line", F.col("key").alias("variable"), "value", "rule_id", "rule_name", "severity", kind.alias("type"), F.col("x.pattern").alias("pattern"), F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return as_findings(each)
+
+
 def enhanced_findings(items: DataFrame, keywords: DataFrame, rules: list[dict] = dims.ENHANCED_RULES) -> DataFrame:
     """Rules, and for each of them the keyword and structural library's hits in the items' values (of its categories)."""
     x = items.select("path", F.coalesce("line", F.lit(0)).alias("line"), F.col("value").alias("text"), "key")
@@ -273,6 +311,7 @@ def line_detectors(spark: SparkSession, lines: DataFrame, keywords: DataFrame |
     if not hits:
         return []
     found = candidates(lines, *hits).persist(StorageLevel.MEMORY_AND_DISK)
+    KEPT.append(found)
     return (
         ([keyword_findings(lines, keywords, found)] if keywords is not None else [])
         + ([structural_findings(lines, found=found)] if structural else [])

@@ -19,6 +19,15 @@ ARCHIVE_NAMES = "(?i)\\.(zip|jar|war|ear|apk|ipa|tar|tgz|tbz2|txz|gz|bz2|xz)$"
 SQLITE_NAMES = "(?i)\\.(sqlite3?|db)$"
 
 
+#: What scans have kept, until release.
+KEPT: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
 @dataclass
 class ScanConfig:
     """Settings of a scan. Presets: `full` (all detectors), `cli` (those on lines only), `strict`, `permissive`."""
@@ -97,7 +106,7 @@ def detections(spark: SparkSession, files: DataFrame, lines: DataFrame, config:
     if config.items:
         items = parsers.items(files, config.parsers)
         # The rules, the library and the entropy part read the items several times: kept (memory and disk), so that each file is parsed once.
-        items = (items if more_items is None else items.unionByName(more_items)).persist(StorageLevel.MEMORY_AND_DISK)
+        items = kept(items if more_items is None else items.unionByName(more_items))
         parts += item_findings(items, keywords, config.rules)
     if config.entries:
         entries = parsers.entries(files)
@@ -113,7 +122,8 @@ def scan_binary(spark: SparkSession, binary: DataFrame, config: ScanConfig | Non
     binary = binary.where(S.admitted(F.col("path"), config.include, config.exclude)).select("path", "content")
     packed = binary.where(S.route(F.col("path")) == "binary")
     # Detectors and context read the texts several times: archives are opened once and their texts kept (memory and disk).
-    inside = parsers.archive_files(packed.where(F.col("path").rlike(ARCHIVE_NAMES))).where("not skipped").select("path", "content").persist(StorageLevel.MEMORY_AND_DISK)
+    inside = parsers.archive_files(packed.where(F.col("path").rlike(ARCHIVE_NAMES))).where("not skipped").select("path", "content")
+    inside = kept(inside)
     plain = S.texts(binary.where(~F.coalesce(S.route(F.col("path")) == "binary", F.lit(False))))
     images = parsers.image_entries(packed.where(F.col("path").rlike("(?i)\\.tar$")))
     baked = images.select("path", F.coalesce("line", F.lit(1)).alias("line"), F.lit("Credential in an image").alias("rule_name"), F.lit("critical").alias("severity"), F.lit("docker").alias("category"), F.col("key").alias("variable"), "value")
@@ -152,7 +162,7 @@ def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None
     # Of files that come in parts only those in one part are trees that a parser can read.
     x = detections(spark, files.where("whole") if "whole" in files.columns else files, lines, config, more_items, more_entries)
     # The context joins need the findings three times.
-    x = x.persist(StorageLevel.MEMORY_AND_DISK) if config.use_context else x
+    x = kept(x) if config.use_context else x
     if exclusions:
         x = baseline.reported(x, **exclusions)
     if config.use_context:
@@ -168,5 +178,8 @@ def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None
 
 
 def release(spark: SparkSession) -> None:
-    """Gives up what scans have kept, once their results are written."""
-    spark.catalog.clearCache()
+    """Gives up what scans of this session have kept, once their results are written; what others cache stays."""
+    for df in detect.KEPT + KEPT:
+        df.unpersist()
+    detect.KEPT.clear()
+    KEPT.clear()

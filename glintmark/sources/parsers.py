@@ -16,7 +16,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -236,26 +236,27 @@ def entries(files: DataFrame) -> DataFrame:
     """Findings of infrastructure, pipeline and image files: path, line, rule_name, severity, category, variable, value.
 
     Every pattern is an expression over the whole text; a file is read once and only its own group's patterns run. The line of a
-    hit comes from the text before it: the text is split at the hits once, and line feeds of the parts are summed.
+    hit comes from the text before it: the text is split at the hits once, and line feeds of the parts are summed by a window.
     """
     text, kind = F.col("content"), "array<struct<line: int, rule_name: string, severity: string, variable: string, value: string>>"
     feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    # Feeds before each hit, summed up once: a running array, so many hits cost no more than they are.
-    running = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-
     def hits(name: str, severity: str, rx: str, key: int, value: int) -> Column:
         whole, gaps = F.regexp_extract_all(text, F.lit(rx), 0), F.split(text, rx)
         names = F.regexp_extract_all(text, F.lit(rx), key) if key else F.transform(whole, lambda _: F.lit(name))
+        # Line feeds from one hit's beginning to the next one's; a window sums them up behind the explode.
         steps = F.zip_with(gaps, F.concat(F.array(F.lit("")), whole), lambda g, h: F.coalesce(feeds(g), F.lit(0)) + F.coalesce(feeds(h), F.lit(0)))
-        at = lambda n: F.transform(F.arrays_zip(names.alias("k"), F.regexp_extract_all(text, F.lit(rx), value).alias("v")), lambda x, i: F.struct((F.get(n, i + 1) + 1).cast("int").alias("line"), F.lit(name).alias("rule_name"), F.lit(severity).alias("severity"), x["k"].alias("variable"), x["v"].alias("value")))
-        return F.when(text.rlike(rx), X.let(running(steps), at).cast(kind)).otherwise(F.array().cast(kind))
+        each = F.arrays_zip(names.alias("k"), F.regexp_extract_all(text, F.lit(rx), value).alias("v"), F.slice(steps, 1, F.size(whole)).alias("n"))
+        told = F.transform(each, lambda x: F.struct(x["n"].cast("int").alias("line"), F.lit(name).alias("rule_name"), F.lit(severity).alias("severity"), x["k"].alias("variable"), x["v"].alias("value")))
+        return F.when(text.rlike(rx), told.cast(kind)).otherwise(F.array().cast(kind))
 
     group = group_of(F.col("path"))
     found = F.array().cast(kind)
     for g in dict.fromkeys(g for g, *_ in ENTRIES):
         found = F.when(group == g, F.concat(*[hits(*e[1:]) for e in ENTRIES if e[0] == g])).otherwise(found)
-    x = files.where(group.isNotNull()).select("path", group.alias("category"), F.explode(found).alias("x"))
-    x = x.select("path", "x.line", "x.rule_name", "x.severity", "category", "x.variable", F.regexp_replace(F.trim("x.value"), "^[\"']+|[\"']+$", "").alias("value"))
+    # The file's number stands before the explode, else it would be a row's.
+    x = files.where(group.isNotNull()).select("path", "content", F.monotonically_increasing_id().alias("file")).select("path", group.alias("category"), "file", F.posexplode(found).alias("pos", "x"))
+    before = F.sum("x.line").over(Window.partitionBy("file", "x.rule_name").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.select("path", (before + 1).cast("int").alias("line"), "x.rule_name", "x.severity", "category", "x.variable", F.regexp_replace(F.trim("x.value"), "^[\"']+|[\"']+$", "").alias("value"))
     skip = F.lit(False)
     for g, rx in SKIP.items():
         skip = F.when(F.col("category") == g, F.col("value").rlike(rx)).otherwise(skip)
