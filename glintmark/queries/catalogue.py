@@ -151,10 +151,13 @@ def json_tree_items(spark, sf_dir):
     return parsers.json_items(files).select("path", "key", "value")
 
 
-@query(f"SELECT path, line, CASE CAST(kind AS INT) WHEN 1 THEN 'password' WHEN 6 THEN 'api_key' ELSE 'MAX' END AS key, CASE CAST(kind AS INT) WHEN 1 THEN 'hunter2hunter2' WHEN 6 THEN 'abcdef0123456789' ELSE '3' END AS value FROM (SELECT path, line, CASE WHEN text LIKE '%hunter2%' THEN 1 WHEN text LIKE 'api_key%' THEN 6 WHEN text LIKE 'const%' THEN 4 ELSE 0 END AS kind FROM {CODES}) WHERE kind > 0")
+CODE_KINDS = [("%hunter2%", "'password'", "hunter2hunter2", "variable"), ("api_key%", "'api_key'", "abcdef0123456789", "variable"), ("const%", "'MAX'", "3", "variable"), ("except%", "'except'", "print", "variable"), ('"name"%', "NULL", "name", "string")]
+
+
+@query(" UNION ALL ".join(f"SELECT path, line, {key} AS key, '{value}' AS value, '{kind}' AS type FROM {CODES} WHERE text LIKE '{like}'" for like, key, value, kind in CODE_KINDS))
 def code_items(spark, sf_dir):
     files = frame(spark, sf_dir, CODE).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
-    return parsers.code_items(files).where("type = 'variable' and key in ('password', 'api_key', 'MAX')").select("path", "line", "key", "value")
+    return parsers.code_items(files).select("path", "line", "key", "value", "type")
 
 
 @query("""SELECT 'infra/' || p_partkey || '.tf' AS path, 2 AS line, 'Terraform Hardcoded Access Key' AS rule_name, upper(substr(md5(p_name), 1, 20)) AS value FROM part
@@ -269,6 +272,20 @@ def structural_counts(spark, sf_dir):
 FORMS_SQL = " UNION ALL ".join(f"SELECT {i} AS ix, {quote(n)} AS pattern, path, line, regexp_extract(text, {quote(rx)}, 0) AS value FROM {VALUE_LINES}" for i, (n, rx, _, _) in enumerate(dims.STRUCTURAL))
 
 
+def extended_value(rx: str, part: int) -> str:
+    return f"coalesce(nullif(regexp_extract(text, {quote(rx)}, {part}), ''), regexp_extract(text, {quote(rx)}, 0))"
+
+
+EXTENDED_SQL = " UNION ALL ".join(f"SELECT {i} AS ix, {quote(c)} AS pattern_category, {quote(n)} AS pattern, path, line, {extended_value(rx, g)} AS value FROM likely" for i, (c, n, rx, _, _, g) in enumerate(dims.EXTENDED))
+
+
+@query(f"""WITH likely AS (SELECT * FROM {VALUE_LINES} WHERE regexp_matches(text, '[=:''"@$.-]'))
+SELECT path, line::INT AS line, pattern_category, pattern, value FROM ({EXTENDED_SQL}) WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY path, pattern_category, value ORDER BY line, ix) = 1""")
+def extended_rows(spark, sf_dir):
+    """The second library's findings; the SQL tries every pattern on every line."""
+    return detect.extended_findings(value_lines(spark, sf_dir)).select("path", "line", "pattern_category", "pattern", "value")
+
+
 @query(f"SELECT path, line::INT AS line, pattern, value FROM ({FORMS_SQL}) WHERE value <> '' QUALIFY row_number() OVER (PARTITION BY path, value ORDER BY line, ix) = 1")
 def structural_findings(spark, sf_dir):
     return detect.structural_findings(value_lines(spark, sf_dir)).select("path", "line", "pattern", "value")
@@ -756,6 +773,16 @@ def exposure_state(spark, sf_dir):
     return x.select("credential_key", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")], "n")
 
 
+PIPELINES = [(".github/workflows/a.yml", "x", "github_actions"), (".gitlab-ci.yml", "x", "gitlab_ci"), ("r/.circleci/config.yml", "x", "circleci"), ("Jenkinsfile", "x", "jenkins"), ("jenkinsfile.groovy", "x", "jenkins"), ("ci/build.yml", "on: push\njobs:\n  a:\n    runs-on: x", "github_actions"), ("ci/other.yml", "jobs:\n  a: 1", "unknown")]
+
+
+@query("SELECT c_custkey AS id, [" + ", ".join(f"'{x[2]}'" for x in PIPELINES) + f"][(c_custkey % {len(PIPELINES)} + 1)::INT] AS platform FROM customer")
+def pipeline_platforms(spark, sf_dir):
+    k = F.col("c_custkey")
+    of = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in PIPELINES]), (k % len(PIPELINES) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), parsers.pipeline_platform(of(0), of(1)).alias("platform"))
+
+
 # Whole scans
 
 PLANTED = """SELECT 'src/p' || p_partkey || '/app.py' AS path, md5(p_name) AS value FROM part UNION ALL SELECT 'infra/p' || p_partkey || '/main.tf', upper(substr(md5(p_name), 1, 20)) FROM part
@@ -774,15 +801,14 @@ def scan_planted(spark, sf_dir):
     return engine.scan(spark, code.union(infra).union(conf).union(build)).select("path", "value").distinct()
 
 
-@query("SELECT 'ci/' || p_partkey || '.tf' AS path, 4 AS line, 'Terraform Hardcoded Secret Key' AS rule_name, md5(p_name) AS value FROM part UNION ALL SELECT 'ci/' || p_partkey || '.tf', 5, 'Terraform Variable Default Secret', substr(md5(p_name), 3, 12) FROM part UNION ALL SELECT 'stack-' || p_partkey || '.yaml', 2, 'CloudFormation Hardcoded Secret', substr(md5(p_name), 1, 10) FROM part UNION ALL SELECT 'g' || p_partkey || '/.gitlab-ci.yml', 1, 'CI/CD Hardcoded Secret in docker run', substr(md5(p_name), 1, 14) FROM part UNION ALL SELECT 'g' || p_partkey || '/.gitlab-ci.yml', 2, 'CI/CD Hardcoded Bearer Token in curl', md5(p_name) FROM part")
+@query("SELECT 'ci/' || p_partkey || '.tf' AS path, 4 AS line, 'Terraform Hardcoded Secret Key' AS rule_name, md5(p_name) AS value FROM part UNION ALL SELECT 'ci/' || p_partkey || '.tf', 5, 'Terraform Variable Default Secret', substr(md5(p_name), 3, 12) FROM part UNION ALL SELECT 'stack-' || p_partkey || '.yaml', 2, 'CloudFormation Hardcoded Secret', substr(md5(p_name), 1, 10) FROM part UNION ALL SELECT 'g' || p_partkey || '/.gitlab-ci.yml', 1, 'CI/CD Hardcoded Secret in docker run', substr(md5(p_name), 1, 14) FROM part UNION ALL SELECT 'g' || p_partkey || '/.gitlab-ci.yml', 2, 'CI/CD Hardcoded Bearer Token in curl', md5(p_name) FROM part UNION ALL SELECT 'ci/' || p_partkey || '.tf', 6, 'Terraform AWS Account ID', substr(md5(p_name), 3, 12) FROM part WHERE regexp_matches(substr(md5(p_name), 3, 12), '^[0-9]{12}$')")
 def infrastructure_entries_more(spark, sf_dir):
     p, d, k = table(spark, sf_dir, "part"), F.md5(F.col("p_name").cast("binary")), F.col("p_partkey").cast("string")
     join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     tf = p.select(join("ci/", k, ".tf").alias("path"), join("# \n# \nprovider {\n  secret_key = \"", d, "\"\nvariable \"db_secret\" {\n  default = \"", F.substring(d, 3, 12), '"\n}').alias("content"))
     cf = p.select(join("stack-", k, ".yaml"), join("Resources:\n  MasterPassword: ", F.substring(d, 1, 10), "\n"))
     ci = p.select(join("g", k, "/.gitlab-ci.yml"), join("docker run -e MY_TOKEN=", F.substring(d, 1, 14), " x\ncurl -H 'Authorization: Bearer ", d, "' u\n"))
-    names = ["Terraform Hardcoded Secret Key", "Terraform Variable Default Secret", "CloudFormation Hardcoded Secret", "CI/CD Hardcoded Secret in docker run", "CI/CD Hardcoded Bearer Token in curl"]
-    return parsers.entries(tf.union(cf).union(ci)).where(F.col("rule_name").isin(names)).select("path", "line", "rule_name", "value")
+    return parsers.entries(tf.union(cf).union(ci)).select("path", "line", "rule_name", "value")
 
 
 @query("SELECT 'f' || p_partkey || '.json' AS path, 'a.token' AS key, md5(p_name) AS value FROM part UNION ALL SELECT 'f' || p_partkey || '.yml', 'a.b[0]', p_brand FROM part UNION ALL SELECT 'f' || p_partkey || '.py', 'k', p_brand FROM part UNION ALL SELECT 'f' || p_partkey || '.txt', 'content', p_brand FROM part")
