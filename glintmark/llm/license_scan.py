@@ -20,6 +20,7 @@ LEAST words are refused. Further columns are kept by `scan`; its own take the pl
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -238,14 +239,26 @@ def matches(index: Index, text: bytes | None, coverage: float = COVERAGE) -> lis
                 if n >= coverage * len(template):
                     own.append((name, n, n / len(template), start + first, start + end))
                     parts += [(start, start + first), (start + end, stop)]
-        taken: list[tuple[int, int]] = []
+        begins: list[int] = []  # of the spans taken, which don't overlap, in order
+        ends: list[int] = []
         for x in sorted(own, key=lambda x: (-x[1], x[3])):
-            if all(x[4] <= a or x[3] >= b for a, b in taken):
-                taken.append((x[3], x[4]))
+            k = bisect.bisect_right(begins, x[3])
+            if (not k or ends[k - 1] <= x[3]) and (k == len(begins) or x[4] <= begins[k]):
+                begins.insert(k, x[3])
+                ends.insert(k, x[4])
                 out.append(x)
     return sorted(out, key=lambda x: (x[3], x[0]))
 
 
+def code_points(text: bytes, ends: set[int]) -> dict[int, int]:
+    """Code points before each of the places in a text, in one pass over it."""
+    out, at, n = {}, 0, 0
+    for end in sorted(ends):
+        n += int(np.count_nonzero(np.frombuffer(text, np.int8, end - at, at) >= -64)) if end > at else 0  # all bytes but those that go on
+        out[end], at = n, end
+    return out
+
+
 SCHEMA = "template string, n_matched int, coverage double, first_word int, end_word int, first_char int, end_char int"
 COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -265,10 +278,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text_col: str =
             for k, text in enumerate(shared.as_bytes(b.column(len(kept)))):
                 if own := matches(index, text, coverage):
                     places = [m.span() for m in WORD.finditer(text.lower())]
-                    chars = lambda n: len(text[:n].decode("utf-8", "replace"))  # noqa: B023, E731
+                    chars = code_points(text, {n for *_, first, end in own for n in (places[first][0], places[end - 1][1])})
                     for name, n, share, first, end in own:
                         rows.append(k)
-                        found.append((name, n, share, first, end, chars(places[first][0]), chars(places[end - 1][1])))
+                        found.append((name, n, share, first, end, chars[places[first][0]], chars[places[end - 1][1]]))
             at = pa.array(rows, pa.int64())
             values = list(zip(*found)) or [()] * len(kinds)
             yield pa.record_batch([*(c.take(at) for c in b.columns[: len(kept)]), *(pa.array(v, t) for v, t in zip(values, kinds))], names=[*columns, *COLUMNS])

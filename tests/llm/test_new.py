@@ -247,3 +247,28 @@ def test_rows_that_differ_in_a_map_only(spark):
     rows = spark.createDataFrame([(1, "one two three four", {"a": 1}), (1, "one two three four", {"a": 1}), (1, "one two three four", {"b": 1}), (2, "quite another text here", None)], "doc_id long, text string, m map<string, int>")
     kept = simhash.keep_first(rows).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2]
+
+
+def test_very_many_notices_in_one_text():
+    import time
+
+    from glintmark.llm import license_scan
+
+    index = license_scan.index_of(tuple(license_scan.TEMPLATES.items()))
+    notice = "é Released under the MIT License. "
+    times = {}
+    for n in (2_500, 20_000):
+        text = (notice * n).encode()
+        began = time.process_time()
+        found = [m for m in license_scan.matches(index, text) if m[0] == "mit-line"]
+        times[n] = time.process_time() - began
+        assert len(found) == n and all(m[2] == 1 for m in found)
+    assert times[20_000] < 20 * max(times[2_500], 0.1), times  # eight times as many
+
+
+def test_code_points_of_places():
+    from glintmark.llm import license_scan
+
+    text = "aé日😀b".encode()
+    assert license_scan.code_points(text, set(range(len(text) + 1))) == {n: len(text[:n].decode("utf-8", "replace")) for n in range(len(text) + 1)}
+    assert license_scan.code_points(b"", {0}) == {0: 0}
