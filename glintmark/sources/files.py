@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import dims
+from . import tree
 from .repository import git_commits  # noqa: F401  part of this module's interface
 from .workers import reach
 
@@ -29,11 +30,10 @@ def admitted(path: Column, include: list[str] | None = None, exclude: list[str]
 def files(spark: SparkSession, at: str | list[str], include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """path, length, modified, content (bytes) of all files below at, or of a list of files.
 
-    The filter on the path is applied before any content is read.
+    The filter on the path is applied before any content is read; names that begin with `.` or `_` are files like others (see sources.tree).
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false")
-    df = read.load(at).where(admitted(F.col("path"), include, exclude))
-    return df.select("path", F.col("length"), F.col("modificationTime").alias("modified"), "content")
+    names = tree.listing(spark, at, exclude).where(admitted(F.col("path"), include, exclude))
+    return tree.contents(names, tree.total(names)).select("path", "length", "modified", "content")
 
 
 def texts(binary: DataFrame, skip_nul: bool = False) -> DataFrame:
