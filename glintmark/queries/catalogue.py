@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import text as X
-from ..operators import baseline, context, detect, enrich, history, merge, report, score
+from ..operators import baseline, context, detect, enrich, history, merge, report, rescan, score
 from ..plans import dims, engine
 from ..sources import archives, parsers, repository
 from ..sources import files as S
@@ -151,6 +151,24 @@ def json_tree_items(spark, sf_dir):
     return parsers.json_items(files).select("path", "key", "value")
 
 
+# Files of customers: what was there before a day, and what is there now (customers whose last order is open have gone).
+VERSIONS = """SELECT concat('c', CAST(o_custkey AS STRING)) AS path, CAST(o_orderkey % 3 AS BIGINT) AS length, CAST(o_orderdate AS TIMESTAMP) AS modified, md5(o_orderpriority) AS digest, o_orderstatus AS status,
+row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}"""
+BEFORE = VERSIONS + " WHERE o_orderdate < DATE '1998-01-01'"
+
+
+@query(f"""WITH old AS (SELECT * FROM ({duck(BEFORE)}) WHERE n = 1), now AS (SELECT * FROM ({duck(VERSIONS)}) WHERE n = 1 AND status <> 'P')
+SELECT coalesce(now.path, old.path) AS path, CASE WHEN now.path IS NULL THEN 'deleted' WHEN old.path IS NULL THEN 'added' WHEN now.length = old.length AND now.modified = old.modified THEN 'same'
+WHEN now.digest = old.digest THEN 'touched' ELSE 'changed' END AS state, coalesce(now.digest, old.digest) AS digest FROM old FULL JOIN now ON old.path = now.path""")
+def manifest_changes(spark, sf_dir):
+    """What an incremental scan finds changed between two states of all files."""
+    now = frame(spark, sf_dir, VERSIONS).where("n = 1 AND status <> 'P'")
+    old = frame(spark, sf_dir, BEFORE).where("n = 1").select("path", "length", "modified", "digest", F.lit(1).alias("run"), F.lit(None).cast("timestamp").alias("listed"))
+    seen = rescan.compared(now, old)
+    read = seen.where("state in ('added', 'doubtful')").select("path").join(now, "path").select("path", F.col("digest").alias("new_digest"))
+    return rescan.settled(seen, read).select("path", "state", "digest")
+
+
 CODE_KINDS = [("%hunter2%", "'password'", "hunter2hunter2", "variable"), ("api_key%", "'api_key'", "abcdef0123456789", "variable"), ("const%", "'MAX'", "3", "variable"), ("except%", "'except'", "print", "variable"), ('"name"%', "NULL", "name", "string")]
 
 
@@ -174,7 +192,7 @@ def infrastructure_entries(spark, sf_dir):
 CHANGES = """SELECT concat('c', CAST(o_orderkey AS STRING)) AS commit_hash, concat('f', CAST(o_custkey % 3 AS STRING)) AS file, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('o', CAST(o_custkey % 7 AS STRING)) END AS old_blob,
 concat('n', CAST(o_custkey % 40 AS STRING)) AS new_blob FROM {orders}"""
 RUNS = """SELECT DISTINCT concat('o', CAST(o_custkey % 7 AS STRING)) AS old_blob, concat('n', CAST(o_custkey % 40 AS STRING)) AS new_blob, CAST(o_custkey % 5 * 6 + 1 AS INT) AS first, CAST(o_custkey % 5 * 6 + 4 AS INT) AS last FROM {orders}"""
-IN_BLOBS = """SELECT concat('n', CAST(p_partkey % 50 AS STRING)) AS blob, concat('f', CAST(p_size % 3 AS STRING)) AS file, CAST(p_size AS INT) AS line, md5(p_name) AS value FROM {part} WHERE p_partkey <= 2000"""
+IN_BLOBS = """SELECT concat('n', CAST(p_partkey % 50 AS STRING)) AS blob, concat('f', CAST(p_size % 3 AS STRING)) AS file, CAST(p_size AS INT) AS line, md5(p_name) AS value FROM {part}"""
 
 
 @query(f"""WITH c AS ({duck(CHANGES)}), r AS ({duck(RUNS)}), f AS ({duck(IN_BLOBS)})
