@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baseline, context, detect, merge, score
 from ..sources import files as S
-from ..sources import archives, parsers
+from ..sources import archives, images, parsers
 from . import dims
 
 
@@ -125,8 +125,8 @@ def scan_binary(spark: SparkSession, binary: DataFrame, config: ScanConfig | Non
     inside = parsers.archive_files(packed.where(F.col("path").rlike(ARCHIVE_NAMES))).where("not skipped").select("path", "content")
     inside = kept(inside)
     plain = S.texts(binary.where(~F.coalesce(S.route(F.col("path")) == "binary", F.lit(False))))
-    images = parsers.image_entries(packed.where(F.col("path").rlike("(?i)\\.tar$")))
-    baked = images.select("path", F.coalesce("line", F.lit(1)).alias("line"), F.lit("Credential in an image").alias("rule_name"), F.lit("critical").alias("severity"), F.lit("docker").alias("category"), F.col("key").alias("variable"), "value")
+    entries = parsers.image_entries(packed.where(F.col("path").rlike("(?i)\\.tar$")))
+    baked = entries.select("path", F.coalesce("line", F.lit(1)).alias("line"), F.lit("Credential in an image").alias("rule_name"), F.lit("critical").alias("severity"), F.lit("docker").alias("category"), F.col("key").alias("variable"), "value")
     rows = parsers.sqlite_items(packed.where(F.col("path").rlike(SQLITE_NAMES)))
     return scan(spark, plain.unionByName(inside), config, exclusions, rows, baked)
 
@@ -147,6 +147,8 @@ def unread(spark: SparkSession, binary: DataFrame) -> DataFrame:
     packed = binary.where(S.route(F.col("path")) == "binary").select("path", "content")
     inside = archives.rows(packed.where(F.col("path").rlike(ARCHIVE_NAMES))).where("status <> 'ok'").select("path", "status", "reason")
     tables = parsers.sqlite_rows(packed.where(F.col("path").rlike(SQLITE_NAMES))).where("type = 'failed'")
+    layers = images.rows(packed.where(F.col("path").rlike("(?i)\\.tar$"))).where("kind = 'failed' and layer is not null")
+    inside = inside.union(layers.select(F.concat_ws("!", "image", "layer").alias("path"), F.lit("failed").alias("status"), F.col("value").alias("reason")))
     return inside.union(tables.select(F.concat_ws("!", "path", "key").alias("path"), F.lit("failed").alias("status"), F.col("value").alias("reason")))
 
 

@@ -332,28 +332,9 @@ def sqlite_items(binary: DataFrame, rows_per_table: int | None = None) -> DataFr
 
 
 def image_entries(binary: DataFrame) -> DataFrame:
-    """Credentials baked into image archives: environment of the configuration, key-value lines of layers' text files."""
-    pair = re.compile(r"(?im)^\s*([A-Z0-9_.-]*(?:SECRET|TOKEN|PASSW(?:OR)?D|API_?KEY|ACCESS_?KEY|PRIVATE_?KEY|CREDENTIAL)[A-Z0-9_.-]*)\s*[:=]\s*[\"']?([^\s\"'#]{4,})")
-    stand_in = re.compile(STAND_IN)
+    """Credentials baked into image archives: environment of the configuration, key-value lines of layers' text files. See sources.images."""
+    from . import images
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                rows = []
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(bytes(data))) as image:
-                        inner = {m.name: image.extractfile(m).read() for m in image if m.isfile()}
-                    for part in json.loads(inner.get("manifest.json", b"[]")):
-                        env = (json.loads(inner.get(part.get("Config", ""), b"{}")).get("config") or {}).get("Env") or []
-                        rows += [(path, m[1], m[2], None, "image_env") for e in env if (m := pair.match(e)) and not stand_in.match(m[2])]
-                        for layer in part.get("Layers", []):
-                            with tarfile.open(fileobj=io.BytesIO(inner.get(layer, b""))) as files:
-                                for m in files:
-                                    if m.isfile() and re.search(r"(?i)\.(env|ini|conf|cfg|ya?ml|json|properties|txt)$|credential|secret|\.netrc|\.npmrc", m.name):
-                                        text = files.extractfile(m).read().decode("utf-8", "replace")
-                                        rows += [(f"{path}!{m.name}", x[1], x[2], text[: x.start(1)].count("\n") + 1, "image_layer") for x in pair.finditer(text) if not stand_in.match(x[2])]
-                except (tarfile.TarError, ValueError, KeyError, OSError, EOFError):
-                    pass
-                yield pd.DataFrame(rows, columns=["path", "key", "value", "line", "type"]).astype({"line": "Int32"})
-
-    return binary.select("path", "content").mapInPandas(run, ITEM)
+    kind = F.when(F.col("kind") == "env", "image_env").otherwise("image_layer")
+    path = F.when(F.col("at").isNull(), F.col("image")).otherwise(F.concat_ws("!", "image", "at"))
+    return images.rows(binary).where("kind in ('env', 'value')").select(path.alias("path"), "key", "value", "line", kind.alias("type"))

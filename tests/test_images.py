@@ -1,0 +1,102 @@
+"""Image archives: layers by place, what later layers hide, damage."""
+
+import gzip
+import io
+import json
+import random
+import tarfile
+
+import pytest
+
+from glintmark.sources import archives, images, parsers
+
+
+def tarred(members):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, body in members:
+            info = tarfile.TarInfo(name)
+            if body is None:
+                info.type = tarfile.DIRTYPE
+                t.addfile(info)
+            else:
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+    return out.getvalue()
+
+
+def image(layers, env=(), oci=False):
+    config = json.dumps({"config": {"Env": list(env)}}).encode()
+    if not oci:
+        names = [f"{k}/layer.tar" for k in range(len(layers))]
+        manifest = json.dumps([{"Config": "c.json", "Layers": names}]).encode()
+        return tarred([*zip(names, layers), ("c.json", config), ("manifest.json", manifest)])
+    inner = json.dumps({"config": {"digest": "sha256:c"}, "layers": [{"digest": f"sha256:{k}"} for k in range(len(layers))]}).encode()
+    index = json.dumps({"manifests": [{"digest": "sha256:m"}]}).encode()
+    return tarred([("index.json", index), ("blobs/sha256/m", inner), ("blobs/sha256/c", config), *[(f"blobs/sha256/{k}", x) for k, x in enumerate(layers)]])
+
+
+def hidden_by(path, own, layers):
+    """Brute force: the first later layer after which the file isn't the same any more."""
+    for k in range(own + 1, len(layers)):
+        for name, body in layers[k]:
+            folder, _, base = name.rpartition("/")
+            at = f"{folder}/{base[4:]}".lstrip("/") if base.startswith(".wh.") else name
+            if base == ".wh..wh..opq":
+                if path.startswith(f"{folder}/" if folder else ""):
+                    return k + 1
+            elif path == at or body is not None and path.startswith(at + "/"):
+                return k + 1
+    return None
+
+
+@pytest.mark.parametrize("oci", [False, True])
+def test_layers_and_what_hides_them(spark, tmp_path, oci):
+    rnd = random.Random(7)
+    want = set()
+    for n in range(4):
+        layers = []
+        for k in range(6):
+            members = []
+            for _ in range(5):
+                depth = rnd.randrange(1, 4)
+                at = "/".join(rnd.choice("abc") for _ in range(depth))
+                kind = rnd.randrange(6)
+                members.append([(f"{at}/x.env", f"# {n}\n\nAPI_TOKEN=v{n}{k}{rnd.randrange(10**6):06}\n".encode()), (f"{at}/x.env", f"DB_PASSWORD: w{n}{k}{rnd.randrange(10**6):06}".encode()),
+                                (at, None), (f"{at}/.wh.x.env", b""), (f"{at}/.wh..wh..opq", b""), (f".wh.{at.split('/')[0]}", b"")][kind])
+            layers.append([*dict(members).items()])
+        (tmp_path / f"i{n}.tar").write_bytes(image([gzip.compress(tarred(x)) if k % 2 else tarred(x) for k, x in enumerate(layers)], [f"MY_SECRET=env{n}secret", "PATH=/bin"], oci))
+        want.add((f"i{n}.tar", 0, None, f"env{n}secret", None))
+        for k, x in enumerate(layers):
+            for name, body in x:
+                if name.endswith("x.env") and body:
+                    value = body.decode().split("=" if b"=" in body else ": ")[1].strip()
+                    want.add((f"i{n}.tar!{name}", k + 1, 3 if b"=" in body else 1, value, hidden_by(name, k, layers)))
+    rows = images.read(spark, str(tmp_path)).collect()
+    got = {(r.path.rsplit(f"{tmp_path.name}/", 1)[1], r.position, r.line, r.value, r.removed_in) for r in rows}
+    assert got == want and len(rows) == len(want) and any(x[4] for x in want) and any(x[3] and not x[4] for x in want if x[1])
+
+
+def test_damage_and_other_tars(spark, tmp_path):
+    good, long = tarred([("a.env", b"API_TOKEN=before-damage")]), tarred([("a.env", b"API_TOKEN=first-value"), ("b.env", b"x" * 5000)])
+    broken = bytearray(long)
+    broken[1024 + 148 : 1024 + 156] = b"\xff" * 8
+    (tmp_path / "i.tar").write_bytes(image([good, bytes(broken), good]))
+    (tmp_path / "plain.tar").write_bytes(tarred([("x.env", b"API_TOKEN=not-an-image")]))
+    (tmp_path / "cut.tar").write_bytes(b"no tar" * 500)
+    (tmp_path / "lost.tar").write_bytes(tarred([("manifest.json", json.dumps([{"Config": "c", "Layers": ["gone.tar"]}]).encode())]))
+    rows = images.read(spark, str(tmp_path)).collect()
+    name = lambda r: r.image.rsplit("/", 1)[1]
+    assert sorted((r.position, r.value, r.removed_in) for r in rows if name(r) == "i.tar" and r.type == "image_layer") == [(1, "before-damage", 2), (2, "first-value", 3), (3, "before-damage", None)]
+    assert sorted((name(r), r.position) for r in rows if r.type == "failed" and r.position) == [("i.tar", 2), ("lost.tar", 1)]
+    assert [name(r) for r in rows if r.type == "failed" and not r.position] == ["cut.tar"] and not any(name(r) == "plain.tar" for r in rows)
+    binary = spark.createDataFrame([("i.tar", (tmp_path / "i.tar").read_bytes()), ("n.tar", None)], "path string, content binary")
+    assert sorted(r.value for r in parsers.image_entries(binary).collect()) == ["before-damage", "before-damage", "first-value"]
+
+
+@pytest.mark.parametrize("part", [7, 16, 50, 1 << 20])
+def test_pairs_over_parts(part):
+    text = "A_TOKEN=one-value\n\nB_SECRET:\n\n  two-value\nx\nmy_password = 'three'\n" * 9
+    whole = [(text.count("\n", 0, m.start(1)) + 1, m[1], m[2]) for m in images.PAIR.finditer(text)]
+    rows = list(archives.texts_of("p", "a", io.BytesIO(text.encode()), part))
+    assert len(whole) == 27 and list(images.pairs(iter(rows))) == whole
