@@ -7,7 +7,8 @@ run that is lost on its way changes nothing and is done again under the same num
 
 A file is read if its length or time differs from the manifest's, or if it was changed so shortly before the last listing (margin) that a later change may
 bear the same time. It is scanned if its SHA-256 differs, too. Files that are gone lose their findings. Findings depend on a file's name as well (route,
-technology, context), so a moved file is scanned again. Findings of another key (the settings and a text of the caller's) aren't reused.
+technology, context), so a moved file is scanned again. Findings of another key (the settings and a text of the caller's) aren't reused; code of
+parsers and analyzers counts by name only, so a change of it needs another text.
 
 Files are listed and read by tasks (see sources.tree). One run at a time.
 """
@@ -63,7 +64,8 @@ def manifest(spark: SparkSession, state: str) -> DataFrame:
 
 
 def key_of(config: engine.ScanConfig, more: str = "") -> str:
-    plain = {k: v if k != "parsers" else sorted(v) for k, v in asdict(config).items()}
+    named = lambda given: {k: v if isinstance(v, str) else "" for k, v in given.items()}
+    plain = {k: named(v) if k in ("parsers", "analyzers") else v for k, v in asdict(config).items()}
     return hashlib.sha256(json.dumps([plain, more], sort_keys=True, default=str).encode()).hexdigest()
 
 

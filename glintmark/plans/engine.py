@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import baseline, context, detect, merge, score
+from ..operators import baseline, context, detect, merge, plugins, score
 from ..sources import files as S
 from ..sources import archives, images, parsers
 from . import dims
@@ -43,6 +43,7 @@ class ScanConfig:
     entries: bool = True
     rules: list[dict] = field(default_factory=lambda: [*dims.RULES, *dims.ENHANCED_RULES])
     parsers: dict = field(default_factory=lambda: dict(parsers.PARSERS))
+    analyzers: dict = field(default_factory=dict)
     entropy_threshold: float | None = None
     min_length: int = 6
     keyword_file: str | None = None
@@ -66,12 +67,15 @@ class ScanConfig:
         }[name]
 
     def write(self, path: str) -> None:
-        """JSON or YAML, by the name's ending; parsers are code and stay out."""
-        dims.write_tree({k: v for k, v in asdict(replace(self, parsers={})).items() if k != "parsers"}, path)
+        """JSON or YAML, by the name's ending. Parsers and analyzers that are code stay out, names of table functions go in."""
+        named = lambda given: {k: v for k, v in given.items() if isinstance(v, str)}
+        dims.write_tree(asdict(replace(self, parsers=named(self.parsers), analyzers=named(self.analyzers))), path)
 
     @classmethod
     def read(cls, path: str) -> "ScanConfig":
-        return cls(**{k: [r | {"values": [tuple(v) for v in r["values"]]} for r in v] if k == "rules" else v for k, v in dims.read_tree(path).items()})
+        told = dims.read_tree(path)
+        config = cls(**{k: [r | {"values": [tuple(v) for v in r["values"]]} for r in v] if k == "rules" else v for k, v in told.items() if k != "parsers"})
+        return replace(config, parsers=config.parsers | (told.get("parsers") or {}))
 
 
 def item_findings(items: DataFrame, keywords: DataFrame | None, rules: list[dict], threshold: float | None = None) -> list[DataFrame]:
@@ -104,13 +108,14 @@ def detections(spark: SparkSession, files: DataFrame, lines: DataFrame, config:
     if config.extended:
         parts.append(detect.extended_findings(lines))
     if config.items:
-        items = parsers.items(files, config.parsers)
+        items = plugins.items(files, config.parsers)
         # The rules, the library and the entropy part read the items several times: kept (memory and disk), so that each file is parsed once.
         items = kept(items if more_items is None else items.unionByName(more_items))
         parts += item_findings(items, keywords, config.rules)
     if config.entries:
         entries = parsers.entries(files)
         parts.append(entry_findings(entries if more_entries is None else entries.unionByName(more_entries)))
+    parts += plugins.analyzed(files, lines, config.analyzers)
     if not parts:
         return detect.as_findings(lines.limit(0))
     return reduce(DataFrame.unionByName, [p.select(*[n for n, _ in detect.FINDING]) for p in parts]).where(F.length("value") >= config.min_length)

@@ -11,7 +11,7 @@ from ..functions import classify as C
 from ..functions import text as X
 from ..operators import baseline, context, detect, enrich, history, merge, report, rescan, score
 from ..plans import dims, engine
-from ..sources import archives, parsers, repository
+from ..sources import archives, images, parsers, repository
 from ..sources import files as S
 from ..sources.workers import reach
 from ..streaming import incremental
@@ -169,6 +169,19 @@ def manifest_changes(spark, sf_dir):
     return rescan.settled(seen, read).select("path", "state", "digest")
 
 
+# Layers of images: a file, folder, whiteout or opaque mark each.
+EVENTS = """SELECT concat('i', CAST(l_orderkey AS STRING)) AS image, CAST(l_linenumber AS INT) AS position, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'a' WHEN 1 THEN 'a/b' ELSE 'a/b/f' END AS at,
+CASE CAST(l_suppkey % 6 AS INT) WHEN 0 THEN 'folder' WHEN 1 THEN 'whiteout' WHEN 2 THEN 'opaque' ELSE 'file' END AS kind, md5(CAST(l_partkey AS STRING)) AS value FROM {lineitem}"""
+
+
+@query(f"""WITH e AS ({duck(EVENTS)}) SELECT v.image, v.position, v.at, v.value, (SELECT min(e.position) FROM e WHERE e.image = v.image AND e.position > v.position AND (e.kind IN ('file', 'whiteout') AND (v.at = e.at
+OR starts_with(v.at, e.at || '/')) OR e.kind = 'folder' AND e.at = v.at OR e.kind = 'opaque' AND starts_with(v.at, e.at || '/'))) AS removed_in FROM e v WHERE v.kind = 'file'""")
+def image_layers_hidden(spark, sf_dir):
+    """Values baked into layers, with the later layer that hides their file."""
+    seen = frame(spark, sf_dir, EVENTS)
+    return images.resolved(seen.unionByName(seen.where("kind = 'file'").withColumn("kind", F.lit("value")))).select("image", "position", "at", "value", "removed_in")
+
+
 CODE_KINDS = [("%hunter2%", "'password'", "hunter2hunter2", "variable"), ("api_key%", "'api_key'", "abcdef0123456789", "variable"), ("const%", "'MAX'", "3", "variable"), ("except%", "'except'", "print", "variable"), ('"name"%', "NULL", "name", "string")]
 
 
