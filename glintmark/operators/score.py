@@ -94,8 +94,8 @@ def scored(findings: DataFrame, weights: dict[str, float] | None = None, use_ent
         parts = F.transform(F.sort_array(F.array_compact(rows)), lambda r: F.struct(r["factor"], r["weight"], r["score"], F.round(-r["order"], 6).alias("share")))
         return F.struct(overall({n: f[n] for n in factors}, weights).alias("overall_confidence"), parts.alias("confidence_factors"))
 
-    # Factors are long expressions and are named often; computed once, the generated code stays small.
-    x = findings.withColumn("__judged", X.let(F.struct(*[c.cast("double").alias(n) for n, c in factors.items()]), judged))
+    # Factors are long expressions and are named often, by filters, too; computed once, the generated code stays small.
+    x = X.computed(findings, {"__judged": X.let(F.struct(*[c.cast("double").alias(n) for n, c in factors.items()]), judged)})
     return x.select("*", "__judged.*").drop("__judged").withColumn("confidence_level", level(F.col("overall_confidence")))
 
 

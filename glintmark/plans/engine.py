@@ -168,8 +168,8 @@ def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None
     lines = S.lines(files)
     # Of files that come in parts only those in one part are trees that a parser can read.
     x = detections(spark, files.where("whole") if "whole" in files.columns else files, lines, config, more_items, more_entries)
-    # The context joins need the findings three times.
-    x = kept(x) if config.use_context else x
+    # The context joins need the findings three times. Each detector's partitions are there one behind the other: as many small tasks every time.
+    x = kept(S.fewer(x)) if config.use_context else x
     if exclusions:
         x = baseline.reported(x, **exclusions)
     if config.use_context:

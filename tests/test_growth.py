@@ -1,0 +1,40 @@
+"""What grows with the data is dealt out, computed once and gathered in bounded groups."""
+
+import io
+import re
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from glintmark.functions import text as X
+from glintmark.operators import context, detect, enrich, score
+from glintmark.plans import dims
+from glintmark.queries import catalogue
+from glintmark.sources import archives
+from glintmark.sources import files as S
+
+
+def plan_of(df):
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_rows_are_in_few_partitions(spark):
+    x = spark.range(0, 100, 1, 300)
+    assert S.fewer(x).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism * 4 == S.dealt(spark.range(0, 100, 1, 1)).rdd.getNumPartitions()
+
+
+def test_entropy_computes_its_value_once(spark):
+    x = spark.createDataFrame([("aab!é",), ("",), (None,)], "v string").select(X.printable_entropy(F.col("v")).alias("e"))
+    assert plan_of(x).count("regexp_replace(") == 1
+    assert [round(r.e, 6) for r in x.collect()] == [1.5, 0, 0]
+
+
+def test_contexts_and_scores_are_computed_once_below_filters(spark):
+    findings = detect.as_findings(spark.createDataFrame([("prod/a.py", 1, "token", "v" * 20, 0.9)], "path string, line int, variable string, value string, confidence double"))
+    files = spark.createDataFrame([("prod/a.py", "token = 1\nexcept: x")], "path string, content string")
+    x = score.confident(score.scored(context.with_context(findings, files, S.lines(files))))
+    plan = plan_of(x)
+    assert plan.count("staging|stage|uat") == 1 and plan.count("authorization_code") == 2  # of a block, and of a window
+    assert x.count() == 1
