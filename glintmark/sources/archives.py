@@ -18,6 +18,7 @@ from __future__ import annotations
 import bz2
 import codecs
 import gzip
+import io
 import lzma
 import math
 import os
@@ -32,7 +33,6 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import BinaryIO, NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -289,14 +289,19 @@ def read(spark: SparkSession, at: str, **options) -> DataFrame:
 def rows(binary: DataFrame, most_bytes: int | None = None, most_files: int | None = None, depth: int = 5) -> DataFrame:
     """The same of archives that are rows already (path, content): whole members, each in one row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                limits = Limits(math.inf if most_bytes is None else most_bytes, math.inf if most_files is None else most_files)
-                for row in walk(path, path, io.BytesIO(data or b""), depth, limits, math.inf):
-                    yield pd.DataFrame([row]).astype({"part": "Int32", "first_line": "Int64", "whole": "boolean"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for path, data in zip(b.column(0), b.column(1)):
+                at, limits = path.as_py(), Limits(math.inf if most_bytes is None else most_bytes, math.inf if most_files is None else most_files)
+                for row in walk(at, at, io.BytesIO(data.as_py() or b""), depth, limits, math.inf):
+                    held.append(row)
+                    size += len(row.content or "")
+                    if size > PART or len(held) >= 1000:
+                        yield batch(held)
+                        held, size = [], 0
+        if held:
+            yield batch(held)
 
     reach(binary.sparkSession)
-    return binary.select("path", "content").mapInPandas(run, SCHEMA)
+    return binary.select("path", "content").mapInArrow(run, SCHEMA)

@@ -38,3 +38,18 @@ def test_contexts_and_scores_are_computed_once_below_filters(spark):
     plan = plan_of(x)
     assert plan.count("staging|stage|uat") == 1 and plan.count("authorization_code") == 2  # of a block, and of a window
     assert x.count() == 1
+
+
+def test_archive_rows_come_in_batches(spark):
+    def packed(k):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("a.txt", f"text {k}")
+            z.writestr("b.txt", "")
+        return out.getvalue()
+
+    x = archives.rows(spark.createDataFrame([(f"{k}.zip", packed(k)) for k in range(1200)] + [("bad.zip", b"x"), ("none.zip", None)], "path string, content binary").coalesce(1))
+    assert "MapInArrow" in plan_of(x)
+    got = {r.path: r for r in x.collect()}
+    assert len(got) == 2402 and got["7.zip!a.txt"].content == "text 7" and got["7.zip!b.txt"].content == "" and got["7.zip!a.txt"].whole
+    assert got["bad.zip"].status == got["none.zip"].status == "failed" and got["bad.zip"].content is None
