@@ -79,3 +79,19 @@ def test_archive_rows_come_in_batches(spark):
     got = {r.path: r for r in x.collect()}
     assert len(got) == 2402 and got["7.zip!a.txt"].content == "text 7" and got["7.zip!b.txt"].content == "" and got["7.zip!a.txt"].whole
     assert got["bad.zip"].status == got["none.zip"].status == "failed" and got["bad.zip"].content is None
+
+
+def test_findings_without_a_key_are_no_single_group(spark):
+    """Neither those without a token nor those of one value meet in one task."""
+    x = spark.range(0, 6400, 1, 4).select(F.lit("p").alias("path"), F.col("id").cast("int").alias("line"), F.lit("k").alias("variable"), F.when(F.col("id") % 8 == 0, "seen").alias("key"))
+    told = spark.createDataFrame([("seen", 1), ("other", 2)], "key string, said int")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("-1", "false", "16")):
+            spark.conf.set(k, v)
+        got = enrich.looked_up(x, told, ["key"]).select("*", F.spark_partition_id().alias("at"))
+        assert max(r["count"] for r in got.groupBy("at").count().collect()) < 6400 / 3
+        assert got.count() == 6400 and got.where("said = 1").count() == 800 == got.where("said is not null").count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
