@@ -170,9 +170,12 @@ def legacy_entropy_findings(items: DataFrame, found: DataFrame, threshold: float
     """Items with random-looking values that no detector has found in the same file."""
     v, n = F.col("value"), F.length("value")
     plain_url = v.rlike("^https?://") & ~F.coalesce(F.try_element_at(F.split(v, "//"), F.lit(2)), F.lit("")).contains(":")
-    x = items.where(n.between(8, 120) & ~F.lower(v).isin("true", "false", "null", "none", "undefined") & ~plain_url).withColumn("entropy", X.printable_entropy(v))
-    x = x.where(F.col("entropy") >= threshold + F.when(n < 12, 0.5).otherwise(0.0)).join(found.select("path", "value").distinct(), ["path", "value"], "left_anti")
-    once = x.groupBy("path", "value").agg(F.min(F.struct("line", "key", "entropy")).alias("x")).select("path", "value", "x.line", F.col("x.key").alias("variable"), F.round("x.entropy", 2).alias("entropy"))
+    x = items.where(n.between(8, 120) & ~F.lower(v).isin("true", "false", "null", "none", "undefined") & ~plain_url)
+    # Entropy is the value's own: measured once for each value of a file that nothing else has found, behind the shuffle, not for every mention.
+    first = x.groupBy("path", "value").agg(F.min(F.struct("line", "key")).alias("x")).join(found.select("path", "value").distinct(), ["path", "value"], "left_anti")
+    # A generated row: the filter isn't pushed below it, where entropy would be computed twice.
+    x = first.select("path", "value", "x.line", F.col("x.key").alias("variable"), F.explode(F.array(X.printable_entropy(v))).alias("bits"))
+    once = x.where(F.col("bits") >= threshold + F.when(n < 12, 0.5).otherwise(0.0)).withColumn("entropy", F.round("bits", 2))
     return as_findings(once.withColumns({"rule_id": F.lit("entropy"), "rule_name": F.lit("Random-looking value"), "type": F.lit("entropy_match"), "severity": F.lit("medium")}))
 
 
