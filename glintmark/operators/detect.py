@@ -58,15 +58,24 @@ def keyword_hits(text: Column) -> Column:
     return _where(text.rlike(f"[:=]\\s*['\"]?{VALUE}{{6}}"), _pairs("keyword", text, CANDIDATE, DOTTED))
 
 
-# What a text with one of dims.STRUCTURAL has in it: plain strings are found much faster than the patterns.
-STRUCTURAL_MARKS = "-----BEGIN A3T AKIA AGPA AIDA AROA AIPA ANPA ANVA ASIA eyJ AIza xox k_live_ ghp_ gho_ ghu_ ghs_ ghr_ sk- hf_".split()
+# What a text with one of dims.STRUCTURAL has in it: -----BEGIN A3T AKIA AGPA AIDA AROA AIPA ANPA ANVA ASIA AIza eyJ xox k_live_ ghp_ gho_ ghu_ ghs_ ghr_ sk- hf_.
+# Each is looked for from a rare character on, so most of a text is passed over by one test of a class.
+STRUCTURAL_MARK = "[_JBAx-](?:(?<=k_)live_|(?<=gh[pousr]_)|(?<=hf_)|(?<=eyJ)|(?<=-----B)EGIN|(?<=sk-)|(?<=A)(?:3T|KIA|GPA|IDA|ROA|IPA|NPA|NVA|SIA|Iza)|(?<=x)ox)"
+
+
+def structural_likely(text: Column, patterns: list[tuple] = dims.STRUCTURAL) -> Column:
+    return text.rlike(STRUCTURAL_MARK if patterns is dims.STRUCTURAL else "|".join(f"(?:{p[1]})" for p in patterns))
+
+
+def likely_lines(lines: DataFrame, structural: bool, assigned: bool) -> DataFrame:
+    """Lines with what a structural pattern, or a detector of assigned and quoted values, begins with. One pattern, so a text is decoded once."""
+    return lines.where(F.col("text").rlike("|".join(["[:=\"']"] * assigned + [STRUCTURAL_MARK] * structural)))
 
 
 def structural_hits(text: Column, patterns: list[tuple] = dims.STRUCTURAL) -> Column:
     """pos is the pattern's place in the list."""
-    likely = X.any_of([text.contains(m) for m in STRUCTURAL_MARKS]) if patterns is dims.STRUCTURAL else text.rlike("|".join(f"(?:{p[1]})" for p in patterns))
     rows = F.array(*[F.struct(F.lit("structural").alias("kind"), F.lit(i).alias("pos"), F.lit(n).alias("word"), F.regexp_extract(text, rx, 0).alias("value")) for i, (n, rx, *_) in enumerate(patterns)])
-    return _where(likely, F.filter(rows, lambda x: x["value"] != ""))
+    return _where(structural_likely(text, patterns), F.filter(rows, lambda x: x["value"] != ""))
 
 
 def entropy_hits(text: Column) -> Column:
@@ -313,7 +322,8 @@ def line_detectors(spark: SparkSession, lines: DataFrame, keywords: DataFrame |
     hits = [keyword_hits(text)] * (keywords is not None) + [structural_hits(text)] * structural + [technology_hits(text, own)] * technology + [entropy_hits(text)] * entropy
     if not hits:
         return []
-    found = candidates(lines, *hits).persist(StorageLevel.MEMORY_AND_DISK)
+    # Few lines have what any detector begins with; on the others none of them is tried.
+    found = candidates(likely_lines(lines, structural, keywords is not None or technology or entropy), *hits).persist(StorageLevel.MEMORY_AND_DISK)
     KEPT.append(found)
     return (
         ([keyword_findings(lines, keywords, found)] if keywords is not None else [])

@@ -173,7 +173,8 @@ def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None
     if exclusions:
         x = baseline.reported(x, **exclusions)
     if config.use_context:
-        x = context.with_context(x, files, lines, config.context_window, config.min_context, config.max_multiplier)
+        own = context.marked(files, x)
+        x = context.with_context(x, own, S.lines(own), config.context_window, config.min_context, config.max_multiplier)
     if config.use_scores:
         x = score.scored(x, config.weights)
     x = score.confident(x, config.min_context, config.min_overall)
