@@ -11,7 +11,7 @@ from glintmark.functions import text as X
 from glintmark.operators import context, detect, enrich, score
 from glintmark.plans import dims, engine
 from glintmark.queries import catalogue
-from glintmark.sources import archives
+from glintmark.sources import archives, repository
 from glintmark.sources import files as S
 
 
@@ -156,3 +156,14 @@ def test_only_texts_of_files_with_findings_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(context, "MARKS", 1)  # all paths have one mark: the exact joins decide
     assert sorted(map(str, engine.scan(spark, files, config).collect())) == got
     engine.release(spark)
+
+
+def test_matched_lines_are_dealt_out_before_they_meet_commits(spark):
+    """One pair and one finding may belong to most of the commits; the rows come from as many tasks as there are shares."""
+    changes = spark.range(1000).select(F.concat(F.lit("c"), "id").alias("commit_hash"), F.lit("f").alias("file"), F.when(F.col("id") % 2 == 0, "o").alias("old_blob"), F.lit("n").alias("new_blob"))
+    ranges = spark.createDataFrame([("o", "n", 1, 4)], "old_blob string, new_blob string, first int, last int")
+    found = spark.range(1, 101).select(F.lit("n").alias("blob"), F.lit("f").alias("file"), F.col("id").cast("int").alias("line"))
+    x = repository.in_added_lines(changes, ranges, found)
+    assert f"Repartition {spark.sparkContext.defaultParallelism * 4}, true" in plan_of(x)
+    got = x.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 500 * 100 + 500 * 4 and len(got) > 1
