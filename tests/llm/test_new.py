@@ -241,6 +241,80 @@ def test_map_of_pairs_never_misses(spark):
     assert held.bits == phrases.FEWEST_BITS
 
 
+def test_phrases_read_texts_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        seen.add(1)
+        return "to be or not to be" if k % 2 else None
+
+    docs = spark.range(400, numPartitions=2).select(F.udf(text).asNondeterministic()("id").alias("text"), F.lit("en").alias("lang"))
+    got = [tuple(r) for r in phrases.collocations(docs).collect()]
+    assert [(r[2], r[3], r[6]) for r in got] == [("to be", 400, 1200), ("be or not to be", 200, 1200), ("to be or not to", 200, 1200)]
+    assert 0 < seen.value <= 2 * 400
+
+
+def test_hashes_leave_a_task_packed():
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["ab", "cd", str(rnd.randrange(9_000))]) for _ in range(2_000)) for _ in range(40)]
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    packed = list(phrases.count_hashes(iter([batch])))
+    pairs = {p for t in texts for p in zip(t.split(), t.split()[1:])}
+    assert sum(b.num_rows for b in packed) <= 1 << phrases.SLOT_BITS < len(pairs)
+    want = Counter(p for t in texts for p in zip(t.split(), t.split()[1:])) + Counter(w for t in texts for w in t.split())
+    for least in (1, 3, 100):
+        got = list(phrases.frequent_hashes(least)(b.slice(at, 700) for b in packed for at in range(0, b.num_rows, 700)))
+        assert sum(b.num_rows for b in got) == sum(n >= least for n in want.values()) > 0
+
+
+def test_hashes_summed_over_tasks():
+    rnd = np.random.default_rng(5)
+    tops = rnd.integers(0, 1 << 64, 30, dtype=np.uint64) >> np.uint64(50) << np.uint64(50)
+    tasks = [rnd.choice(tops, 3_000) + rnd.integers(0, 40, 3_000, dtype=np.uint64) for _ in range(6)]
+    rows = sorted(((r["slot"], r["h"], r["n"]) for x in tasks for r in phrases.packed(*np.unique(x, return_counts=True)).to_pylist()), key=lambda r: r[0])
+    want = sorted(int(h) for h, n in Counter(np.concatenate(tasks).tolist()).items() if n >= 16)
+    for size in (1, 7, 1000):
+        batches = (pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + size]), (pa.int32(), pa.binary(), pa.binary()))], names=["slot", "h", "n"]) for at in range(0, len(rows), size))
+        got = [h for b in phrases.frequent_hashes(16)(batches) for h in b.column(0).to_numpy().view(np.uint64).tolist()]
+        assert sorted(got) == want and want
+    assert sum(b.num_rows for b in phrases.frequent_hashes(1)(iter([]))) == 0
+
+
+def test_hashes_of_words():
+    words = ["a", "b", "ab", "ba", "é", "\x00", "\x00\x00", "x" * phrases.LONG, "x" * (phrases.LONG + 1), "y" * 5_000, "x" * 5_000]
+    one = phrases.hashes("en", pa.array(words).cast(pa.binary()))
+    assert len(set(one.tolist())) == len(words) and not set(one.tolist()) & set(phrases.hashes("de", pa.array(words).cast(pa.binary())).tolist())
+    assert phrases.hashes("en", pa.array(words[::-1]).cast(pa.binary())[1:]).tolist() == one[::-1][1:].tolist()
+    assert len(phrases.hashes("en", pa.array([], pa.binary()))) == 0
+
+
+@pytest.mark.parametrize("pairs, nexts, size", [(1, 1, 3), (2, 2, 1), (3, 2, 10), (50, 7, 25), (5, 3, 100_000)])
+def test_growth_in_blocks_of_colliding_keys(pairs, nexts, size):
+    """Keys of so few values that runs of different phrases mix, in blocks of size rows."""
+    rnd, most, least = random.Random(size), 5, 6
+    want, rows = Counter(), []
+    bits = phrases.next_bits(most)
+    few = lambda x, n: sum(" ".join(x).encode()) % n
+    for lang in ("en", "de"):
+        for _ in range(60):
+            w = [rnd.choice("abcdé") for _ in range(rnd.randrange(12))]
+            for i in range(len(w) - 1):
+                x = w[i : i + most]
+                place = (few(x[:2], pairs) << 64 - phrases.PAIR_BITS) + sum(few(y, nexts) << 64 - phrases.PAIR_BITS - bits * k for k, y in enumerate(x[2:], 1))
+                n = rnd.randrange(1, 3)
+                rows.append((lang, " ".join(x).encode(), n, place))
+                want.update({(lang, " ".join(x[:k])): n for k in range(2, len(x) + 1)})
+    rnd.shuffle(rows)
+    rows.sort(key=lambda r: r[3])
+    kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64())
+    batches = (pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + size]), kinds)], names=["lang", "words", "n", "place"]) for at in range(0, len(rows), size))
+    got = Counter()
+    for b in phrases.grown(least, most)(batches):
+        for r in b.to_pylist():
+            got[r["lang"], r["phrase"]] += r["n"]
+    assert {p: n for p, n in got.items() if n >= least} == {p: n for p, n in want.items() if n >= least} != {}
+
+
 def test_rows_that_differ_in_a_map_only(spark):
     from glintmark.llm import simhash
 
