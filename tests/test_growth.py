@@ -167,3 +167,34 @@ def test_matched_lines_are_dealt_out_before_they_meet_commits(spark):
     assert f"Repartition {spark.sparkContext.defaultParallelism * 4}, true" in plan_of(x)
     got = x.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in got) == 500 * 100 + 500 * 4 and len(got) > 1
+
+
+def test_added_lines_of_many_commits_are_written_in_little_room(spark, tmp_path):
+    """All commits of a pair with all its findings: as many rows as their product, but not as many bytes."""
+    changes = spark.range(10000).select(F.concat(F.lit("commit"), "id").alias("commit_hash"), F.lit("f").alias("file"), F.lit(None).cast("string").alias("old_blob"), F.lit("n").alias("new_blob"))
+    ranges = spark.createDataFrame([], "old_blob string, new_blob string, first int, last int")
+    found = spark.range(200).select(F.lit("n").alias("blob"), F.lit("f").alias("file"), (F.col("id") % 50).cast("int").alias("line"), F.md5(F.col("id").cast("string").cast("binary")).alias("value"))
+    x = repository.in_added_lines(changes, ranges, found)
+    x.write.parquet(out := str(tmp_path / "out"))
+    got = spark.read.parquet(out)
+    assert got.count() == 10000 * 200 == got.distinct().count()
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 10000 * 200 / 4
+    # Rows of a block and a part of the commits are held at a time, as the stage is parted behind the join.
+    assert f"Repartition {spark.sparkContext.defaultParallelism * repository.SPREAD}, false" in plan_of(x)
+
+
+@pytest.mark.parametrize("block, share, part", [(256, 1 << 14, 64), (3, 8, 2), (1, 1, 1)])
+def test_added_lines_equal_a_plain_join(spark, monkeypatch, block, share, part):
+    """Equal rows, and such without commit, line or value, stay as many as they are, however few lie in a row."""
+    for k, v in (("BLOCK", block), ("SHARE", share), ("PART", part)):
+        monkeypatch.setattr(repository, k, v)
+    changes = spark.sql("SELECT if(id % 11 = 0, null, concat('c', id % 60)) AS commit_hash, if(id % 13 = 0, null, concat('f', id % 2)) AS file, if(id % 3 = 0, null, if(id % 3 = 1, '', '=')) AS old_blob, if(id = 50, null, concat('n', id % 2)) AS new_blob FROM range(100)")
+    ranges = spark.createDataFrame([("", "n0", 2, 3), ("", "n0", 6, 6), ("=", "n1", 1, 1), ("=", "n0", 9, 9)], "old_blob string, new_blob string, first int, last int")
+    found = spark.sql("SELECT concat('n', id % 3) AS blob, if(id % 17 = 0, null, concat('f', id % 2)) AS file, if(id % 5 = 0, null, concat('v', id % 4)) AS value, if(id % 7 = 0, null, cast(id % 7 AS int)) AS line, array(id % 2) AS more FROM range(90)")
+    for n, df in (("changes_", changes), ("ranges_", ranges), ("found_", found)):
+        df.createOrReplaceTempView(n)
+    plain = spark.sql("""SELECT commit_hash, c.file, value, line, more FROM changes_ c JOIN found_ f ON c.file = f.file AND new_blob = blob
+        WHERE old_blob IS NULL OR EXISTS (SELECT 1 FROM ranges_ r WHERE r.old_blob = c.old_blob AND r.new_blob = c.new_blob AND line BETWEEN first AND last)""")
+    x = repository.in_added_lines(changes, ranges, found)
+    assert x.columns == plain.columns and plain.count() > 300
+    assert sorted(map(str, x.collect())) == sorted(map(str, plain.collect()))
