@@ -172,14 +172,19 @@ def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None
     x = kept(S.fewer(x)) if config.use_context else x
     if exclusions:
         x = baseline.reported(x, **exclusions)
+    # What only says in words what other columns hold is made of the merged rows: fewer, and merging sorts and shuffles shorter ones.
+    now = not config.deduplicate
     if config.use_context:
         own = context.marked(files, x)
-        x = context.with_context(x, own, S.lines(own), config.context_window, config.min_context, config.max_multiplier)
+        x = context.with_context(x, own, S.lines(own), config.context_window, config.min_context, config.max_multiplier, words=now)
     if config.use_scores:
-        x = score.scored(x, config.weights)
+        x = score.scored(x, config.weights, listed=now)
     x = score.confident(x, config.min_context, config.min_overall)
     if config.deduplicate:
-        x = merge.with_test_flag(merge.merged(x))
+        x = merge.merged(x)
+        x = context.with_words(x) if config.use_context else x
+        x = score.with_factors(x, config.weights) if config.use_scores else x
+        x = merge.with_test_flag(x)
     if config.severity_at_least != "info":
         x = x.where(merge.rank_of(F.col("severity")) >= dims.SEVERITIES.index(config.severity_at_least))
     return x
