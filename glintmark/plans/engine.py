@@ -175,8 +175,8 @@ def scan(spark: SparkSession, files: DataFrame, config: ScanConfig | None = None
     # What only says in words what other columns hold is made of the merged rows: fewer, and merging sorts and shuffles shorter ones.
     now = not config.deduplicate
     if config.use_context:
-        own = context.marked(files, x)
-        x = context.with_context(x, own, S.lines(own), config.context_window, config.min_context, config.max_multiplier, words=now)
+        lines = S.lines(context.marked(files, x))
+        x = context.with_context(x, files, lines, config.context_window, config.min_context, config.max_multiplier, words=now)
     if config.use_scores:
         x = score.scored(x, config.weights, listed=now)
     x = score.confident(x, config.min_context, config.min_overall)

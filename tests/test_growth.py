@@ -130,6 +130,26 @@ def test_a_methods_keys_are_carried_once(spark):
     assert "_line" in first and "_rule_name" not in first and "_pattern" not in first
 
 
+def test_frameworks_meet_findings_without_texts(spark):
+    """Names of frameworks are told where the texts are; no text is shuffled for them, and files without findings add nothing."""
+    files = spark.createDataFrame([(f"{k}.py", "apiVersion: 1" if k % 2 else "plain") for k in range(40)] + [(None, "apiVersion: 1"), ("7.py", "WORKDIR x")], "path string, content string")
+    findings = detect.as_findings(spark.createDataFrame([("7.py", 2, "v"), ("8.py", None, "v"), (None, 1, "v"), ("none.py", 1, "v")], "path string, line int, value string"))
+    x = context.with_context(findings, files, S.lines(files).where("false"))
+    got = sorted(str((r.path, r.line, r.contexts)) for r in x.collect())
+    assert len(got) == 5 and sum("kubernetes" in r for r in got) == 1 == sum("docker" in r for r in got)
+    plan = plan_of(x)
+    assert not re.search(r"LeftSemi, \(path#", plan) and "LeftSemi, (cast(pmod(xxhash64(" in plan
+
+
+def test_lines_are_gathered_before_they_meet_findings(spark):
+    """Blocks are shuffled and joined, not lines: one join, and the findings are summed up once."""
+    lines = spark.range(600).select(F.lit("p").alias("path"), F.col("id").cast("int").alias("line"), F.lit("const A = 1").alias("text"))
+    x = context.line_contexts(lines, lines.where("line = 300"))
+    plan = plan_of(x)
+    assert plan.count("Join ") == 1 == plan.count("collect_set(line") and "LeftSemi" not in plan
+    assert [(r.line, len(r.code)) for r in x.collect()] == [(300, 1)]
+
+
 def test_archive_rows_come_in_batches(spark):
     def packed(k):
         out = io.BytesIO()
